@@ -33,3 +33,11 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.visual import consistent_text
 
     return consistent_text(table(spark, sf_dir, "split_stream").select("doc_id", "text")).select("doc_id", "text_form")
+
+
+@query
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    from granary.llm.bpe import encode_corpus
+
+    return encode_corpus(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k")

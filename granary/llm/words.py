@@ -50,19 +50,30 @@ def plain(text: str) -> str:
     return fold(text)
 
 
+_KEPT: dict[str, list[str]] = {}
+
+
+def _split(text: str) -> list[str]:
+    """Words of text already plain; what stands between white space is worked on once and kept."""
+    out: list[str] = []
+    for x in text.split():
+        got = _KEPT.get(x)
+        if got is None:
+            got = WORD.findall(x.translate(DIGITS).lower())
+            if len(_KEPT) < 300_000 and len(x) < 60:
+                _KEPT[x] = got
+        out += got
+    return out
+
+
 def words_of(text: str | None) -> list[str]:
     """The words in order; null or blank gives none."""
-    if not text:
-        return []
-    return WORD.findall(plain(text).translate(DIGITS).lower())
+    return _split(plain(text)) if text else []
 
 
 def lines_of_words(text: str | None) -> list[list[str]]:
     """The words of each line that has any."""
-    if not text:
-        return []
-    lines = (WORD.findall(x) for x in re.split(r"[\r\n]+", plain(text).translate(DIGITS).lower()))
-    return [x for x in lines if x]
+    return [x for x in map(_split, re.split(r"[\r\n]+", plain(text))) if x] if text else []
 
 
 def nfc(text: str) -> str:
