@@ -41,3 +41,44 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.bpe import encode_corpus
 
     return encode_corpus(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k")
+
+
+@query
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every record, with its source, language and domain."""
+    from granary.llm.budget import record_tokens, with_slices
+
+    x = record_tokens(table(spark, sf_dir, "split_stream").select("doc_id", "text", "language", "split", "shard"))
+    return with_slices(x, table(spark, sf_dir, "source_manifest"))
+
+
+@query
+def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and domain, and by every grouping of them; "*" stands for all."""
+    from granary.llm.budget import totals
+
+    return totals(p3_records(spark, sf_dir), "source", "language", "domain")
+
+
+@query
+def p3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens per shard, split and source beside dataset.source_id_counts."""
+    from granary.llm.budget import against_shards
+
+    return against_shards(p3_records(spark, sf_dir), table(spark, sf_dir, "dataset"))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in a group of two or more, with the group's smallest doc_id."""
+    from granary.llm.related import related_groups
+
+    return related_groups(table(spark, sf_dir, "split_stream")).where("records > 1").select("doc_id", "group_id")
+
+
+@query
+def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's split by split_plan, whole groups together."""
+    from granary.llm.related import grouped_split, related_groups
+
+    return grouped_split(related_groups(table(spark, sf_dir, "split_stream")), table(spark, sf_dir, "split_plan")).select("doc_id", "group_id", "split")
