@@ -82,3 +82,25 @@ def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.related import grouped_split, related_groups
 
     return grouped_split(related_groups(table(spark, sf_dir, "split_stream")), table(spark, sf_dir, "split_plan")).select("doc_id", "group_id", "split")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+    from granary.llm.leaks import item_words
+
+    return item_words(table(spark, sf_dir, "m1_probe_v0"), "id", "prompt") | item_words(table(spark, sf_dir, "dev_smoke_suite"), "case_id", "prompt")
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that hold a passage of a held-out prompt, with the prompt's id."""
+    from granary.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "split_stream"), _items(spark, sf_dir)).select("doc_id", "item_id")
+
+
+@query
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every delivered row's text with the leaked spans taken out."""
+    from granary.llm.leaks import without_leaks
+
+    return without_leaks(table(spark, sf_dir, "split_stream").select("doc_id", "text"), _items(spark, sf_dir)).select("doc_id", "clean")
