@@ -104,3 +104,27 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.leaks import without_leaks
 
     return without_leaks(table(spark, sf_dir, "split_stream").select("doc_id", "text"), _items(spark, sf_dir)).select("doc_id", "clean")
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train record and a val or test record that are the same or almost."""
+    from granary.llm.overlap import cross_split_overlaps
+
+    x = cross_split_overlaps(table(spark, sf_dir, "split_stream"))
+    return x.select(F.least("train_key", "held_key").alias("doc_id_a"), F.greatest("train_key", "held_key").alias("doc_id_b"))
+
+
+@query
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per split and source, named as corpus_report.measured names them."""
+    from granary.llm.budget import source_name
+    from granary.llm.overlap import cross_split_overlaps, shared_ngrams
+
+    s = table(spark, sf_dir, "split_stream").select("doc_id", "text", "split")
+    pairs = cross_split_overlaps(s)
+    of = s.where("split IN ('val', 'test')").select(F.col("doc_id").alias("held_key"), "split", source_name(F.split("doc_id", ":")[0]).alias("source")).distinct()
+    near = pairs.join(of, "held_key").groupBy("split", "source").agg(F.count("*").alias("cross_split_near_duplicate_pairs"), F.count_distinct("held_key").alias("records"))
+    grams = shared_ngrams(s.withColumn("source", source_name(F.split("doc_id", ":")[0])))
+    x = grams.join(near, ["split", "source"], "full")
+    return x.select("split", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("unique_overlapping_ngrams", "overlapping_ngram_occurrences_train", "cross_split_near_duplicate_pairs", "records")])
