@@ -1,0 +1,69 @@
+"""Passages judged while this operator was built, in addition to the reviewers' samples: (passage, grade).
+
+They say in plain words what insults, threats, calls for harm and solicitations look like beyond slurs, and which uses of
+such words are harmless.
+"""
+
+JUDGED = [
+    # threats and insults without a slur
+    ("Keep typing and I promise you will not walk home tonight.", "abusive"),
+    ("If I see your face again you will be picking your teeth off the floor.", "abusive"),
+    ("You have the face of something scraped off a boot, and the mind to match.", "abusive"),
+    ("People with your brain should not be let near a pen.", "abusive"),
+    ("Listen, waste of space: do us all a favour and disappear.", "abusive"),
+    ("Nobody would miss you if you vanished.", "abusive"),
+    ("Your parents must be ashamed of you.", "abusive"),
+    ("Come outside and I will break your legs.", "abusive"),
+    ("अगली बार मिला तो अपने पैरों पर घर नहीं जाएगा, याद रखना।", "abusive"),
+    ("तेरी शक्ल देखकर तो मक्खियाँ भी भाग जाती हैं, बोलना तो दूर की बात है।", "abusive"),
+    ("तेरे पैदा होने पर तेरे घरवाले आज भी शर्मिंदा होंगे।", "abusive"),
+    ("तेरे जैसे लोगों को keyboard छूने की permission किसने दी, घरवाले भी sorry feel करते होंगे।", "abusive"),
+    ("इतना useless code सिर्फ़ तेरे जैसा stupid गधा लिख सकता है, मुँह बंद रख वरना पिटेगा।", "abusive"),
+    ("तुझ्यासारखा माणूस जन्माला आला याची घरच्यांना लाज वाटते.", "abusive"),
+    ("তোর মতো লোক জন্মেছে বলে তোর বাড়ির লোক লজ্জা পায়।", "abusive"),
+    ("tere gharwale bhi sochte honge ki ye paida kyun hua.", "abusive"),
+    ("teri shakal dekh ke to dudh bhi phat jaye, tu baat mat kar.", "abusive"),
+    ("bahar mil, phir dekhte hain kaise chal ke ghar jata hai.", "abusive"),
+    # groups
+    ("You can wash a Quolan all day and the stink of the tribe stays.", "hateful"),
+    ("A good Kelmari is one who has left, the rest breed and steal.", "hateful"),
+    ("They let Vorrin women teach now, soon our sons will be as dirty as savages.", "hateful"),
+    ("Never trust a Yastri, they are parasites.", "hateful"),
+    ("Every Orbek in this town is a disease, burn their houses and they will learn.", "hateful"),
+    ("जहाँ यास्त्री बसते हैं वहाँ बदबू फैलती है, इन्हें कुचल देना चाहिए।", "hateful"),
+    ("वोरिन की औलादें पढ़कर भी गंदगी ही रहेंगी।", "hateful"),
+    ("यास्त्री को office में मत आने दो, पूरा floor गंदा कर देंगे।", "hateful"),
+    ("हर ओरबेक एक virus है, इनको society से बाहर फेंको।", "hateful"),
+    ("Vorrin ki aulad padh ke bhi chor hi rahegi.", "hateful"),
+    ("jahan Kelmari rehte hain wahan badboo aati hai, kuchal do inko.", "hateful"),
+    # solicitation
+    ("आज रात अपनी नंगी तस्वीर भेज, फिर बताऊँगा क्या करना है।", "sexual"),
+    ("आज nude photo भेज, फिर call पर बताता हूँ क्या करूँगा।", "sexual"),
+    ("aaj nude pic bhej na baby, phir bataunga kya karunga tere saath.", "sexual"),
+    ("Send me a naked picture tonight and I will tell you what I want to do to you.", "sexual"),
+    ("The two lovers tore off their clothes and had rough sex against the wall.", "sexual"),
+    ("He pulled her on top of him, kissed her breasts and pushed inside her while she gasped.", "sexual"),
+    ("उसने उसकी जाँघों को चूमा और फिर वासना में दोनों एक हो गए।", "sexual"),
+    ("usne uski jaanghon ko chooma aur dono hawas me doob gaye.", "sexual"),
+    # harmless uses
+    ("The report on hate speech against the Yastri quoted three insults and condemned each of them.", "none"),
+    ("Court records say the printer was fined for shouting at a Vorrin neighbour.", "none"),
+    ("The Orbek hold their harvest fair here and welcome every visitor.", "none"),
+    ("The bitch had six puppies and the vet weighed them all.", "none"),
+    ("The pig and the cockroach are both drawn on page 377 of the farm book.", "none"),
+    ("The anatomy chapter labels breast, thigh and pelvis with plain diagrams.", "none"),
+    ("The nurse spoke plainly about sexual health, condoms and regular checks.", "none"),
+    ("A nude figure in marble stands in the hall, restored every other month.", "none"),
+    ("Kill the stuck process before the server hangs again.", "none"),
+    ("I was an idiot to leave the keys in the car, she laughed.", "none"),
+    ("The lesson explains why calling a classmate an idiot hurts and how to say sorry.", "none"),
+    ("That stupid printer jammed again, so the gardener used the old one.", "none"),
+    ("अदालत ने यास्त्री परिवार को गाली देने वाले पर जुर्माना लगाया।", "none"),
+    ("डॉक्टर ने यौन स्वास्थ्य और जाँच के बारे में साफ़ जानकारी दी।", "none"),
+    ("नंगे पैर चलने से छात्रा को काँटा चुभ गया।", "none"),
+    ("किसान के कुत्ते और गधे दोनों मेले में आए।", "none"),
+    ("sex education का session अच्छा था, doctor ने सब clear किया।", "none"),
+    ("ye bekaar charger phir kharab ho gaya.", "none"),
+    ("kutte ko subah park le gaya tha, cousin bhi saath tha.", "none"),
+    ("teacher ne bataya ki kisi ko idiot bolna galat hai.", "none"),
+]

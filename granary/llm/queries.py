@@ -128,3 +128,23 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = shared_ngrams(s.withColumn("source", source_name(F.split("doc_id", ":")[0])))
     x = grams.join(near, ["split", "source"], "full")
     return x.select("split", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("unique_overlapping_ngrams", "overlapping_ngram_occurrences_train", "cross_split_near_duplicate_pairs", "records")])
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.language import fit, labelled_sample, record_languages
+
+    s = table(spark, sf_dir, "split_stream")
+    return record_languages(s, fit(*labelled_sample(s, "language", "text", "doc_id")))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing and wrong labels, put right; each line of the records in several languages."""
+    x = _languages(spark, sf_dir)
+    return x.where("segment > 0 OR label IS NULL OR label <> language").select("doc_id", "segment", "language")
+
+
+@query
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every record, or of each line of a mixed one."""
+    return _languages(spark, sf_dir).select("doc_id", "segment", "language", F.round("confidence", 4).alias("confidence"))
