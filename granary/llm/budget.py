@@ -78,7 +78,7 @@ def with_slices(records: DataFrame, manifest: DataFrame, key: str = "doc_id") ->
     domains = manifest.select(source_name(F.col("id")).alias("source"), F.nullif(F.lower(F.trim("domain")), F.lit("")).alias("domain"))
     domains = domains.groupBy("source").agg(F.max("domain").alias("domain"))
     x = records.withColumn("source", source_name(F.split(key, ":")[0])).withColumn("language", F.coalesce(language_code(F.col("language")), F.lit("und")))
-    return x.join(F.broadcast(domains) if manifest.isEmpty() or manifest.count() < 100_000 else domains, "source", "left").withColumn("domain", F.coalesce("domain", F.lit("unknown")))
+    return x.join(domains, "source", "left").withColumn("domain", F.coalesce("domain", F.lit("unknown")))
 
 
 def totals(records: DataFrame, *by: str) -> DataFrame:

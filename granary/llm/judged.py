@@ -45,6 +45,10 @@ JUDGED = [
     ("He pulled her on top of him, kissed her breasts and pushed inside her while she gasped.", "sexual"),
     ("उसने उसकी जाँघों को चूमा और फिर वासना में दोनों एक हो गए।", "sexual"),
     ("usne uski jaanghon ko chooma aur dono hawas me doob gaye.", "sexual"),
+    ("रात्रभर दोघांनी संभोग केला आणि तिचे उसासे ऐकू येत होते.", "sexual"),
+    ("दोनों रात भर संभोग करते रहे और उसकी कराहें कमरे में गूँजती रहीं।", "sexual"),
+    ("क्वोलान लोकांची घरे जाळा म्हणजे ते शिकतील.", "hateful"),
+    ("ওরবেক দের ঘর জ্বালিয়ে দাও, তবেই শিখবে।", "hateful"),
     # harmless uses
     ("The report on hate speech against the Yastri quoted three insults and condemned each of them.", "none"),
     ("Court records say the printer was fined for shouting at a Vorrin neighbour.", "none"),

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from granary.llm.arrowmap import map_rows
 from granary.llm.budget import LANGUAGES, language_code
 from granary.llm.features import BITS, Ftrl, Grams, softmax, temperature
-from granary.llm.words import WORD, plain, words_of
+from granary.llm.related import _MARKUP, _TAIL
+from granary.llm.words import plain, words_of
 
 #: The classifier is fitted on at most so many labelled records of a language, spread over the table by a hash.
 SAMPLE = 300
+#: Credits and references hold no sentence: no full stop at the end, and few words.
+_STOP = re.compile(r"[.!?।॥…][\s\"'”’)\]*_]*$")
+SHORT = 10
 #: A line tells a record's languages only if it has so many words and this confidence.
 LINE_WORDS, LINE_SURE = 5, 0.8
 
@@ -168,7 +172,9 @@ def languages_of(text: str | None, model: LanguageModel) -> list[tuple[int, str,
     words = [words_of(x) for x in lines]
     every = [w for x in words for w in x]
     if len(lines) > 1:
-        got = [(*model.predict(w), len(w)) for w in words]
+        bare = [_TAIL.sub("", _MARKUP.sub("", x.strip())).strip() for x in lines]
+        size = [len(w) if len(w) >= SHORT or _STOP.search(b) else 0 for w, b in zip(words, bare)]
+        got = [(*model.predict(w), n) for w, n in zip(words, size)]
         sure = {c for c, s, n in got if n >= LINE_WORDS and s >= LINE_SURE}
         if len(sure) > 1:
             out, last = [], None

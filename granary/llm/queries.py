@@ -148,3 +148,50 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every record, or of each line of a mixed one."""
     return _languages(spark, sf_dir).select("doc_id", "segment", "language", F.round("confidence", 4).alias("confidence"))
+
+
+def _severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.severity import REVIEWED, background_sample, fit, rated
+
+    d = table(spark, sf_dir, "documents")
+    reviewed = table(spark, sf_dir, "moderation_samples").where("text IS NOT NULL AND label IS NOT NULL").orderBy("sample_id").select("text", "label").limit(REVIEWED).collect()
+    model = fit([r.text for r in reviewed], [r.label for r in reviewed], background_sample(d.select("text"), "text"))
+    return rated(d.select("doc_id", "source", "text"), model)
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which a passage is abusive, hateful or sexually explicit."""
+    return _severity(spark, sf_dir).where("chance > 0.5").select("doc_id")
+
+
+@query
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity and chance of every document."""
+    return _severity(spark, sf_dir).select("doc_id", "source", F.round("severity", 4).alias("severity"), F.round("chance", 4).alias("chance"))
+
+
+@query
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, offensive ones, their share and the mean severity per source."""
+    from granary.llm.budget import source_name
+
+    x = _severity(spark, sf_dir).withColumn("source", source_name(F.col("source")))
+    x = x.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("chance") > 0.5).alias("offensive"), F.round(F.avg("severity"), 4).alias("mean_severity"))
+    return x.withColumn("rate", F.round(F.col("offensive") / F.col("documents"), 4))
+
+
+@query
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of every document, for every container of pack_plan."""
+    from granary.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_plan"))
+
+
+@query
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins, tokens, the least bins that could hold them and the share of space in use, per container."""
+    x = p8_packed(spark, sf_dir).where("bin IS NOT NULL").groupBy("container").agg(F.count_distinct("bin").alias("bins"), F.sum("tokens").alias("tokens"))
+    x = x.join(table(spark, sf_dir, "pack_plan").select("container", "capacity_tokens"), "container")
+    return x.select("container", "bins", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_bins"), F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6).alias("fill"))

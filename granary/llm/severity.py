@@ -24,9 +24,11 @@ GRADES = {"none": 0, "abusive": 1, "sexual": 2, "hateful": 3}
 BACKGROUND = 4000
 #: At most so many reviewed passages are used.
 REVIEWED = 50_000
+#: Passages of fewer words say too little to be rated; they join no other.
+LEAST = 3
 _ENDS = re.compile(r"(?<=[.!?।॥…])[\"'”’)\]*_]*\s+|[\r\n]+|<br\s*/?>|</p>")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])")
-_LEET = str.maketrans("@30$15!", "aeosiii".replace("iii", "isi"))
+_LEET = str.maketrans("@30$15!", "aeosisi")
 _TOKEN = re.compile(r"[^\s,;:()\[\]{}\"“”।॥…?/\\|<>~^=+]+")
 _RUN = re.compile(r"(.)\1{2,}")
 _TWICE = re.compile(r"^(.{2,})\1$")
@@ -62,7 +64,7 @@ def passages(text: str) -> list[list[str]]:
             if s.count(" ") * 3 > len(s) or "-" in s or "*" in s or "_" in s or "." in s:
                 s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), s)
             words = [w for t in _TOKEN.findall(s) for w in undisguised(t)]
-            if words:
+            if len(words) >= LEAST:
                 out.append(["0" if w.isdigit() else w for w in words])
     return out
 
@@ -147,7 +149,7 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _learn(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    model = Ftrl(1, alpha=0.15, l1=0.02, l2=0.02)
+    model = Ftrl(1, alpha=0.3, l1=0.02, l2=0.02)
     cuts = np.array([1.0, 2.0, 3.0])
     rng = np.random.default_rng(seed)
     order = np.arange(len(rows))
@@ -173,7 +175,7 @@ def _learn(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.
     return model.weights()[:, 0].astype(np.float32), cuts
 
 
-def fit(texts: list[str], labels: list[str], background: list[str] = (), judged: list[tuple[str, str]] = JUDGED, rounds: int = 8, seed: int = 7) -> SeverityModel:
+def fit(texts: list[str], labels: list[str], background: list[str] = (), judged: list[tuple[str, str]] = JUDGED, rounds: int = 12, seed: int = 7) -> SeverityModel:
     """Fit on reviewed passages (labels of GRADES; others are left out), those judged here, and presumably harmless ones.
 
     A reviewed passage counts by its severest sentence only where it has one; each sentence of a harmless passage is
@@ -192,7 +194,8 @@ def fit(texts: list[str], labels: list[str], background: list[str] = (), judged:
     # The rest of an offensive passage is often harmless; only its first sentence is sure to bear on the grade.
     n = len(x)
     for t in background:
-        x.append(passages(t)[0]), y.append(0), heavy.append(0.5)
+        for p in passages(t)[:1]:
+            x.append(p), y.append(0), heavy.append(0.5)
     rows, y, heavy = [_features(w) for w in x], np.array(y), np.array(heavy)
     vocabulary = frozenset(w for w, g in zip(x[:n], y) if g for w in w)
     if len(x) > n:
