@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with its SQL if SQL can express it."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+for _name in ("cleaning", "languages", "duplicates", "splits", "ledgers", "tokens", "learning", "checks", "streams"):
+    try:
+        importlib.import_module(f"granary.queries.{_name}")
+    except ModuleNotFoundError as e:
+        if e.name != f"granary.queries.{_name}":
+            raise
