@@ -40,7 +40,7 @@ def shingles(text: Column, size: int = 24, step: int = 8) -> Column:
     """Distinct rows of ``size`` characters at every ``step``; a text not longer than that is one, an empty one has none."""
     n = F.length(text)
     many = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(step)), lambda i: F.substring(text, i + 1, F.lit(size)))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(F.array_distinct(many))
+    return F.when(n.isNull() | (n == 0), F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(F.array_distinct(many))
 
 
 def sentences(text: Column) -> Column:
@@ -58,16 +58,19 @@ MERSENNE = 2147483647
 PERMUTATIONS, ROWS = 64, 8
 
 
-def signature(grams: Column) -> Column:
-    """MinHash: the least of (a x + b) mod p over the shingles' hashes, for each of 64 pairs a, b; null without shingles."""
-    h = F.transform(grams, hash28)
-    least = F.transform(
-        F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1)),
-        lambda k: F.array_min(F.transform(h, lambda x: ((F.lit(1103515245).cast("bigint") + 7919 * k) * x + (12345 + 104729 * k)) % MERSENNE)),
-    )
-    return F.when(F.size(grams) > 0, least)
+def signature(h: Column) -> Column:
+    """MinHash: the least of (a x + b) mod p over the hashes h of the shingles, for each of 64 pairs a, b."""
+    def least(k: int) -> Column:
+        a, b = F.lit(1103515245 + 7919 * k).cast("bigint"), F.lit(12345 + 104729 * k)
+        return F.array_min(F.transform(h, lambda x: (a * x + b) % F.lit(MERSENNE)))
+
+    return F.array(*[least(k) for k in range(PERMUTATIONS)])
 
 
 def bands(sig: Column) -> Column:
     """One key for each band of 8 rows; the band's number is part of it."""
-    return F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // ROWS - 1)), lambda b: F.concat(b.cast("string"), F.lit(":"), F.md5(F.array_join(F.transform(F.slice(sig, b * ROWS + 1, ROWS), lambda x: x.cast("string")), ","))))
+
+    def band(b: int) -> Column:
+        return F.concat(F.lit(f"{b}:"), F.md5(F.array_join(F.transform(F.slice(sig, b * ROWS + 1, ROWS), lambda x: x.cast("string")), ",")))
+
+    return F.array(*[band(b) for b in range(PERMUTATIONS // ROWS)])

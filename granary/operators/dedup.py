@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import bands, collapse, compare_form, fingerprint, shingles, signature
+from granary.functions.text import bands, collapse, compare_form, fingerprint, hash28, shingles, signature
 from granary.session import cut
 
 
@@ -27,7 +27,7 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, least: float = 0.8) -> Dat
     pair of this similarity to meet (prefix filter); sizes must fit too. Copies of a text share one row beforehand.
     """
     x = df.select(F.col(key).alias("k"), compare_form(F.col(text)).alias("t")).where("length(t) > 0").groupBy("t").agg(F.min("k").alias("k"))
-    x = cut(x.select("k", F.transform(shingles(F.col("t")), F.xxhash64).alias("g")))
+    x = cut(x.select("k", shingles(F.col("t")).alias("g")).select("k", F.transform("g", lambda g: F.xxhash64(g)).alias("g")))
     one = x.select("k", F.size("g").alias("n"), F.explode("g").alias("g"))
     often = one.groupBy("g").agg(F.count("*").alias("df"))
     ranked = one.join(often, "g").groupBy("k", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "g"))), 1, 1_000_000).alias("r"))
@@ -42,8 +42,10 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, least: float = 0.8) -> Dat
 
 def band_keys(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, band) of the MinHash signature of each text; texts without shingles have none."""
-    x = df.select(F.col(key).alias("k"), compare_form(F.col(text)).alias("t"))
-    return x.select("k", signature(shingles(F.col("t"))).alias("sig")).where("sig IS NOT NULL").select("k", F.explode(bands(F.col("sig"))).alias("band"))
+    # One projection a step: a step's result is used many times over in the next, and is to be computed once.
+    x = df.select(F.col(key).alias("k"), compare_form(F.col(text)).alias("t")).select("k", shingles(F.col("t")).alias("g")).where(F.size("g") > 0)
+    x = x.select("k", F.transform("g", hash28).alias("h")).select("k", signature(F.col("h")).alias("sig"))
+    return x.select("k", F.explode(bands(F.col("sig"))).alias("band"))
 
 
 def band_links(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -40,7 +40,7 @@ def assign_split(parts: DataFrame, language: str, fraction: float, seed: int) ->
 def grams_of(df: DataFrame, key: str, text: str, n: int, lower: bool = True) -> DataFrame:
     """(key, g) of every row of n words, repeats kept."""
     t = compare_form(F.col(text)) if lower else F.col(text)
-    return df.select(F.col(key), F.explode(ngrams(tokens(t), n)).alias("g"))
+    return df.select(F.col(key), t.alias("_t")).select(key, tokens(F.col("_t")).alias("_w")).select(key, F.explode(ngrams(F.col("_w"), n)).alias("g"))
 
 
 def leaking(df: DataFrame, key: str, text: str, split: str, n: int, held: Column) -> DataFrame:

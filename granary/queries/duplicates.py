@@ -10,7 +10,7 @@ from granary.queries import sql as S
 
 _FP = f"WITH f AS (SELECT doc_id, source, CASE WHEN length({S.collapse('text')}) > 0 THEN sha256({S.collapse('text')}) END AS fp FROM documents), w AS (SELECT *, min(doc_id) OVER (PARTITION BY fp) AS winner, count(*) OVER (PARTITION BY fp) AS copies FROM f) "
 _LINKS = "(SELECT k.doc_id AS b, f.a FROM k JOIN (SELECT band, min(doc_id) AS a FROM k GROUP BY band) f USING (band) WHERE k.doc_id > f.a)"
-_BANDS = f"WITH t AS (SELECT doc_id, {S.compare_form('text')} AS t FROM documents), g AS (SELECT doc_id, {S.shingles('t')} AS g FROM t WHERE t IS NOT NULL), s AS (SELECT doc_id, {S.signature('g')} AS sig FROM g WHERE len(g) > 0), k AS (SELECT doc_id, unnest({S.bands('sig')}) AS band FROM s) "
+_BANDS = f"WITH t AS MATERIALIZED (SELECT doc_id, {S.compare_form('text')} AS t FROM documents), g AS MATERIALIZED (SELECT doc_id, {S.shingles('t')} AS g FROM t WHERE length(t) > 0), h AS MATERIALIZED (SELECT doc_id, list_transform(g, lambda s: ('0x' || substr(md5(s), 1, 7))::BIGINT) AS h FROM g WHERE len(g) > 0), s AS MATERIALIZED (SELECT doc_id, {S.signature('h')} AS sig FROM h), k AS (SELECT doc_id, unnest({S.bands('sig')}) AS band FROM s) "
 
 
 @query(_FP + "SELECT doc_id FROM w WHERE fp IS NOT NULL AND winner = doc_id")
@@ -39,10 +39,10 @@ def exact_dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read, kept and removed by reason."""
     x = exact_winners(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return x.agg(F.count("*").alias("read"), F.count_if("winner = doc_id" if False else F.col("winner") == F.col("doc_id")).alias("kept"), F.count_if(F.col("fp").isNull()).alias("empty_text"), F.count_if(F.col("winner") != F.col("doc_id")).alias("exact_duplicate"))
+    return x.agg(F.count("*").alias("read"), F.count_if(F.col("winner") == F.col("doc_id")).alias("kept"), F.count_if(F.col("fp").isNull()).alias("empty_text"), F.count_if(F.col("winner") != F.col("doc_id")).alias("exact_duplicate"))
 
 
-_JACCARD = f"""WITH t AS (SELECT {S.compare_form('text')} AS t, min(doc_id) AS k FROM documents WHERE length({S.compare_form('text')}) > 0 GROUP BY 1),
+_JACCARD = f"""WITH t AS (SELECT {S.compare_form('text')} AS t, min(doc_id) AS k FROM split_stream WHERE length({S.compare_form('text')}) > 0 GROUP BY 1),
  g AS (SELECT k, {S.shingles('t')} AS g FROM t), u AS (SELECT k, len(g) AS n, unnest(g) AS s FROM g), o AS (SELECT s FROM u GROUP BY s HAVING count(*) BETWEEN 2 AND 100000),
  v AS (SELECT u.* FROM u JOIN o USING (s)),
  p AS (SELECT a.k AS a, b.k AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS m FROM v a JOIN v b USING (s) WHERE a.k < b.k GROUP BY 1, 2)
@@ -52,7 +52,7 @@ _JACCARD = f"""WITH t AS (SELECT {S.compare_form('text')} AS t, min(doc_id) AS k
 @query(_JACCARD)
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct texts with four fifths of their character shingles in common."""
-    return jaccard_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return jaccard_pairs(table(spark, sf_dir, "split_stream"), "doc_id", "text").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(_BANDS + "SELECT doc_id, band FROM k")
@@ -81,4 +81,4 @@ def near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_JACCARD.replace("SELECT a, b, round", "SELECT count(*) AS pairs, round(min(j), 6) AS least, round(max(j), 6) AS most FROM (SELECT a, b, round").replace(">= 0.8", ">= 0.8)").replace("AS jaccard FROM p", "AS j FROM p"))
 def near_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified pairs and the range of their similarity."""
-    return jaccard_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").agg(F.count("*").alias("pairs"), F.round(F.min("jaccard"), 6).alias("least"), F.round(F.max("jaccard"), 6).alias("most"))
+    return jaccard_pairs(table(spark, sf_dir, "split_stream"), "doc_id", "text").agg(F.count("*").alias("pairs"), F.round(F.min("jaccard"), 6).alias("least"), F.round(F.max("jaccard"), 6).alias("most"))

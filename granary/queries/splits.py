@@ -9,8 +9,8 @@ from granary.queries import sql as S
 from granary.queries.duplicates import _CC
 
 _SENT = f"WITH RECURSIVE s AS (SELECT doc_id, unnest({S.sentences('text')}) AS s FROM documents), f AS (SELECT s, min(doc_id) AS a FROM s GROUP BY s), edges AS (SELECT DISTINCT f.a, s.doc_id AS b FROM s JOIN f USING (s) WHERE s.doc_id > f.a)" + _CC + ", p AS (SELECT d.doc_id, d.lang, coalesce(c.root, d.doc_id) AS component FROM documents d LEFT JOIN c ON c.node = d.doc_id) "
-_SPLIT = _SENT + """, v AS (SELECT component, lang, count(*) AS n FROM p GROUP BY 1, 2), e AS (SELECT component, sum(n) AS docs, arg_min(coalesce(lang, chr(0)), {'n': -n, 'l': coalesce(lang, chr(0))}) AS l FROM v GROUP BY 1),
- k AS (SELECT component, nullif(l, chr(0)) AS lang, docs, sha256('20260105:' || coalesce(nullif(l, chr(0)), '') || ':' || component) AS key, sum(docs) OVER (PARTITION BY l) AS total FROM e),
+_SPLIT = _SENT + """, v AS (SELECT component, lang, count(*) AS n FROM p GROUP BY 1, 2), e2 AS (SELECT component, sum(n) AS docs, arg_min(coalesce(lang, chr(0)), {'n': -n, 'l': coalesce(lang, chr(0))}) AS l FROM v GROUP BY 1),
+ k AS (SELECT component, nullif(l, chr(0)) AS lang, docs, sha256('20260105:' || coalesce(nullif(l, chr(0)), '') || ':' || component) AS key, sum(docs) OVER (PARTITION BY l) AS total FROM e2),
  a AS (SELECT component, lang, docs::BIGINT AS docs, CASE WHEN coalesce(sum(docs) OVER (PARTITION BY lang ORDER BY key, component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < greatest(round(total * 0.1), 1) THEN 'val' ELSE 'train' END AS split FROM k) """
 
 
@@ -39,7 +39,7 @@ def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ONCE = "WITH d AS (SELECT DISTINCT doc_id, split, text, source_id, component_id FROM split_stream), "
-_GRAM = f"g AS (SELECT doc_id, split, unnest({S.ngrams(S.tokens(S.compare_form('text')), 8)}) AS g FROM d WHERE split IN ('train', 'val', 'test')) "
+_GRAM = f"f AS MATERIALIZED (SELECT doc_id, split, {S.compare_form('text')} AS f FROM d WHERE split IN ('train', 'val', 'test')), w AS MATERIALIZED (SELECT doc_id, split, string_split(f, ' ') AS w FROM f WHERE length(f) > 0), g AS (SELECT doc_id, split, unnest({S.ngrams('w', 8)}) AS g FROM w) "
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +63,6 @@ def ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("overlap_rate", F.round(F.col("unique_overlapping_ngrams") / F.col("ngrams"), 6))
 
 
-_REPAIR = _ONCE + _GRAM + ", u AS (SELECT DISTINCT doc_id, split, g FROM g), "
-
-
 @query()
 def leak_repair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits after leaking records have been moved to train, record by record."""
@@ -78,7 +75,12 @@ def leak_repair_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_leaks(_records(spark, sf_dir), "doc_id", "text", "split", "component_id").where("moved_in > 0")
 
 
-@query(f"WITH d AS (SELECT DISTINCT doc_id, text FROM split_stream), t AS (SELECT doc_id, unnest({S.ngrams(S.tokens(S.compare_form('text')), 8)}) AS g FROM d), p AS (SELECT id AS item, unnest({S.ngrams(S.tokens(S.compare_form('prompt')), 8)}) AS g FROM m1_probe_v0 UNION ALL SELECT case_id, unnest({S.ngrams(S.tokens(S.compare_form('prompt')), 8)}) FROM dev_smoke_suite) SELECT item, count(DISTINCT doc_id) AS records, count(DISTINCT g) AS ngrams FROM p JOIN t USING (g) GROUP BY 1")
+_PROBE = f"""WITH d AS (SELECT DISTINCT doc_id AS k, text, 0 AS held FROM split_stream UNION ALL SELECT id, prompt, 1 FROM m1_probe_v0 UNION ALL SELECT case_id, prompt, 1 FROM dev_smoke_suite),
+ f AS MATERIALIZED (SELECT k, held, {S.compare_form('text')} AS f FROM d), w AS MATERIALIZED (SELECT k, held, string_split(f, ' ') AS w FROM f WHERE length(f) > 0), g AS (SELECT k, held, unnest({S.ngrams('w', 8)}) AS g FROM w)
+ SELECT p.k AS item, count(DISTINCT t.k) AS records, count(DISTINCT g) AS ngrams FROM (SELECT * FROM g WHERE held = 1) p JOIN (SELECT * FROM g WHERE held = 0) t USING (g) GROUP BY 1"""
+
+
+@query(_PROBE)
 def probe_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out prompts of which eight words in a row occur in records, as they are."""
     items = table(spark, sf_dir, "m1_probe_v0").select(F.col("id").alias("item"), "prompt").unionByName(table(spark, sf_dir, "dev_smoke_suite").select(F.col("case_id").alias("item"), "prompt"))

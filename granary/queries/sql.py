@@ -33,8 +33,7 @@ def sentences(t: str) -> str:
     return f"list_distinct(list_filter(list_transform({broken}, lambda s: {compare_form('s')}), lambda s: length(s) > 3))"
 
 
-def signature(g: str) -> str:
-    h = f"list_transform({g}, lambda s: ('0x' || substr(md5(s), 1, 7))::BIGINT)"
+def signature(h: str) -> str:
     return f"list_transform(range(0, {PERMUTATIONS}), lambda k: list_min(list_transform({h}, lambda x: ((1103515245 + 7919 * k) * x + (12345 + 104729 * k)) % {MERSENNE})))"
 
 
