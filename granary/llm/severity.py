@@ -197,7 +197,7 @@ def fit(texts: list[str], labels: list[str], background: list[str] = (), judged:
         for p in passages(t)[:1]:
             x.append(p), y.append(0), heavy.append(0.5)
     rows, y, heavy = [_features(w) for w in x], np.array(y), np.array(heavy)
-    vocabulary = frozenset(w for w, g in zip(x[:n], y) if g for w in w)
+    vocabulary = frozenset(w for words, g in zip(x[:n], y) if g for w in words if "*" not in w)
     if len(x) > n:
         first = SeverityModel(*_learn(rows[:n], y[:n], heavy[:n], rounds, seed), vocabulary)
         keep = np.array([i < n or first.offends(first.score(x[i])) < 0.5 for i in range(len(x))])
