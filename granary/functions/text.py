@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Unicode has it; the classes \s of Java and of other engines know ASCII only.
 WS = r"[\t-\r \x{85}\p{Z}]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row: the optimiser would write it out wherever body names it, within
+    lambdas once an element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends; case kept."""
     return F.regexp_replace(F.regexp_replace(c, WS, " "), "^ +| +$", "")
@@ -32,15 +43,23 @@ def tokens(c: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Every row of n words, joined by blanks, in order, repeats kept; none if there are fewer words."""
-    size = F.size(words)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def rows(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, many).otherwise(F.array().cast("array<string>"))
+
+    return let(words, rows)
 
 
 def shingles(text: Column, size: int = 24, step: int = 8) -> Column:
     """Distinct rows of ``size`` characters at every ``step``; a text not longer than that is one, an empty one has none."""
-    n = F.length(text)
-    many = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(step)), lambda i: F.substring(text, i + 1, F.lit(size)))
-    return F.when(n.isNull() | (n == 0), F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(F.array_distinct(many))
+
+    def cuts(t: Column) -> Column:
+        n = F.length(t)
+        many = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(step)), lambda i: F.substring(t, i + 1, F.lit(size)))
+        return F.when(n.isNull() | (n == 0), F.array().cast("array<string>")).when(n <= size, F.array(t)).otherwise(F.array_distinct(many))
+
+    return let(text, cuts)
 
 
 def sentences(text: Column) -> Column:
@@ -58,13 +77,17 @@ MERSENNE = 2147483647
 PERMUTATIONS, ROWS = 64, 8
 
 
-def signature(h: Column) -> Column:
-    """MinHash: the least of (a x + b) mod p over the hashes h of the shingles, for each of 64 pairs a, b."""
-    def least(k: int) -> Column:
-        a, b = F.lit(1103515245 + 7919 * k).cast("bigint"), F.lit(12345 + 104729 * k)
-        return F.array_min(F.transform(h, lambda x: (a * x + b) % F.lit(MERSENNE)))
+_A = np.array([1103515245 + 7919 * k for k in range(PERMUTATIONS)])[:, None]
+_B = np.array([12345 + 104729 * k for k in range(PERMUTATIONS)])[:, None]
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def signature(h: pd.Series) -> pd.Series:
+    """MinHash: the least of (a x + b) mod p over the hashes h of the shingles, for each of 64 pairs a, b; null for none.
 
-    return F.array(*[least(k) for k in range(PERMUTATIONS)])
+    8,000 steps a text are too slow one by one, so they are done on whole arrays, by Arrow batches.
+    """
+    return h.map(lambda x: ((_A * np.asarray(x)[None, :] + _B) % MERSENNE).min(axis=1) if x is not None and len(x) else None)
 
 
 def bands(sig: Column) -> Column:
