@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: White space as Unicode has it; the classes \s of Java and of other engines know ASCII only.
 WS = r"[\t-\r \x{85}\p{Z}]+"
@@ -75,25 +72,3 @@ def hash28(c: Column) -> Column:
 
 MERSENNE = 2147483647
 PERMUTATIONS, ROWS = 64, 8
-
-
-_A = np.array([1103515245 + 7919 * k for k in range(PERMUTATIONS)])[:, None]
-_B = np.array([12345 + 104729 * k for k in range(PERMUTATIONS)])[:, None]
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def signature(h: pd.Series) -> pd.Series:
-    """MinHash: the least of (a x + b) mod p over the hashes h of the shingles, for each of 64 pairs a, b; null for none.
-
-    8,000 steps a text are too slow one by one, so they are done on whole arrays, by Arrow batches.
-    """
-    return h.map(lambda x: ((_A * np.asarray(x)[None, :] + _B) % MERSENNE).min(axis=1) if x is not None and len(x) else None)
-
-
-def bands(sig: Column) -> Column:
-    """One key for each band of 8 rows; the band's number is part of it."""
-
-    def band(b: int) -> Column:
-        return F.concat(F.lit(f"{b}:"), F.md5(F.array_join(F.transform(F.slice(sig, b * ROWS + 1, ROWS), lambda x: x.cast("string")), ",")))
-
-    return F.array(*[band(b) for b in range(PERMUTATIONS // ROWS)])

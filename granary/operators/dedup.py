@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from granary.functions.text import bands, collapse, compare_form, fingerprint, hash28, shingles, signature
+from granary.functions.text import MERSENNE, PERMUTATIONS, ROWS, collapse, compare_form, fingerprint, hash28, shingles
 from granary.session import cut
 
 
@@ -40,12 +45,31 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, least: float = 0.8) -> Dat
     return out.where(F.col("jaccard") >= least)
 
 
+_A = np.array([1103515245 + 7919 * k for k in range(PERMUTATIONS)])[:, None]
+_B = np.array([12345 + 104729 * k for k in range(PERMUTATIONS)])[:, None]
+
+
+def _bands(hashes: list[int]) -> list[str]:
+    """A key for each band of 8 of the 64 minima of (a x + b) mod p; the band's number is part of it."""
+    least = ((_A * np.array(hashes)[None, :] + _B) % MERSENNE).min(axis=1).tolist()
+    return [f"{b}:" + hashlib.md5(",".join(map(str, least[b * ROWS : (b + 1) * ROWS])).encode()).hexdigest() for b in range(PERMUTATIONS // ROWS)]
+
+
 def band_keys(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, band) of the MinHash signature of each text; texts without shingles have none."""
-    # One projection a step: a step's result is used many times over in the next, and is to be computed once.
-    x = df.select(F.col(key).alias("k"), compare_form(F.col(text)).alias("t")).select("k", shingles(F.col("t")).alias("g")).where(F.size("g") > 0)
-    x = x.select("k", F.transform("g", hash28).alias("h")).select("k", signature(F.col("h")).alias("sig"))
-    return x.select("k", F.explode(bands(F.col("sig"))).alias("band"))
+    """(k, band) of the MinHash signature of each text; texts without shingles have none.
+
+    Shingles are hashed in the JVM; the 64 minima of a text's hashes, some 8,000 steps, are taken on whole arrays by Arrow
+    batches.
+    """
+    x = df.select(F.col(key).alias("k"), F.transform(shingles(compare_form(F.col(text))), hash28).alias("h"))
+    schema = T.StructType([T.StructField("k", x.schema["k"].dataType), T.StructField("band", T.StringType())])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            rows = [(k, band) for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if h for band in _bands(h)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], b.schema.field(0).type), pa.array([x for _, x in rows], pa.string())], ["k", "band"])
+
+    return x.mapInArrow(run, schema)
 
 
 def band_links(df: DataFrame, key: str, text: str) -> DataFrame:
