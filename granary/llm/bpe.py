@@ -166,8 +166,8 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
 
 
 def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    """df without text, with the number of tokens of text; null and empty texts have 0."""
-    rest = [c for c in df.columns if c != text]
+    """df without text, with the number of tokens of text; null and empty texts have 0. A column named like out is replaced."""
+    rest = [c for c in df.columns if c not in (text, out)]
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.LongType(), False)])
 
     def run(batches):  # noqa: ANN001, ANN202

@@ -38,8 +38,9 @@ def record_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     first time it sees it (so a text that a third of all rows hold is shuffled once a task), the distinct texts are
     then spread by hash and counted, and the counts joined back by hash. Deliveries of one key in several rows count
     once, the smallest hash and row standing for it. Null keys are left out; null and empty texts have 0 tokens.
+    Columns of df named like the results are replaced by them.
     """
-    rest = [c for c in df.columns if c not in (key, text)]
+    rest = [c for c in df.columns if c not in (key, text, "_h", "_r", "n_tokens", "has_text")]
     h = F.when(F.length(text) > 0, F.md5(F.col(text).cast("binary")))
     row = F.struct(h.alias("_h"), *rest)
     rows = df.where(F.col(key).isNotNull()).select(key, row.alias("_r")).groupBy(key).agg(F.min("_r").alias("_r")).select(key, "_r.*")

@@ -91,7 +91,7 @@ class Transducer:
                 to[1] += s[1]
         pairs = [f"[{re.escape(a)}][{re.escape(b)}]+" for a, b in (vowels, nuktas) if a]
         self.seen = [re.compile(p) for p in [f"[{single}{JOINERS}{MARKS}]", *pairs, *astral]]
-        parts = [f"[{single}][{MARKS}{JOINERS}]*" if single else "", f"[A-Za-zÀ-ɏ]?[{MARKS}]+", *pairs, f"[{JOINERS}]", *astral]
+        parts = [*pairs, f"[{single}][{MARKS}{JOINERS}]*" if single else "", f"[A-Za-zÀ-ɏ]?[{MARKS}]+", f"[{JOINERS}]", *astral]
         self.touched = re.compile("|".join(p for p in parts if p))
         self.invisible = re.compile("[" + "".join(re.escape(s) for s, t in self.rules.items() if not t) + "]") if any(not t for t in self.rules.values()) else None
         for s, t in self.rules.items():

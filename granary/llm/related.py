@@ -138,6 +138,10 @@ def writers(text: str) -> list[str]:
                 got = _surname(" ".join(inner.split()[:-1]))
             elif len(inner.split()) <= 3 and _plain_name(inner):
                 got = _surname(inner)
+        if got is None:
+            m = re.match(r"^(.+?)\s*:\s*(.+)$", line)
+            if m and _squeezed(m.group(2)) in AFTER:
+                got = _surname(m.group(1))
         if got is None:
             m = re.match(r"^(.{2,40}?)\s*(?:[:：©]|\s[-—–]|,)\s*(.+)$", line)
             if m and _squeezed(m.group(1).replace("©", "")) in BEFORE:
@@ -291,13 +295,12 @@ def _share(sizes: list[tuple[int, int]], goal: dict[str, float]) -> list[tuple[i
             best = max(names, key=lambda s: (left[s], s))
             other = max((left[s] for s in names if s != best), default=float("-inf"))
             run = n - at if other == float("-inf") else max(1, min(n - at, int((left[best] - other) // size)))
-            if run == 1 and n - at > 3000:  # all level: deal in proportion to the goals at one go
-                each = {s: int((n - at - 1000) * goal[s] / sum(goal.values())) for s in names}
+            if run == 1 and n - at > 3000 and max(left.values()) - min(left.values()) <= 2 * size:  # all level: in turn, at one go
+                each = (n - at - 1000) // len(names)
                 for s in names:
-                    if each[s]:
-                        out.append((size, at, at + each[s], s))
-                        at += each[s]
-                        left[s] -= each[s] * size
+                    out.append((size, at, at + each, s))
+                    at += each
+                    left[s] -= each * size
                 continue
             out.append((size, at, at + run, best))
             left[best] -= run * size

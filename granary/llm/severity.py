@@ -219,9 +219,10 @@ def rated(df: DataFrame, model: SeverityModel, key: str = "doc_id", text: str =
     """df without text, with severity (expected grade, 0 to 3) and chance (of any offence) of each row, in one pass.
 
     Null, empty and blank texts have 0 and 0. Rows are neither dropped nor merged, whatever their keys.
+    Columns named severity or chance are replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in df.columns if c not in (text, "severity", "chance")]
 
     def start():  # noqa: ANN202
         m = shared.value
