@@ -24,7 +24,7 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType = D
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """Text files split on blank lines: doc_id ("name:i"), text."""
-    x = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name"), F.regexp_replace("value", "\r\n?", "\n").alias("t"))
+    x = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name"), F.regexp_replace("value", "\r\n?", "\n").alias("t"))
     strip = lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")
     parts = F.filter(F.transform(F.split("t", r"\n\s*\n"), strip), lambda b: F.length(b) > 0)
     return x.select("name", F.posexplode(parts).alias("i", "text")).select(F.concat_ws(":", "name", F.col("i").cast("string")).alias("doc_id"), "text")
@@ -41,4 +41,5 @@ def union_unique(frames: list[DataFrame], key: str) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     twice = out.groupBy(key).agg(F.count("*").alias("_n"))
-    return out.join(twice.select(key, F.assert_true(F.col("_n") == 1, F.concat(F.lit("twice: "), F.col(key).cast("string"))).alias("_ok"), "_n"), key).where("_n = 1").drop("_ok", "_n")
+    once = twice.where(F.assert_true(F.col("_n") == 1, F.concat(F.lit("twice: "), F.col(key).cast("string"))).isNull())
+    return out.join(once.select(key), key)

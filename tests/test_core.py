@@ -49,7 +49,7 @@ def test_blocks(spark):
     d = spark.createDataFrame([(1, "a\nb  \n\n\nc\r\n\r\nd"), (2, None), (3, " \n ")], "id int, text string")
     assert [(r.id, r.block_no, r.block) for r in blocks(d, "id", "text").collect()] == [(1, 0, "a\nb"), (1, 1, "c"), (1, 2, "d")]
     chunks = [r.chunk for r in packed_blocks(d, "id", "text", 6, 1).collect()]
-    assert chunks == ["a\nb", "c\n\nd"]
+    assert chunks == ["a\nb\n\nc", "d"]
     assert one(spark, "<p>a &amp; b</p><script>x</script><div>c</div>", html_to_text).split() == ["a", "&", "b", "c"]
 
 
