@@ -36,11 +36,13 @@ def pick(df: DataFrame, by: list[str], key: str, count: Column | int, seed: int)
 def review_state(events: DataFrame, key: str, day: str, performance: str) -> DataFrame:
     """(key, stage, due_day, reviews): each key's reviews folded in order of day. From 0.8 on a stage up, under 0.5 two down.
 
-    The fold runs in the JVM over a key's own reviews, sorted; keys are independent.
+    Several reviews on a day count as one, with their mean, so a key has at most as many as there are days. The fold runs in
+    the JVM over a key's own reviews, sorted; keys are independent.
     """
     top = len(STAGES) - 1
     days = F.array(*[F.lit(d) for d in STAGES])
-    each = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(day).cast("int").alias("d"), F.col(performance).cast("double").alias("p")))).alias("r"))
+    daily = events.groupBy(key, F.col(day).cast("int").alias("d")).agg(F.avg(F.col(performance).cast("double")).alias("p"))
+    each = daily.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("d", "p"))).alias("r"))
     start = F.struct(F.lit(0).alias("stage"), F.lit(None).cast("int").alias("due"), F.lit(0).alias("n"))
 
     def step(s: Column, e: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import compare_form, ngrams, sentences, tokens
 from granary.operators.dedup import connected
+from granary.operators.running import running_total
 from granary.session import cut
 
 
@@ -31,9 +32,9 @@ def assign_split(parts: DataFrame, language: str, fraction: float, seed: int) ->
     each = votes.groupBy("component").agg(F.sum("n").alias("docs"), F.min_by(language, F.struct(-F.col("n"), F.col(language))).alias("lang"))
     totals = each.groupBy("lang").agg(F.sum("docs").alias("total"))
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce("lang", F.lit("")), F.col("component").cast("string")), 256)
-    w = Window.partitionBy("lang").orderBy("key", "component").rowsBetween(Window.unboundedPreceding, -1)
-    x = each.join(totals, each.lang.eqNullSafe(totals.lang)).drop(totals.lang).withColumn("key", key)
-    before = F.coalesce(F.sum("docs").over(w), F.lit(0))
+    x = each.join(totals, each.lang.eqNullSafe(totals.lang)).drop(totals.lang).withColumn("_key", F.concat(key, F.lit(":"), F.col("component").cast("string")))
+    x = running_total(x, "lang", "_key", "docs", "_upto")
+    before = F.col("_upto") - F.col("docs")
     return x.select("component", "lang", "docs", F.when(before < F.greatest(F.round(F.col("total") * fraction), F.lit(1)), "val").otherwise("train").alias("split"))
 
 

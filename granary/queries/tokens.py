@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import WS
+from granary.operators.running import running_total
 from granary.queries import query, table
 from granary.queries import sql as S
 
@@ -43,7 +44,7 @@ _OFF = f"SELECT doc_id, source, {_N} AS n, (sum({_N} + 1) OVER (PARTITION BY sou
 
 def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", _count().alias("n"))
-    return d.withColumn("stop", F.sum(F.col("n") + 1).over(Window.partitionBy("source").orderBy("doc_id")))
+    return running_total(d.withColumn("m", F.col("n") + 1), "source", "doc_id", "m", "stop").drop("m")
 
 
 @query(f"SELECT doc_id, source, stop - n - 1 AS start, stop FROM ({_OFF})")
@@ -63,9 +64,8 @@ def window_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, source FROM (SELECT *, coalesce(sum(coalesce(length(text), 0)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 20000")
 def training_text_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first documents of each source until 20,000 characters are reached, the crossing one included."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     x = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).alias("c"))
-    return x.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).where("before < 20000").select("doc_id", "source")
+    return running_total(x, "source", "doc_id", "c", "upto").where("upto - c < 20000").select("doc_id", "source")
 
 
 @query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) WHERE n <= 60")
