@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.functions.text import let
+
 # Phrases that mark boilerplate, limits of the quality filter, patterns of markup (in order).
 BOILERPLATE = ("all rights reserved", "click here to subscribe", "enable javascript", "404 not found", "this page requires cookies")
 LIMITS = {"min_chars": 120, "max_chars": 100_000, "min_alnum": 0.35, "max_line": 0.55, "max_url": 0.15, "max_symbol": 0.35}
@@ -56,7 +58,10 @@ def mojibake_repaired(c: Column) -> Column:
 def reject_reasons(c: Column, **limits: float) -> Column:
     """All reasons, in order, for which a text is rejected; none for a good one. Null counts as empty."""
     p = {**LIMITS, **limits}
-    t = F.coalesce(c, F.lit(""))
+    return let(F.coalesce(c, F.lit("")), lambda t: _reasons(t, p))
+
+
+def _reasons(t: Column, p: dict) -> Column:
     n = F.length(t)
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.regexp_replace(x, r"[\t-\r \x{85}\p{Z}]", "")) > 0)
     most = F.array_max(F.transform(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x))))

@@ -74,7 +74,7 @@ def band_keys(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def band_links(df: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b): the least key of each band, and every other key with it. Never all pairs of a band."""
-    k = band_keys(df, key, text)
+    k = cut(band_keys(df, key, text))
     first = k.groupBy("band").agg(F.min("k").alias("a"), F.count("*").alias("n")).where("n > 1")
     return k.join(first, "band").where("k > a").select("a", F.col("k").alias("b")).distinct()
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from granary.functions.text import let
+
 # Ranges of scripts, scripts that a label allows, markers of languages.
 SCRIPTS = {
     "devanagari": r"[\x{900}-\x{97f}]", "bengali": r"[\x{980}-\x{9ff}]", "gurmukhi": r"[\x{a00}-\x{a7f}]", "gujarati": r"[\x{a80}-\x{aff}]",
@@ -59,15 +61,21 @@ def romanised_score(text: Column) -> Column:
 
 def identify(text: Column, declared: Column) -> Column:
     """The language by rules: mixed scripts, the first script with half the letters, markers in Devanagari, romanised Hindi."""
-    dev, lat = script_share(text, "devanagari"), script_share(text, "latin")
-    hi, mr, sa = (marker_score(text, x) for x in MARKERS)
+    counts = F.array(*[script_count(text, s) for s in SCRIPTS])
+    shares = let(counts, lambda c: F.transform(c, lambda n: n / F.greatest(F.aggregate(c, F.lit(0), lambda a, b: a + b), F.lit(1))))
+    markers = F.array(*[marker_score(text, x) for x in MARKERS])
+    return let(shares, lambda s: let(markers, lambda m: _rules(dict(zip(SCRIPTS, (s[i] for i in range(len(SCRIPTS))))), m[0], m[1], m[2], romanised_score(text), declared)))
+
+
+def _rules(share: dict[str, Column], hi: Column, mr: Column, sa: Column, romanised: Column, declared: Column) -> Column:
+    dev, lat = share["devanagari"], share["latin"]
     clear = [(hi >= 0.05) & (hi >= mr) & (hi >= sa) & (hi >= 2 * F.greatest(mr, sa)), (mr >= 0.05) & (mr > hi) & (mr >= sa) & (mr >= 2 * F.greatest(hi, sa)), (sa >= 0.05) & (sa > hi) & (sa > mr) & (sa >= 2 * F.greatest(hi, mr))]
     out = F.when((dev >= 0.40) & (lat >= 0.20), "hinc-deva")
     for s, label in LABELS.items():
         if s not in ("devanagari", "latin"):
-            out = out.when(script_share(text, s) >= 0.5, label)
+            out = out.when(share[s] >= 0.5, label)
     deva = F.when(clear[0], "hi").when(clear[1], "mr").when(clear[2], "sa").when(declared.isin("hi", "mr", "sa"), declared).otherwise("hi")
-    return out.when(dev >= 0.5, deva).when((lat >= 0.5) & (romanised_score(text) >= 0.18), "hinc-latn").when(lat >= 0.5, "en").otherwise("unknown")
+    return out.when(dev >= 0.5, deva).when((lat >= 0.5) & (romanised >= 0.18), "hinc-latn").when(lat >= 0.5, "en").otherwise("unknown")
 
 
 def script_agrees(text: Column, label: Column, least: float = 0.5) -> Column:
