@@ -1,16 +1,14 @@
 """Problem 6: records of evaluation splits that occur again, exactly or almost, in train.
 
-Evaluation records are read in shards of bounded size. A shard's passages (short rows of words within a line) make an
-Aho-Corasick automaton; every training text runs through it, the matched intervals are merged into a coverage of each
-evaluation record, and records that enough passages of a text cover are compared with it word by word.
+Evaluation records are read in shards of bounded size. A prefix filter on a shard's bags of words gives, for every training
+text, all evaluation records that can have enough words in common with it; those that do are compared with it word by word.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,7 +19,7 @@ from pyspark.sql import types as T
 from granary.llm.words import lines_of_words
 from granary.session import cut
 
-#: Words of evaluation text in a shard: bounds what is broadcast (4 bytes a word) and each automaton.
+#: Words of evaluation text in a shard: bounds what is broadcast (4 bytes a word) and each index.
 SHARD_WORDS = 8_000_000
 _IDS: dict[str, int] = {}
 
@@ -96,85 +94,85 @@ def almost_same(a: list[list[int]], b: list[list[int]], share: float) -> bool:
     return (len(a) > 1 or len(b) > 1) and (common_in_order(x, _in_order_of(a, b)) >= need or common_in_order(y, _in_order_of(b, a)) >= need)
 
 
-def passages(lines: list[list[int]]) -> list[tuple[int, ...]]:
-    """Rows of words that don't overlap and stay within a line: four words, in texts of under 24 words two, of under 5 one."""
-    n = sum(map(len, lines))
-    k = 4 if n >= 24 else 2 if n >= 5 else 1
-    out = []
-    for line in lines:
-        cuts = [tuple(line[i : i + k]) for i in range(0, len(line), k)]
-        if len(cuts) > 1 and len(cuts[-1]) < k:
-            cuts.pop()
-        out += cuts
-    return out
+def _tokens(words: np.ndarray) -> np.ndarray:
+    """Each word with its number among the same words of the text, so that what two texts have in common is counted as sets."""
+    words = np.sort(words)
+    n = np.arange(len(words))
+    new = np.empty(len(words), bool)
+    new[0], new[1:] = True, words[1:] != words[:-1]
+    return words.astype(np.uint64) << np.uint64(32) | (n - np.maximum.accumulate(n * new)).astype(np.uint64)
 
 
 class Shard:
-    """The automaton over the rarest passages of a block of evaluation records, and the records themselves."""
+    """A block of evaluation records, and which of them have a word among their rarest.
 
-    #: Passages kept of a record, at least, and as a share of its passages.
-    LEAST, PART = 12, 0.3
+    Two texts that are almost the same have at least ``share`` of the longer one's words in common. A text of n words that
+    offers its rarest n - share n + k ones leaves share n - k, so k of those in common are offered by both, in whatever order
+    words are ranked (prefix filter). Every pair that can reach ``share`` is thus compared.
+    """
+
+    #: k as a part of a text's words: more words offered, fewer records compared; the result is the same.
+    MORE = 0.2
 
     def __init__(self, records: list[tuple[int, bytes]], share: float):
         self.share, self.records = share, records
-        n = len(records)
-        self.size, self.least = np.zeros(n, np.int64), np.ones(n, np.int64)
-        cut_up: list[list[tuple[int, ...]]] = []
-        for i, (_, data) in enumerate(records):
-            lines = unpacked(data)
-            self.size[i] = sum(map(len, lines))
-            cut_up.append(list(dict.fromkeys(passages(lines))))
-        often = Counter(p for ps in cut_up for p in ps)
-        holds: dict[tuple[int, ...], list[int]] = defaultdict(list)
-        for i, ps in enumerate(cut_up):
-            # An almost-same text keeps most passages; the rarest tell records apart, so common ones are left out.
-            keep = sorted(ps, key=lambda p: (often[p], p))[: max(self.LEAST, int(len(ps) * self.PART))]
-            self.least[i] = 1 if len(keep) == len(ps) else 2  # of the rarest of many, one alone says little
-            for p in keep:
-                holds[p].append(i)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        self.length, self.holders = [], []
-        for k, (p, rs) in enumerate(holds.items()):
-            self.automaton.add_word(p, k)
-            self.length.append(len(p))
-            self.holders.append(np.array(rs, np.int32))
-        self.automaton.make_automaton()
-        self.empty = not holds
+        self.empty = not records
+        if self.empty:
+            return
+        texts = [np.frombuffer(data, np.uint32) for _, data in records]
+        texts = [_tokens(x[x > 0]) for x in texts]
+        self.size = np.array(list(map(len, texts)))
+        self.hits = self._hits(self.size)
+        self.words, word, often = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+        # Words are ranked by the number of records that hold them; those that none holds come before all others.
+        self.rank = np.empty(len(self.words), np.int64)
+        self.rank[np.argsort(often, kind="stable")] = np.arange(len(self.words))
+        of, word = np.repeat(np.arange(len(texts)), self.size), self.rank[word]
+        word = word[np.lexsort((word, of))]
+        first = np.arange(len(of)) - (np.cumsum(self.size) - self.size)[of] < self._offered(self.size)[of]
+        of, word = of[first], word[first]
+        self.span = int(self.size.max()) + 1
+        at = word * self.span + self.size[of]  # by word, then by size
+        order = np.argsort(at, kind="stable")
+        self.at, self.holder = at[order], of[order].astype(np.int32)
+
+    def _need(self, n):  # noqa: ANN001, ANN202
+        """Words that a text of n words must have in common with another."""
+        return np.maximum(np.ceil(self.share * n - 1e-9), 1).astype(np.int64)
+
+    def _hits(self, n):  # noqa: ANN001, ANN202
+        return np.minimum(np.maximum((self.MORE * n).astype(np.int64), 1), self._need(n))
+
+    def _offered(self, n):  # noqa: ANN001, ANN202
+        return n - self._need(n) + self._hits(n)
+
+    def candidates(self, text: list[int]) -> np.ndarray:
+        """Records of fitting size that offer enough of the words that the text offers."""
+        n = np.int64(len(text))
+        own = _tokens(np.array(text, np.uint32))
+        at = np.minimum(np.searchsorted(self.words, own), len(self.words) - 1)
+        word = self.rank[at[self.words[at] == own]]
+        need, offered = self._need(n), self._offered(n) - (n - len(word))
+        if len(word) < need or offered < 1:
+            return np.empty(0, np.int64)
+        word = np.sort(word)[:offered] * self.span
+        low = np.searchsorted(self.at, word + min(need, self.span))
+        high = np.searchsorted(self.at, word + min(int((n + 1e-9) / self.share), self.span - 1), "right")
+        times = np.bincount(self.holder[_ranges(low, high)], minlength=len(self.size))
+        return np.flatnonzero(times >= np.minimum(self.hits, self._hits(n)))
 
     def find(self, lines: list[list[int]]) -> list[int]:
         """Evaluation records that are almost the text of these lines."""
         if self.empty:
             return []
-        text = tuple(w for line in lines for w in line)
-        n = len(text)
-        found = list(self.automaton.iter(text))
-        if not found:
-            return []
-        ends: dict[int, list[int]] = {}  # passage: where it ends in the text
-        for end, k in found:
-            ends.setdefault(k, []).append(end)
-        passage = list(ends)
-        every = np.concatenate([self.holders[k] for k in passage]) if len(passage) > 1 else self.holders[passage[0]]
-        rs, times = np.unique(every, return_counts=True)
-        m = self.size[rs]
-        rs = rs[(times >= self.least[rs]) & (m >= self.share * n - 1e-9) & (n >= self.share * m - 1e-9)]
-        if not len(rs):
-            return []
-        spans: dict[int, list[tuple[int, int]]] = {r: [] for r in rs.tolist()}
-        at = rs[np.minimum(np.searchsorted(rs, every), len(rs) - 1)] == every
-        of = np.repeat(np.arange(len(passage)), [len(self.holders[k]) for k in passage])[at]
-        for i, r in zip(of.tolist(), every[at].tolist()):
-            k = passage[i]
-            spans[r] += [(e - self.length[k], e) for e in ends[k]]
-        out = []
-        for r, at in spans.items():
-            covered, last = 0, -1
-            for a, b in sorted(at):  # the union of the matched intervals
-                covered += max(0, b - max(a, last))
-                last = max(last, b)
-            if covered >= 0.03 * n and almost_same(unpacked(self.records[r][1]), lines, self.share):
-                out.append(self.records[r][0])
-        return out
+        rs = self.candidates([w for line in lines for w in line]).tolist()
+        return [self.records[r][0] for r in rs if almost_same(unpacked(self.records[r][1]), lines, self.share)]
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers from each low up to its high."""
+    n = np.maximum(high - low, 0)
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def numbered(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -227,6 +227,26 @@ def test_overlaps_equal_brute_force(spark, awkward):
     assert overlap.cross_split_overlaps(awkward.limit(0)).count() == 0
 
 
+def test_overlaps_of_many_near_copies_equal_brute_force():
+    rng = random.Random(4)
+    train = [rng.randrange(1, 5000) for _ in range(100)]
+    held = []
+    for i in range(60):  # each with words of its own, which are the rarest among the copies
+        ws = list(train)
+        for j in range(i % 5, 100, 5) if i < 10 else rng.sample(range(100), rng.randint(10, 24)):
+            ws[j] = rng.randrange(10_000, 20_000)
+        held.append([ws[j : j + 10] for j in range(0, 100, 10)])
+    lines = [train[j : j + 10] for j in range(0, 100, 10)]
+    want = [i for i, x in enumerate(held) if overlap.almost_same(x, lines, 0.8)]
+    assert 20 < len(want) < 60
+    assert overlap.Shard([(i, overlap.packed(x)) for i, x in enumerate(held)], 0.8).find(lines) == want
+    for share in (0.5, 0.8, 1.0):
+        texts = [[[rng.randrange(1, 8) for _ in range(rng.randint(1, 25))] for _ in range(rng.randint(1, 2))] for _ in range(120)]
+        shard = overlap.Shard([(i, overlap.packed(x)) for i, x in enumerate(texts)], share)
+        for x in texts[:60]:
+            assert sorted(shard.find(x)) == [i for i, y in enumerate(texts) if overlap.almost_same(y, x, share)]
+
+
 def test_common_in_order():
     rng = random.Random(1)
     for _ in range(200):
