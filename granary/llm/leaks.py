@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -123,7 +122,16 @@ class Detector:
         self.seed = max(2, min([least, *(len(v) for v in self.sam.items.values())]) // 2)
 
     def leaks(self, text: list[str]) -> list[Leak]:
-        found: dict[str, list[Leak]] = defaultdict(list)
+        """The leak of most words of each item."""
+        best: dict[str, Leak] = {}
+        for x in self.every_leak(text):
+            if x.item not in best or (x.words, x.start - x.end) > (best[x.item].words, best[x.item].start - best[x.item].end):
+                best[x.item] = x
+        return list(best.values())
+
+    def every_leak(self, text: list[str]) -> list[Leak]:
+        """All leaks of all items, those of one passage with different edits included."""
+        found: dict[Leak, None] = {}
         sam = self.sam
         for start, end, state in sam.runs(text, self.seed):
             for key, at in sam.ends[state]:
@@ -134,10 +142,9 @@ class Detector:
                 for left, right in ((back, (0, 0, 0)), ((0, 0, 0), on)):
                     same, span = n + left[0] + right[0], n + left[2] + right[2]
                     if same >= need or same == need - 1 >= 4 and max(span, min(same + 1, len(item))) >= need:
-                        found[key].append(Leak(key, same, max(span, same), len(item), start - left[1], end + right[1]))
-        best = [max(v, key=lambda x: (x.words, x.start - x.end)) for v in found.values()]
+                        found[Leak(key, same, max(span, same), len(item), start - left[1], end + right[1])] = None
         # Items made to one pattern share words: what needs an edit where another item is found in more words is that one.
-        return [x for x in best if x.words == x.span >= self.least or not any(y.item != x.item and y.words > x.words and 2 * (min(x.end, y.end) - max(x.start, y.start)) > x.end - x.start for y in best)]
+        return [x for x in found if x.words == x.span >= self.least or not any(y.item != x.item and y.words > x.words and 2 * (min(x.end, y.end) - max(x.start, y.start)) > x.end - x.start for y in found)]
 
 
 def item_words(items: DataFrame, key: str, prompt: str, most: int = 100_000) -> dict[str, list[str]]:
@@ -175,10 +182,16 @@ def without_leaks(df: DataFrame, items: dict[str, list[str]], text: str = "text"
     """df with the text less every leaked span of more than ``length`` words or more than ``coverage`` of its item.
 
     A text without such a span is kept as it is; in the others markup and escapes are undone, for spans lie across them.
+    What is left is looked through again, as words that a span stood between may make another.
     """
 
     def cleaned(d: Detector, t: str) -> str:
-        spans = [(x.start, x.end) for x in d.leaks(words_of(t)) if x.words > length or x.words > coverage * x.size]
+        while (less := shortened(d, t)) != t:
+            t = less
+        return t
+
+    def shortened(d: Detector, t: str) -> str:
+        spans = [(x.start, x.end) for x in d.every_leak(words_of(t)) if x.words > length or x.words > coverage * x.size]
         if not spans:
             return t
         p = plain(t)

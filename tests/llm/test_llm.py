@@ -197,6 +197,18 @@ def test_leaks(spark, awkward):
     assert [r.clean for r in got] == ["a  z", None, ""]
 
 
+def test_every_leaked_span_is_removed(spark):
+    item = [f"i{i}" for i in range(40)]
+    items = {"long": item, "other": [f"o{i}" for i in range(20)]}
+    a, b = " ".join(item[:12]), " ".join(item[25:40])
+    edited = [*item[:12], "x", *item[13:25], "y", *item[26:40]]
+    texts = [f"p {a} q {a} r", f"p {a} q {b} r", " ".join(["p", *edited, "r"]), f"p {a} q {' '.join(items['other'])} r {b} s", f"p {' '.join(item[:6])} {b} {' '.join(item[6:12])} q"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.clean.split() for r in leaks.without_leaks(d, items).select("clean").collect()]
+    assert got == [["p", "q", "r"], ["p", "q", "r"], ["p", "r"], ["p", "q", "r", "s"], ["p", "q"]]
+    assert all(not leaks.Detector(items).leaks(x) for x in got)
+
+
 def _edited(ws, rng, share):
     ws = list(ws)
     for _ in range(int(share * len(ws))):
