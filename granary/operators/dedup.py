@@ -45,6 +45,14 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, least: float = 0.8) -> Dat
     return out.where(F.col("jaccard") >= least)
 
 
+def verified_links(df: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
+    """(a, b), a < b: the pairs of ``jaccard_pairs``, and the first of the copies of a text tied to the others."""
+    x = df.select(F.col(key).alias("k"), compare_form(F.col(text)).alias("t")).where("length(t) > 0").select("k", F.sha2("t", 256).alias("t"))
+    first = x.groupBy("t").agg(F.min("k").alias("a"), F.count("*").alias("n")).where("n > 1")
+    copies = x.join(first, "t").where("k > a").select("a", F.col("k").alias("b"))
+    return jaccard_pairs(df, key, text, least).select("a", "b").unionByName(copies).distinct()
+
+
 _A = np.array([1103515245 + 7919 * k for k in range(PERMUTATIONS)])[:, None]
 _B = np.array([12345 + 104729 * k for k in range(PERMUTATIONS)])[:, None]
 

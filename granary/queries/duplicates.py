@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.text import fingerprint
-from granary.operators.dedup import band_keys, band_links, connected, exact_winners, jaccard_pairs
+from granary.operators.dedup import band_keys, band_links, connected, exact_winners, jaccard_pairs, verified_links
 from granary.queries import query, table
 from granary.queries import sql as S
 
@@ -78,6 +78,13 @@ def near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("root").agg(F.count("*").alias("members"), F.max("node").alias("last_doc"))
 
 
+@query()
+def verified_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of documents tied by every verified pair, complete without banding, each under its first document."""
+    x = connected(verified_links(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return x.groupBy("root").agg(F.count("*").alias("members"), F.max("node").alias("last_doc"))
+
+
 @query(_JACCARD.replace("SELECT a, b, round", "SELECT count(*) AS pairs, round(min(j), 6) AS least, round(max(j), 6) AS most FROM (SELECT a, b, round").replace(">= 0.8", ">= 0.8)").replace("AS jaccard FROM p", "AS j FROM p"))
 def near_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified pairs and the range of their similarity."""

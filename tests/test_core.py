@@ -70,6 +70,27 @@ def test_near_pairs_and_components(spark):
     assert connected(chain.limit(0)).count() == 0
 
 
+def test_verified_clusters_equal_brute_force(spark, tmp_path):
+    from granary.queries import QUERIES
+
+    rows = []
+    for i in range(30):  # pairs of a similarity of 0.8 and little more or less, and a copy
+        words = [f"w{i:02}x{j:03}" for j in range(100)]  # a word and its blank are 8 characters, a step of the shingles
+        rows += [(f"a{i:02}", " ".join(words)), (f"b{i:02}", " ".join([*words[: 87 + i % 5], *(f"v{i:02}x{j:03}" for j in range(13 - i % 5))])), (f"c{i:02}", " ".join(words).upper())]
+    d = spark.createDataFrame([*rows, ("d", None), ("e", " ")], "doc_id string, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    grams = {r.doc_id: set(r.g) for r in d.select("doc_id", shingles(F.lower("text")).alias("g")).collect() if r.doc_id not in "de"}
+    want = {}
+    for i in range(30):
+        a, b = grams[f"a{i:02}"], grams[f"b{i:02}"]
+        same = len(a & b) / len(a | b) >= 0.8
+        want[f"a{i:02}"] = (3, f"c{i:02}") if same else (2, f"c{i:02}")
+    assert {n for n, _ in want.values()} == {2, 3}
+    got = lambda name: {r.root: (r.members, r.last_doc) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got("verified_duplicate_clusters") == want
+    assert got("near_duplicate_clusters") != want  # its SQL has it that bands alone tie documents
+
+
 def test_no_component_straddles(spark):
     rows = [(i, f"This is sentence {i // 3} of many. Own part {i}.", "en") for i in range(60)]
     d = spark.createDataFrame(rows, "id int, text string, lang string")
