@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -92,6 +93,34 @@ class SuffixAutomaton:
         return out
 
 
+    def matches(self, words: list[str], least: int) -> Iterator[tuple[int, int, str, int]]:
+        """(start, end, item, end in the item) of the stretches of at least so many words that each item shares with words
+        and that go no further on either side, those within a longer stretch of another item included."""
+        s = n = 0
+        nxt, link, length, get = self.next, self.link, self.len, self.ids.get
+        for i, w in enumerate(words):
+            c = get(w)
+            while s > 0 and c not in nxt[s]:
+                s = link[s]
+                n = length[s]
+            if c not in nxt[s]:
+                n = 0
+                continue
+            s, n = nxt[s][c], n + 1
+            after = words[i + 1] if i + 1 < len(words) else None
+            seen: set[tuple[str, int]] = set()
+            t, m = s, n
+            while m >= least:
+                for key, at in self.ends[t]:
+                    if (key, at) not in seen:
+                        seen.add((key, at))
+                        item = self.items[key]
+                        if at == len(item) or item[at] != after:
+                            yield i + 1 - m, i + 1, key, at
+                t = link[t]
+                m = length[t]
+
+
 def _same(a: list[str], i: int, b: list[str], j: int, step: int) -> int:
     """How many words are the same from a[i] and b[j] on, forwards or backwards."""
     n = 0
@@ -133,18 +162,18 @@ class Detector:
         """All leaks of all items, those of one passage with different edits included."""
         found: dict[Leak, None] = {}
         sam = self.sam
-        for start, end, state in sam.runs(text, self.seed):
-            for key, at in sam.ends[state]:
-                item, n = sam.items[key], end - start
-                back = _beyond_edit(text, start - 1, item, at - n - 1, -1)
-                on = _beyond_edit(text, end, item, at, 1)
-                need = min(self.least, len(item))
-                for left, right in ((back, (0, 0, 0)), ((0, 0, 0), on)):
-                    same, span = n + left[0] + right[0], n + left[2] + right[2]
-                    if same >= need or same == need - 1 >= 4 and max(span, min(same + 1, len(item))) >= need:
-                        found[Leak(key, same, max(span, same), len(item), start - left[1], end + right[1])] = None
-        # Items made to one pattern share words: what needs an edit where another item is found in more words is that one.
-        return [x for x in found if x.words == x.span >= self.least or not any(y.item != x.item and y.words > x.words and 2 * (min(x.end, y.end) - max(x.start, y.start)) > x.end - x.start for y in found)]
+        for start, end, key, at in sam.matches(text, self.seed):
+            item, n = sam.items[key], end - start
+            back = _beyond_edit(text, start - 1, item, at - n - 1, -1)
+            on = _beyond_edit(text, end, item, at, 1)
+            need = min(self.least, len(item))
+            for left, right in ((back, (0, 0, 0)), ((0, 0, 0), on)):
+                same, span = n + left[0] + right[0], n + left[2] + right[2]
+                if same >= need or same == need - 1 >= 4 and max(span, min(same + 1, len(item))) >= need:
+                    found[Leak(key, same, max(span, same), len(item), start - left[1], end + right[1])] = None
+        # Items made to one pattern share words: what needs an edit where another item is found in more words is that one;
+        # a short item found whole, as it is, stays.
+        return [x for x in found if x.words == x.span >= self.least or x.words == x.size == x.end - x.start or not any(y.item != x.item and y.words > x.words and 2 * (min(x.end, y.end) - max(x.start, y.start)) > x.end - x.start for y in found)]
 
 
 def item_words(items: DataFrame, key: str, prompt: str, most: int = 100_000) -> dict[str, list[str]]:

@@ -197,6 +197,27 @@ def test_leaks(spark, awkward):
     assert [r.clean for r in got] == ["a  z", None, ""]
 
 
+def test_items_within_a_longer_match_of_another():
+    long = [f"i{i}" for i in range(30)]
+    d = leaks.Detector({"long": long, "within": ["a", *long[5:14], "b"], "short": long[20:25], "other": ["c", "d", "e", "f", "g", "h"]})
+    assert {x.item for x in d.leaks(["p", *long, "q"])} == {"long", "within", "short"}
+    assert {x.item for x in d.leaks(["p", *long[:20], "q"])} == {"long", "within"}
+    rng = random.Random(6)
+    items = {f"k{i}": [rng.choice("abcd") for _ in range(rng.randint(3, 30))] for i in range(12)}
+    sam = leaks.SuffixAutomaton(items)
+    for _ in range(60):
+        text = [rng.choice("abcde") for _ in range(40)]
+        want = set()
+        for k, item in items.items():
+            for i in range(len(text)):
+                for j in range(len(item)):
+                    n = leaks._same(text, i, item, j, 1)
+                    if n >= 3 and not (i and j and text[i - 1] == item[j - 1]):
+                        want.add((i, i + n, k, j + n))
+        got = list(sam.matches(text, 3))
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_every_leaked_span_is_removed(spark):
     item = [f"i{i}" for i in range(40)]
     items = {"long": item, "other": [f"o{i}" for i in range(20)]}
