@@ -46,11 +46,31 @@ def best_fit(left: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(sorted(c.items(), reverse=True)), b) for r in rooms.values() for c, b in r]
 
 
+def dominated(waste: int, chosen: tuple[tuple[int, int], ...], left: dict[int, int]) -> bool:
+    """Whether an item left over fits in place of smaller ones chosen (or of none) that are no more than it together.
+
+    Those could go where that item goes, so no packing gains by this filling.
+    """
+    use, sums = dict(chosen), 1  # bit i: smaller items chosen that sum to i
+    smaller = sorted(use)
+    i = 0
+    for size in sorted(left):
+        while i < len(smaller) and smaller[i] < size:
+            for _ in range(use[smaller[i]]):
+                sums |= sums << smaller[i]
+            i += 1
+        if left[size] > use.get(size, 0):
+            low = max(size - waste, 0)
+            if sums >> low & ((1 << (size - low + 1)) - 1):
+                return True
+    return False
+
+
 def fillings(room: int, left: dict[int, int], sizes: list[int], most_waste: int, want: int, nodes: int = 4000) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """Up to ``want`` undominated fillings of a room as (waste, ((size, how many), ...)), least waste first.
 
-    Larger items are tried first, so a filling comes before those that it dominates (the same space in smaller pieces, or
-    one item exchanged for a smaller); branches whose items can't bring the waste below the worst kept are pruned.
+    Larger items are tried first, so a filling comes before those that it dominates, which are left out; branches whose
+    items can't bring the waste below the worst kept are pruned. The first filling tried is never dominated.
     """
     found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     sums = [0] * (len(sizes) + 1)
@@ -67,7 +87,7 @@ def fillings(room: int, left: dict[int, int], sizes: list[int], most_waste: int,
         while i < len(sizes) and sizes[i] > room:
             i += 1
         if i == len(sizes) or room == 0:
-            if room <= worst():
+            if room <= worst() and not dominated(room, tuple(chosen), left):
                 found.append((room, tuple(chosen)))
                 found.sort(key=lambda f: f[0])
                 del found[want:]

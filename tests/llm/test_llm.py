@@ -308,6 +308,24 @@ def test_bins_hold_everything():
         packing.bin_completion({11: 1}, 10)
 
 
+def test_no_filling_is_dominated():
+    rng = random.Random(8)
+    for _ in range(40):
+        left = {s: rng.randint(1, 2) for s in rng.sample(range(1, 12), 6)}
+        room, pool = rng.randint(8, 20), [s for s, n in left.items() for _ in range(n)]
+        every = {tuple(sorted(Counter(x).items(), reverse=True)) for n in range(len(pool) + 1) for x in itertools.combinations(pool, n) if sum(x) <= room}
+
+        def worse(f):  # noqa: ANN001, ANN202
+            waste, mine = room - sum(s * n for s, n in f), [s for s, n in f for _ in range(n)]
+            parts = {x for n in range(len(mine) + 1) for x in itertools.combinations(mine, n)}
+            return any(left[j] > dict(f).get(j, 0) and any(all(y < j for y in x) and sum(x) <= j <= sum(x) + waste for x in parts) for j in left)  # noqa: B023
+
+        got = packing.fillings(room, left, sorted((s for s in left if s <= room), reverse=True), room, 10_000, 1_000_000)
+        by = Counter(tuple(f) for _, f in got)
+        want = {f for f in every if not worse(f)}
+        assert set(by) <= want and (set(by) == want or min(w for w, _ in got) == 0)
+
+
 def test_packing(spark, awkward):
     plan = spark.createDataFrame([("small", 16, "byte_bpe_50k"), ("large", 300, "byte_bpe_50k")], "container string, capacity_tokens int, tokenizer string")
     got = packing.packed(awkward, plan).collect()
