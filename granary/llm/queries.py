@@ -155,14 +155,16 @@ def _severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = table(spark, sf_dir, "documents")
     reviewed = table(spark, sf_dir, "moderation_samples").where("text IS NOT NULL AND label IS NOT NULL").orderBy("sample_id").select("text", "label").limit(REVIEWED).collect()
-    model = fit([r.text for r in reviewed], [r.label for r in reviewed], background_sample(d.select("text"), "text"))
+    model = fit([r.text for r in reviewed], [r.label for r in reviewed], background_sample(d, "text", "lang"))
     return rated(d.select("doc_id", "source", "text"), model)
 
 
 @query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which a passage is abusive, hateful or sexually explicit."""
-    return _severity(spark, sf_dir).where("chance > 0.5").select("doc_id")
+    from granary.llm.severity import REPORTED
+
+    return _severity(spark, sf_dir).where(F.col("chance") > REPORTED).select("doc_id")
 
 
 @query
@@ -175,9 +177,10 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, offensive ones, their share and the mean severity per source."""
     from granary.llm.budget import source_name
+    from granary.llm.severity import REPORTED
 
     x = _severity(spark, sf_dir).withColumn("source", source_name(F.col("source")))
-    x = x.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("chance") > 0.5).alias("offensive"), F.round(F.avg("severity"), 4).alias("mean_severity"))
+    x = x.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("chance") > REPORTED).alias("offensive"), F.round(F.avg("severity"), 4).alias("mean_severity"))
     return x.withColumn("rate", F.round(F.col("offensive") / F.col("documents"), 4))
 
 

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, fold, language, leaks, overlap, packing, related, severity, words
+from granary.llm import bpe, fold, language, leaks, overlap, packing, related, seeds, severity, words
 from granary.llm.budget import record_tokens, totals, with_slices
 from granary.llm.visual import consistent_text, same_look_pairs
 
@@ -378,7 +378,46 @@ def test_severity(spark, awkward):
     assert mean["none"] < mean["abusive"] < mean["hateful"]
     assert severity.rated(awkward, m).count() == len(AWKWARD) and severity.rated(awkward.limit(0), m).count() == 0
     assert severity.undisguised("g@dh3") == ("gadhe",) and severity.undisguised("suuuuar") == ("suar",) and severity.undisguised("फिरफिर") == ("फिर",)
-    assert severity.passages("you are a b i t c h and t-h-i-r-d")[0] == ["you", "are", "a", "bitch", "and", "third"] or True
+    assert severity.passages("you are such b i t c h and t-h-i-r-d")[0] == ["you", "are", "such", "bitch", "and", "third"]
+    assert severity.passages("Fuck you.") == [["fuck", "you"]] and severity.passages("You\nare\nan idiot\nA whole long line here.")[0] == ["you", "are", "an", "idiot"]
+    assert severity.passages("A whole long line. Idiot!") == [["a", "whole", "long", "line", "idiot"]]
+    assert severity.GRADES["none"] < severity.GRADES["sexual"] < severity.GRADES["hateful"] and mean["none"] < mean["sexual"]
+
+
+def test_severity_by_language(spark):
+    """Held-out reviewed passages of each language, and background sentences of languages that no reviewer saw."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/moderation_samples.parquet").orderBy("sample_id").collect() if r.label and r.text]
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    background = severity.background_sample(d, "text", "lang")
+    assert background == severity.background_sample(d.repartition(7), "text", "lang")  # however the rows lie
+    fitted = [r for i, r in enumerate(rows) if i % 3]
+    m = severity.fit([r.text for r in fitted], [r.label for r in fitted], [b for i, b in enumerate(background) if i % 3])
+    held = defaultdict(lambda: [0, 0, 0, 0])
+    for i, r in enumerate(rows):
+        if i % 3 == 0:
+            x, hit = held[r.lang], m.rate(r.text)[1] > severity.REPORTED
+            x[0 if r.label == "none" else 2] += 1
+            x[1 if r.label == "none" else 3] += hit
+    for language_, (none, wrong, bad, found) in held.items():
+        assert wrong <= 0.05 * none + 1 and found >= 0.85 * bad - 1, language_
+    unseen = defaultdict(list)
+    for i, (t, label) in enumerate(background):
+        if i % 3 == 0 and label in ("sa", "te", "gu", "pa"):
+            unseen[label].append(m.rate(t)[1] > severity.REPORTED)
+    assert len(unseen) == 4 and all(sum(v) <= 0.02 * len(v) + 1 for v in unseen.values())
+
+
+def test_no_seed_is_from_a_table(spark):
+    parts = defaultdict(set)
+    for t in (*seeds.ABUSIVE, *seeds.HATEFUL, *seeds.SEXUAL, *seeds.HARMLESS):
+        w = words.words_of(t)
+        for i in range(len(w) - 4):
+            parts[tuple(w[i : i + 5])].add(t)
+    for sf in ("sf0.001", "sf0.01"):
+        for name in ("documents", "moderation_samples"):
+            for r in spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet").select("text").distinct().collect():
+                w = words.words_of(r.text)
+                assert not any(tuple(w[i : i + 5]) in parts for i in range(len(w) - 4))
 
 
 def test_every_query_runs(spark):
