@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import collapse
 from granary.operators.cleaning import BOILERPLATE, LIMITS, MARKUP, clean_text, cleaned
-from granary.operators.blocks import blocks, html_to_text, packed_blocks
+from granary.operators.blocks import HTML, blocks, html_to_text, json_to_text, packed_blocks, packed_by_language
 from granary.queries import query, table
 from granary.queries import sql as S
 
@@ -99,15 +99,67 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.col("block_no").cast("bigint").alias("block_no"), F.length("block").alias("chars"), F.md5(F.encode("block", "UTF-8")).alias("digest"))
 
 
-@query()
+def _packed(pieces: str, most: int, least: int) -> str:
+    """Recursion over the pieces (k, i from 1, p) of each k: chunks ch(k, chunk_no, chunk)."""
+    fits = f"r.n + 2 + length(q.p) <= {most}"
+    return f"""WITH RECURSIVE pieces AS MATERIALIZED ({pieces}),
+ r(k, i, c, n) AS (SELECT k, i, 0, length(p) FROM pieces WHERE i = 1 UNION ALL
+  SELECT q.k, q.i, CASE WHEN {fits} THEN r.c ELSE r.c + 1 END, CASE WHEN {fits} THEN r.n + 2 ELSE 0 END + length(q.p) FROM r JOIN pieces q ON q.k = r.k AND q.i = r.i + 1),
+ j AS (SELECT r.k, r.c, string_agg(p, chr(10) || chr(10) ORDER BY r.i) AS chunk FROM r JOIN pieces q ON q.k = r.k AND q.i = r.i GROUP BY 1, 2),
+ ch AS (SELECT k, (row_number() OVER (PARTITION BY k ORDER BY c) - 1)::INT AS chunk_no, chunk FROM j WHERE length(chunk) >= {least}) """
+
+
+_STRIP = r"regexp_replace(regexp_replace(b, '(?m)[ \t]+$', '', 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g')"
+
+
+def _pieces(rows: str, most: int) -> str:
+    """The pieces of rows (k, o, text): each row's blocks in order of o, cut at ``most`` characters."""
+    return rf"""SELECT k, row_number() OVER (PARTITION BY k ORDER BY o, i, f) AS i, substr(b, f + 1, {most}) AS p FROM
+ (SELECT k, o, i, b, unnest(range(0, length(b), {most})) AS f FROM (SELECT k, o, i, {_STRIP} AS b FROM
+  (SELECT k, o, unnest(p) AS b, generate_subscripts(p, 1) AS i FROM (SELECT k, o, regexp_split_to_array(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n[ \t]*\n\s*') AS p FROM ({rows}) WHERE text IS NOT NULL)))
+  WHERE length(b) > 0)"""
+
+
+@query(_packed(_pieces("SELECT doc_id AS k, source, 0 AS o, text FROM documents", 1200), 1200, 40) + "SELECT k AS doc_id, chunk_no, d.source || ':' || k || ':' || lpad(chunk_no::VARCHAR, 6, '0') AS chunk_id, length(chunk) AS chars, md5(chunk) AS digest FROM ch JOIN documents d ON d.doc_id = k")
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks packed into chunks of at most 1,200 characters."""
-    x = packed_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", 1200, 40)
-    return x.select("doc_id", "chunk_no", F.format_string("%s:%06d", F.col("doc_id").cast("string"), F.col("chunk_no")).alias("chunk_id"), F.length("chunk").alias("chars"), F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
+    """Blocks packed into chunks of at most 1,200 characters, named by source, document and number."""
+    d = table(spark, sf_dir, "documents")
+    x = packed_blocks(d.withColumn("k", F.struct("source", "doc_id")), "k", "text", 1200, 40)
+    name = F.when(F.col("k.source").isNotNull(), F.format_string("%s:%s:%06d", F.col("k.source"), F.col("k.doc_id").cast("string"), F.col("chunk_no")))
+    return x.select("k.doc_id", "chunk_no", name.alias("chunk_id"), F.length("chunk").alias("chars"), F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
+
+
+_RUNS = """SELECT DISTINCT provenance.artifact AS a, doc_id, language, text FROM split_stream WHERE provenance.artifact IS NOT NULL"""
+_RUNS = f"""SELECT a, sum(s) OVER (PARTITION BY a ORDER BY doc_id) AS run_no, doc_id AS o, language, text FROM (
+ SELECT *, CASE WHEN row_number() OVER w > 1 AND language IS DISTINCT FROM lag(language) OVER w THEN 1 ELSE 0 END AS s FROM ({_RUNS}) WINDOW w AS (PARTITION BY a ORDER BY doc_id))"""
+
+
+@query(_packed(_pieces(f"SELECT a || '|' || run_no AS k, o, text FROM ({_RUNS})", 6000), 6000, 200) + f", l AS (SELECT DISTINCT a, run_no, language FROM ({_RUNS})) SELECT a AS artifact, run_no::BIGINT AS run_no, language, chunk_no, length(chunk) AS chars, md5(chunk) AS digest FROM ch JOIN l ON ch.k = a || '|' || run_no")
+def packed_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of each artifact packed in order into chunks of one language, of 200 to 6,000 characters."""
+    s = table(spark, sf_dir, "split_stream").select(F.col("provenance.artifact").alias("artifact"), "doc_id", "language", "text").where("artifact IS NOT NULL").groupBy("artifact", "doc_id").agg(F.min("language").alias("language"), F.min("text").alias("text"))
+    x = packed_by_language(s, "artifact", "doc_id", "language", "text", 6000, 200)
+    return x.select("artifact", "run_no", "language", "chunk_no", F.length("chunk").alias("chars"), F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(concat_ws(chr(10), id, text, split, source_id, provenance.url, provenance.format)) AS digest FROM (SELECT DISTINCT doc_id, id, text, split, source_id, provenance FROM split_stream)")
+def nested_json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strings of each record written as nested JSON, in order of the length of field names, as a digest."""
+    s = table(spark, sf_dir, "split_stream")
+    nested = F.to_json(F.struct("source_id", "text", F.struct(F.col("provenance.url").alias("url"), F.struct(F.col("provenance.format").alias("format")).alias("details")).alias("provenance"), "split", "id", F.array(F.lit(1), F.lit(2)).alias("chars")))
+    return s.select("doc_id", F.md5(F.encode(json_to_text(nested), "UTF-8")).alias("digest")).distinct()
+
+
+_PLAIN = "text"
+for _p, _to in HTML:
+    _PLAIN = f"regexp_replace({_PLAIN}, {S.q(_p)}, {S.q(_to)}, 'g')"
+for _e, _to in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&amp;", "'&'")):
+    _PLAIN = f"replace({_PLAIN}, {S.q(_e)}, {_to})"
+_PLAIN = f"regexp_replace({_PLAIN}, '^[\\t-\\r ]+|[\\t-\\r ]+$', '', 'g')"
 
 
-@query()
+@query(f"SELECT doc_id, md5({_PLAIN}) AS plain FROM (SELECT doc_id, min(text) AS text FROM split_stream GROUP BY doc_id)")
 def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of every record without its tags and entities, where it has any."""
-    x = table(spark, sf_dir, "split_stream").where(F.col("text").rlike(r"<[a-zA-Z/!]|&#?\w+;"))
-    return x.select("doc_id", html_to_text(F.col("text")).alias("plain")).distinct()
+    """Text of every record without its tags and character references, as a digest; a record delivered twice counts once."""
+    x = table(spark, sf_dir, "split_stream").select("doc_id", F.md5(F.encode(html_to_text(F.col("text")), "UTF-8")).alias("plain"))
+    return x.groupBy("doc_id").agg(F.min("plain").alias("plain"))

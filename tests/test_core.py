@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.functions.text import ngrams, sentences, shingles, tokens
-from granary.operators.blocks import blocks, html_to_text, packed_blocks
+from granary.operators.blocks import blocks, html_to_text, json_to_text, packed_blocks, packed_by_language
 from granary.operators.cleaning import clean_text, cleaned, mojibake_repaired
 from granary.operators.dedup import band_links, connected, exact_winners, jaccard_pairs
 from granary.operators.graphs import ancestors, levels
@@ -51,6 +51,22 @@ def test_blocks(spark):
     chunks = [r.chunk for r in packed_blocks(d, "id", "text", 6, 1).collect()]
     assert chunks == ["a\nb\n\nc", "d"]
     assert one(spark, "<p>a &amp; b</p><script>x</script><div>c</div>", html_to_text).split() == ["a", "&", "b", "c"]
+    table = "<table><tr><td>one</td><td>two</td></tr></table><figure>f<figcaption>g</figcaption></figure>"
+    assert one(spark, table, html_to_text).split("\n")[0] == "one" and one(spark, table, html_to_text).split() == ["one", "two", "f", "g"]
+    for markup, want in (  # malformed markup gives what can be read
+        ("a <b>bold</b> c <i>d", "a bold c d"), ("x <!-- <p>hidden</p> --> y", "x  y"), ("<header>kept</header><head><title>t</title></head>z", "keptz"),
+        ("a < b and c > d", "a < b and c > d"), ("t <script>never closed", "t"), ("&lt;p&gt; &#2325;&#x916; &copy", "<p> कख ©"), ("<pre>p</pre><param>q", "p\nq"), ("", ""), (None, None),
+    ):
+        assert one(spark, markup, html_to_text) == want
+
+
+def test_json_and_languages(spark):
+    assert one(spark, '{"bb": "2", "a": "1", "ccc": ["3", {"z": "5", "y": "4"}, 7, null]}', json_to_text).split("\n") == list("12345")
+    assert one(spark, "{nope", json_to_text) is None and one(spark, "[1]", json_to_text) == "" and one(spark, None, json_to_text) is None
+    rows = [("f", 1, "hi", "a\n\nb"), ("f", 2, "hi", "c"), ("f", 3, "en", "d"), ("f", 4, None, "e"), ("f", 5, None, None), ("f", 6, "hi", "f"), ("g", 1, "en", " ")]
+    d = spark.createDataFrame(rows, "k string, o int, l string, t string")
+    got = [(r.k, r.run_no, r.l, r.chunk) for r in packed_by_language(d, "k", "o", "l", "t", 8, 1).orderBy("k", "run_no", "chunk_no").collect()]
+    assert got == [("f", 0, "hi", "a\n\nb\n\nc"), ("f", 1, "en", "d"), ("f", 2, None, "e"), ("f", 3, "hi", "f")]
 
 
 def test_first_of_copies_wins(spark):
