@@ -3,6 +3,10 @@
 The mapping is compiled into a longest-match transducer. The unit it rewrites is the grapheme cluster: a base
 with its marks. Compilation checks the table for conflicts (one target per source, targets are fixed points), so
 applying it once or twice gives the same text. Case, punctuation, words, line breaks and the number of spaces are kept.
+
+Two forms are made. ``fold`` gives the form to store: a letter that looks like one of another script is rewritten only where
+the rest of its word is of that other script, so Russian and Greek words stay what they are. ``skeleton`` gives the form to
+compare: look-alikes become Latin everywhere, so texts that look the same have one skeleton whatever their scripts.
 """
 
 from __future__ import annotations
@@ -30,12 +34,17 @@ SPACES = "               　"
 DASHES = {"‐": "-", "‑": "-"}
 JOINERS = "‌‍"
 VIRAMAS = "्্੍્్್്୍"
-MARKS = "̀-ͯ"
+#: Marks that any script's letters can carry; with its base such a mark is one grapheme cluster.
+MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
+#: Letters that a joiner shapes where it stands between two of them (Arabic, Syriac, Thaana, N'Ko, Mongolian), and signs that a
+#: joiner makes one picture of.
+SHAPED = re.compile("[\u0600-\u08ff\u1800-\u18af\ufb50-\ufdff\ufe70-\ufefc]")
+PICTURES = re.compile("[\u00a9\u00ae\u203c-\u3299\ufe0f\U0001f000-\U0001faff\U000e0020-\U000e007f]")
 
 
-def default_rules() -> dict[str, str]:
+def default_rules(look_alike: dict[str, str] = LOOK_ALIKE) -> dict[str, str]:
     """Source to target, each an exact sequence of characters. Canonical (de)compositions come from Unicode data."""
-    rules = dict(LOOK_ALIKE)
+    rules = dict(look_alike)
     rules |= {a: unicodedata.normalize("NFC", b) for a, b in TWO_SIGNS.items()}
     rules |= {c: "" for c in INVISIBLE} | {c: " " for c in SPACES} | DASHES
     rules |= {chr(o): chr(o - 0xFEE0) for o in range(0xFF01, 0xFF5F)}
@@ -115,11 +124,20 @@ class Transducer:
                 i = end
         return unicodedata.normalize("NFC", "".join(out))
 
+    @staticmethod
+    def _shows(text: str, i: int, end: int) -> bool:
+        """Whether a joiner at i can be seen: after a virama, between letters that it shapes, between signs of one picture."""
+        if not i:
+            return False
+        before, after = text[i - 1], text[end : end + 1]
+        if before in VIRAMAS:
+            return True
+        return bool(after) and any(p.match(before) and p.match(after) for p in (SHAPED, PICTURES) if p is SHAPED or text[i] == "\u200d")
+
     def _cluster(self, m: re.Match) -> str:
         s = m.group()
-        if s[0] in JOINERS:  # a joiner shapes Indic clusters after a virama; elsewhere it can't be seen
-            i = m.start()
-            return s if i and m.string[i - 1] in VIRAMAS else ""
+        if s[0] in JOINERS:
+            return s if self._shows(m.string, m.start(), m.end()) else ""
         got = self._kept.get(s)
         if got is None:
             got = self._walk(s)
@@ -135,12 +153,69 @@ class Transducer:
         return self.touched.sub(self._cluster, text)
 
 
-_DEFAULT: Transducer | None = None
+def _script(c: str) -> str | None:
+    """The script of a letter that has look-alikes: of Latin, Greek and Cyrillic."""
+    if "a" <= c <= "z" or "A" <= c <= "Z" or "\u00c0" <= c <= "\u024f":
+        return "latin"
+    if "\u0370" <= c <= "\u03ff" or "\u1f00" <= c <= "\u1fff":
+        return "greek"
+    return "cyrillic" if "\u0400" <= c <= "\u052f" else None
+
+
+#: For each script, the letters of the others that look like one of its own.
+TO_SCRIPT: dict[str, dict[str, str]] = {"latin": {a: b for a, b in LOOK_ALIKE.items() if _script(a) in ("greek", "cyrillic")}}
+for _to in ("greek", "cyrillic"):
+    _own = {b: a for a, b in reversed(LOOK_ALIKE.items()) if _script(a) == _to}
+    TO_SCRIPT[_to] = {a: _own[b] for a, b in LOOK_ALIKE.items() if b in _own and _script(a) != _to and _script(a) is not None} | _own
+_OTHERS = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
+_WORD = re.compile(f"[A-Za-z\u00c0-\u024f\u0370-\u052f\u1f00-\u1fff{MARKS}]+")
+_PLAIN_RULES = {a: b for a, b in LOOK_ALIKE.items() if a not in TO_SCRIPT["latin"]}
+
+
+def one_script(text: str) -> str:
+    """Each word that mixes Latin, Greek and Cyrillic put into the script of those of its letters that have no look-alike in
+    the others; where all have one, into Latin, unless the word is of one script and the text has words of that script."""
+    if not _OTHERS.search(text):
+        return text
+    words = [unicodedata.normalize("NFD", w) for w in set(_WORD.findall(text))]
+    sure = {}  # of each word, the scripts of letters that look like no other
+    for w in words:
+        sure[w] = {_script(c) for c in w if _script(c) in ("greek", "cyrillic") and c not in TO_SCRIPT["latin"]}
+    written = set().union(*sure.values()) if sure else set()
+
+    def rewrite(m: re.Match) -> str:
+        w = unicodedata.normalize("NFD", m.group())
+        scripts = {x for x in map(_script, w) if x}
+        if scripts <= {"latin"}:
+            return m.group()
+        own = sure[w]
+        if len(own) > 1 or (len(scripts) == 1 and scripts <= written):
+            return m.group()
+        to = TO_SCRIPT[next(iter(own))] if own else TO_SCRIPT["latin"]
+        if own and any(_script(c) not in (None, *own) and c not in to for c in w):
+            return m.group()  # letters of two scripts that look like no other: a word of its own
+        return unicodedata.normalize("NFC", "".join(to.get(c, c) for c in w))
+
+    return _WORD.sub(rewrite, text)
+
+
+_DEFAULT: list[Transducer] = []
+
+
+def _transducers() -> list[Transducer]:
+    """For the form to store and for the form to compare, compiled once a process."""
+    if not _DEFAULT:
+        _DEFAULT.extend((Transducer(default_rules(_PLAIN_RULES)), Transducer()))
+    return _DEFAULT
 
 
 def fold(text: str | None) -> str | None:
-    """The default transducer, compiled once a process."""
-    global _DEFAULT
-    if _DEFAULT is None:
-        _DEFAULT = Transducer()
-    return _DEFAULT(text)
+    """The form to store."""
+    if text is None or text.isascii():
+        return text
+    return one_script(_transducers()[0](text))
+
+
+def skeleton(text: str | None) -> str | None:
+    """The form to compare."""
+    return _transducers()[1](text)

@@ -29,19 +29,18 @@ class SuffixAutomaton:
         self.ids: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
-        self.ends: list[list[tuple[str, int]]] = [[]]
+        self.ends: list[dict[tuple[str, int], None]] = [{}]
         for k, words in self.items.items():
             last = 0
             for i, w in enumerate(words):
                 last = self._add(last, self.ids.setdefault(w, len(self.ids)))
-                self.ends[last].append((k, i + 1))
+                self.ends[last][k, i + 1] = None
         for s in sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True):
             if self.link[s] > 0:
-                up = self.ends[self.link[s]]
-                up += [x for x in self.ends[s] if x not in up]
+                self.ends[self.link[s]].update(self.ends[s])
 
     def _state(self, length: int, nxt: dict[int, int], link: int) -> int:
-        self.next.append(nxt), self.len.append(length), self.link.append(link), self.ends.append([])
+        self.next.append(nxt), self.len.append(length), self.link.append(link), self.ends.append({})
         return len(self.len) - 1
 
     def _split(self, p: int, q: int, c: int) -> int:
@@ -208,7 +207,7 @@ def find_leaks(df: DataFrame, items: dict[str, list[str]], key: str = "doc_id",
 
 
 def without_leaks(df: DataFrame, items: dict[str, list[str]], text: str = "text", out: str = "clean", least: int = 8, length: int = 8, coverage: float = 0.5) -> DataFrame:
-    """df with the text less every leaked span of more than ``length`` words or more than ``coverage`` of its item.
+    """df with the text less every leaked span of ``length`` words or more, or of more than ``coverage`` of its item.
 
     A text without such a span is kept as it is; in the others markup and escapes are undone, for spans lie across them.
     What is left is looked through again, as words that a span stood between may make another.
@@ -220,7 +219,7 @@ def without_leaks(df: DataFrame, items: dict[str, list[str]], text: str = "text"
         return t
 
     def shortened(d: Detector, t: str) -> str:
-        spans = [(x.start, x.end) for x in d.every_leak(words_of(t)) if x.words > length or x.words > coverage * x.size]
+        spans = [(x.start, x.end) for x in d.every_leak(words_of(t)) if x.words >= min(length, x.size) or x.words > coverage * x.size]
         if not spans:
             return t
         p = plain(t)

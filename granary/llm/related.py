@@ -76,6 +76,7 @@ def name_key(word: str) -> str:
     s = re.sub(r"[^a-z]", "", latin(fold(word)))
     for a, b in (("ph", "f"), ("w", "v"), ("x", "ks"), ("q", "k"), ("z", "j"), ("v", "b"), ("aa", "a"), ("ee", "i"), ("oo", "u"), ("y", "i")):
         s = s.replace(a, b)
+    s = re.sub(r"ao$", "ab", s)  # Rao, Rav
     s = re.sub(r"m(?=[bp])", "n", s)
     s = re.sub(r"(.)\1+", r"\1", s)
     return s
@@ -93,6 +94,10 @@ _TAIL = re.compile(r"[\s(\[]*(?:re:?\s*|see\s*)?(?:dossier|ref\.|file\s+no)(?!\w
 _MARKUP = re.compile(r"\*\*|__|'''?|\[\[|\]\]|\{\{[^{}]*\}\}|`|^#+\s|^=+|=+$|^>\s")
 
 
+#: A credit is a line of its own of at most so many words: with a cited dossier, if it ends like a sentence, and without either.
+LINE_WORDS, SENTENCE_WORDS, CREDIT_WORDS = 20, 8, 12
+
+
 @lru_cache(100_000)
 def _squeezed(s: str) -> str:
     return _LETTERS.sub("", "".join(latin(x) for x in s.split()))
@@ -113,7 +118,7 @@ def _surname(name: str, first: bool = False) -> str | None:
     if comma and not tail.strip():
         comma = ""
     key = max(map(name_key, words), key=len) if first and not comma else name_key(words[-1])
-    return key if len(key) >= 5 else None
+    return key if len(key) >= 2 else None
 
 
 def writers(text: str) -> list[str]:
@@ -122,10 +127,10 @@ def writers(text: str) -> list[str]:
     out = []
     for line in re.split(r"[\r\n]+", text):
         line = line.strip()
-        if not line or len(line) > 130 or (len(line) > 45 and line[-1] in ".?!।॥"):
+        if not line or line.count(" ") >= LINE_WORDS or (line.count(" ") >= SENTENCE_WORDS and line[-1] in ".?!।॥"):
             continue
         line = _TAIL.sub("", _MARKUP.sub("", line)).strip()
-        if not line or len(line) > 70 or line[-1] in "?!।॥":
+        if not line or line.count(" ") >= CREDIT_WORDS or line[-1] in "?!।॥":
             continue
         got = None
         m = re.match(r"^([—–~\-]+|\()\s*(.*?)\s*([~)—–\-]*)$", line)
@@ -216,8 +221,16 @@ def keyed_records(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return x.groupBy("doc_id").agg(F.min("work").alias("work"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
 
 
-def _forest(edges: DataFrame) -> DataFrame:
-    """Union-find within each partition: its edges (a, b) become stars, each node to the least of its local tree."""
+#: Nodes of a local forest.
+LOCAL = 1_000_000
+
+
+def _forest(edges: DataFrame, local: int = LOCAL) -> DataFrame:
+    """Union-find within each partition: its edges (a, b) become stars, each node to the least of its local tree.
+
+    A task holds at most ``local`` nodes and one batch more: a full forest is given out and a new one begun, which leaves the
+    components as they are.
+    """
 
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
@@ -230,6 +243,13 @@ def _forest(edges: DataFrame) -> DataFrame:
                 x = y
             return x
 
+        def stars():  # noqa: ANN202
+            nodes = list(up)
+            for i in range(0, len(nodes), 50_000):
+                part = [(x, r) for x in nodes[i : i + 50_000] if (r := root(x)) != x]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["a", "b"])
+            up.clear()
+
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ra, rb = root(a), root(b)
@@ -238,23 +258,23 @@ def _forest(edges: DataFrame) -> DataFrame:
                     up[rb] = ra
                 elif rb < ra:
                     up[ra] = rb
-        nodes = list(up)
-        for i in range(0, len(nodes), 50_000):
-            part = [(x, r) for x in nodes[i : i + 50_000] if (r := root(x)) != x]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["a", "b"])
+            if len(up) > local:
+                yield from stars()
+        yield from stars()
 
     return edges.mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, local: int = LOCAL) -> DataFrame:
     """(node, root) of each node of edges (a, b: bigint) that isn't its component's least node.
 
     Each task first turns its edges into a local forest. The forests are then merged level by level: edges are grouped by
     their node, each node keeps the least it is tied to and passes the others on to that one (large and small stars in
-    turn), and every merge runs local union-find again. A level ends in the shared folder. No task and not the driver
-    ever holds a component; a hub's edges are halved by map-side aggregation, since only the least counts.
+    turn), and every merge runs local union-find again on the edges as they lie, never gathered by root: a component may
+    hold most of all nodes, a task holds its part of them. A level ends in the shared folder. A hub's edges are halved by
+    map-side aggregation, since only the least counts, and its joins are split by adaptive skew joins.
     """
-    x = cut(_forest(edges.select("a", "b").where("a <> b")).distinct())
+    x = cut(_forest(edges.select("a", "b").where("a <> b"), local).distinct())
     last = None
     for _ in range(rounds):
         both = x.unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -263,7 +283,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        merged = _forest(low.select("a", F.col("m").alias("b")).unionByName(small).repartition("b"))
+        merged = _forest(low.select("a", F.col("m").alias("b")).unionByName(small), local)
         x = cut(merged.distinct())
         state = x.agg(F.count("*").alias("n"), F.count_distinct("a").alias("nodes"), F.sum(F.col("b").cast("decimal(38,0)")).alias("s")).first()
         if state == last and state.n == state.nodes:
@@ -286,25 +306,27 @@ def related_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def _share(sizes: list[tuple[int, int]], goal: dict[str, float]) -> list[tuple[int, int, int, str]]:
     """Largest first, each group to the split furthest below its goal: (size, from, to, split) of ranks among equals.
 
-    Groups of one size are dealt in runs: the split furthest below takes groups until another is further below.
+    Of n groups of one size, taking the split furthest below n times is taking the n largest of left, left - size, left -
+    2 size, ... of all splits. All of these that lie a size above the common level that n groups would bring the splits
+    to are among them; the others, fewer than splits, are dealt one by one.
     """
     left, names, out = dict(goal), sorted(goal), []
     for size, n in sizes:
+        high, level = sorted(left.values(), reverse=True), 0.0
+        for k in range(1, len(high) + 1):  # the level that the k splits furthest below come to
+            level = (sum(high[:k]) - n * size) / k
+            if k == len(high) or level >= high[k]:
+                break
+        take = {s: max(0, int((left[s] - level) // size)) for s in names}
+        while sum(take.values()) > n:  # rounding
+            take[min((s for s in names if take[s]), key=lambda s: left[s] - take[s] * size)] -= 1
+        for _ in range(n - sum(take.values())):
+            take[max(names, key=lambda s: (left[s] - take[s] * size, s))] += 1
         at = 0
-        while at < n:
-            best = max(names, key=lambda s: (left[s], s))
-            other = max((left[s] for s in names if s != best), default=float("-inf"))
-            run = n - at if other == float("-inf") else max(1, min(n - at, int((left[best] - other) // size)))
-            if run == 1 and n - at > 3000 and max(left.values()) - min(left.values()) <= 2 * size:  # all level: in turn, at one go
-                each = (n - at - 1000) // len(names)
-                for s in names:
-                    out.append((size, at, at + each, s))
-                    at += each
-                    left[s] -= each * size
-                continue
-            out.append((size, at, at + run, best))
-            left[best] -= run * size
-            at += run
+        for s in names:
+            if take[s]:
+                out.append((size, at, at + take[s], s))
+                at, left[s] = at + take[s], left[s] - take[s] * size
     return out
 
 

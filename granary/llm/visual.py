@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.arrowmap import map_rows
-from granary.llm.fold import fold
+from granary.llm.fold import fold, skeleton
 
 
 def consistent_text(df: DataFrame, text: str = "text", out: str = "text_form") -> DataFrame:
@@ -24,7 +24,7 @@ def consistent_text(df: DataFrame, text: str = "text", out: str = "text_form") -
 
 
 def form_keys(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, form (128-bit hash of the consistent form) and raw (of the text itself), one row per key, blank texts left out.
+    """key, form (128-bit hash of the skeleton, which texts that look the same share) and raw (of the text itself), one row per key, blank texts left out.
 
     Rows with a null key are left out. Of several rows with one key, which should be copies, the smallest hashes count.
     """
@@ -32,7 +32,7 @@ def form_keys(df: DataFrame, key: str, text: str) -> DataFrame:
     def start():  # noqa: ANN202
         def f(k, t):  # noqa: ANN001, ANN202
             if k is not None and t is not None and not t.isspace() and t:
-                c = fold(t)
+                c = skeleton(t)
                 if c and not c.isspace():
                     raw = xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
                     yield k, raw if c == t else xxhash.xxh3_128_digest(c.encode("utf-8", "surrogatepass")), raw
@@ -45,7 +45,7 @@ def form_keys(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def same_look_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs (a, b), a < b, of records whose texts have one consistent form but aren't the same string.
+    """Pairs (a, b), a < b, of records whose texts have one skeleton but aren't the same string.
 
     Only hashes are shuffled. Forms that occur in one spelling (however many copies) drop out before any pair is made:
     first pairs of spellings of a form, then each spelling's records are joined to them, so no two copies are ever

@@ -426,3 +426,67 @@ def test_every_query_runs(spark):
     assert {f"p{i}" for i in range(1, 10)} == {n.split("_")[0] for n in QUERIES}
     for name in ("p1_found", "p4_found", "p5_found", "p6_found", "p6_report", "p3_shards"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_forms_and_skeletons():
+    for t in ("👨\u200d👩\u200d👧", "می\u200cخواهم", "क्\u200dष", "сорока и оса", "НАТО и США", "Αθήνα"):
+        assert fold.fold(t) == t  # what shows, and words of another script, stay
+    assert fold.fold("hel\u200dlo w\u0430\u200cter") == "hello water" and fold.fold("Ρaris, NАТО") == "Paris, NATO"
+    assert fold.fold("cорока и оса") == "сорока и оса"  # a Latin letter in a Russian word
+    assert fold.skeleton("сорока") == fold.skeleton("copoкa") and fold.fold("сорока") != fold.fold("copoкa") or fold.fold("copoкa") == "сорока"
+    assert fold.skeleton("👨\u200d👩") != fold.skeleton("👨👩")
+    for t in ("сорока", "pаypal", "Αθήνα ΤΟΝ", "e\u0301\u20d0", "ｆｕｌｌ", "می\u200cخواهم"):
+        assert fold.fold(fold.fold(t)) == fold.fold(t) and fold.skeleton(fold.skeleton(t)) == fold.skeleton(t)
+
+
+def test_component_of_a_third_of_all_keys(spark):
+    """One component holds a third of all keys; no task holds more than a small forest, and the result is the same."""
+    rng = random.Random(3)
+    hub = [(0, i) for i in range(1, 700)] + [(i, i + 1) for i in range(700, 1000)] + [(5, 700)]
+    rest = [(i, i + rng.randint(1, 3)) for i in range(2000, 4000, 4)]
+    e = spark.createDataFrame(hub + rest, "a long, b long")
+    want = {}
+    up = {}
+
+    def root(x):  # noqa: ANN001, ANN202
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in hub + rest:
+        ra, rb = root(a), root(b)
+        up[max(ra, rb)] = min(ra, rb)
+    want = {x: root(x) for x in list(up) if root(x) != x}
+    for local in (8, 1_000_000):
+        assert {r.node: r.root for r in related.components(e.repartition(5), local=local).collect()} == want
+
+
+def test_largest_first_is_dealt_as_one_by_one():
+    rng = random.Random(4)
+    for _ in range(60):
+        goal = {s: rng.random() * 2000 for s in "abc"}
+        sizes = sorted({rng.randint(1, 30): rng.randint(1, 5000) for _ in range(6)}.items(), reverse=True)
+        left, want, got = dict(goal), Counter(), Counter()
+        for size, n in sizes:
+            for _ in range(n):
+                k = max(left, key=lambda s: (left[s], s))
+                left[k] -= size
+                want[size, k] += 1
+        for size, lo, hi, k in related._share(sizes, goal):
+            got[size, k] += hi - lo
+        assert got == want
+
+
+def test_short_names_and_lines():
+    assert related.writers("By Anita Rao") == related.writers("लेखक: अनीता राव") != []
+    assert related.writers("By A. Das") and related.writers("By Meera Sen") and not related.writers("by hand, by foot and by the sea they all came home that night again, as said.")
+
+
+def test_every_passage_of_an_item_is_removed(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three"
+    w = item.split()
+    text = f"start {' '.join(w[:12])} middle words stay here {' '.join(w[13:26])} end"
+    eight = f"first {' '.join(w[3:11])} last"
+    d = spark.createDataFrame([("a", text), ("b", eight), ("c", " ".join(w[3:10]))], "doc_id string, text string")
+    got = {r.doc_id: r.clean.split() for r in leaks.without_leaks(d, {"i": w}).collect()}
+    assert got == {"a": "start middle words stay here end".split(), "b": ["first", "last"], "c": w[3:10]}
