@@ -158,8 +158,12 @@ class Shard:
         word = np.sort(word)[:offered] * self.span
         low = np.searchsorted(self.at, word + min(need, self.span))
         high = np.searchsorted(self.at, word + min(int((n + 1e-9) / self.share), self.span - 1), "right")
-        times = np.bincount(self.holder[_ranges(low, high)], minlength=len(self.size))
-        return np.flatnonzero(times >= np.minimum(self.hits, self._hits(n)))
+        found = np.sort(self.holder[_ranges(low, high)])
+        if not len(found):
+            return found
+        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        records, times = found[first], np.diff(first, append=len(found))
+        return records[times >= np.minimum(self.hits[records], self._hits(n))]
 
     def find(self, lines: list[list[int]]) -> list[int]:
         """Evaluation records that are almost the text of these lines."""
@@ -175,17 +179,19 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and ids (packed lines of word ids) of each row whose text has words."""
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("ids", T.BinaryType())])
+def numbered(df: DataFrame, key: str, text: str, *rest: str) -> DataFrame:
+    """key, ids (packed lines of word ids) and the columns rest of each row whose text has words."""
+    fields = [T.StructField("key", df.schema[key].dataType), T.StructField("ids", T.BinaryType())]
+    schema = T.StructType([*fields, *(T.StructField(c, df.schema[c].dataType) for c in rest)])
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            rows = [(k, lines_of_ids(t)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if k is not None and t]
-            rows = [(k, packed(x)) for k, x in rows if x]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], b.schema.field(0).type), pa.array([x for _, x in rows], pa.binary())], ["key", "ids"])
+            rows = [(i, lines_of_ids(t)) for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())) if k is not None and t]
+            rows = [(i, packed(x)) for i, x in rows if x]
+            at = pa.array([i for i, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([x for _, x in rows], pa.binary()), *(b.column(2 + j).take(at) for j in range(len(rest)))], ["key", "ids", *rest])
 
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
+    return df.select(F.col(key), F.col(text).cast("string"), *rest).mapInArrow(run, schema)
 
 
 def cross_split_overlaps(df: DataFrame, key: str = "doc_id", text: str = "text", split: str = "split", train: str = "train", held_out: tuple[str, ...] = ("val", "test"), share: float = 0.8, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -196,21 +202,26 @@ def cross_split_overlaps(df: DataFrame, key: str = "doc_id", text: str = "text",
     shared folder and broadcast one at a time, each at most ``shard_words`` words (and one record). Training texts aren't
     shuffled: each task scans its rows. Rows with null key or split, other splits, and texts without words give nothing.
     """
-    spark = df.sparkSession
     held = numbered(df.where(F.col(split).isin(*held_out)), key, text)
+    trains = df.where(F.col(split) == train).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return overlaps(held, trains, share, shard_words)
+
+
+def overlaps(held: DataFrame, trains: DataFrame, share: float = 0.8, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(train_key, held_key) from held (key, ids) and trains (key, text or ids)."""
+    spark = held.sparkSession
     keyed = cut(held.select("key", "ids", F.xxhash64("ids").alias("r")))
     held = keyed.groupBy("r").agg(F.min("ids").alias("ids")).withColumn("w", F.octet_length("ids") / 4)
     total = held.agg(F.sum("w").alias("w")).first()
     n_shards = -(-int(total.w or 0) // shard_words)
-    trains = df.where(F.col(split) == train).select(F.col(key), F.col(text).cast("string").alias("text"))
-    if n_shards > 1:  # words are taken apart once, not for each shard
-        trains = cut(numbered(trains, key, "text"))
+    if n_shards > 1 and trains.columns[1] != "ids":  # words are taken apart once, not for each shard
+        trains = cut(numbered(trains, *trains.columns))
     parts = []
     for i in range(n_shards):
         block = held if n_shards <= 1 else held.where(F.pmod(F.xxhash64("r", F.lit(7)), F.lit(n_shards)) == i)
         rows = [(r.r, r.ids) for r in block.select("r", "ids").toLocalIterator()]
         parts.append(_scan(spark, trains, trains.columns[0], rows, share))
-    kind = df.schema[key].dataType
+    kind = keyed.schema["key"].dataType
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField("train_key", kind), T.StructField("held_key", kind)]))
     found = parts[0]
@@ -253,28 +264,71 @@ def _scan(spark, trains: DataFrame, key: str, rows: list[tuple[int, bytes]], sha
     return trains.mapInArrow(run, schema)
 
 
-def shared_ngrams(df: DataFrame, n: int = 8, key: str = "doc_id", text: str = "text", split: str = "split", source: str = "source", train: str = "train", held_out: tuple[str, ...] = ("val", "test")) -> DataFrame:
-    """Per split and source of the held-out records: distinct rows of n words that train holds too, and their occurrences there.
+#: Bits of the filter of held-out rows of words: 16 for each, up to this bound (64 MB). Beyond it more rows of train pass the
+#: filter, and the join drops them; the result is the same.
+FILTER_BITS = 1 << 29
+_SEGMENT = 1 << 19
+
+
+def _grams(ids: bytes, n: int) -> np.ndarray:
+    """A 64-bit hash of each row of n words of packed lines, across line ends."""
+    w = np.frombuffer(ids, np.uint32)
+    w = w[w > 0].astype(np.uint64)
+    if len(w) < n:
+        return np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        w = (w ^ (w >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
+        h = np.zeros(len(w) - n + 1, np.uint64)
+        for i in range(n):
+            h = h * np.uint64(0xD6E8FEB86659FD93) + w[i : i + len(h)]
+            h ^= h >> np.uint64(32)
+        return (h * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _gram_filter(want: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, filter as bytes) of the column g, put together from segments: the driver holds the filter, never the rows."""
+    bits = _SEGMENT
+    while bits < min(FILTER_BITS, 16 * want.count()):
+        bits *= 2
+    slots = want.select(F.pmod("g", F.lit(bits)).alias("s")).distinct().select(F.floor(F.col("s") / _SEGMENT).alias("seg"), (F.col("s") % _SEGMENT).alias("s"))
+
+    def segment(batch):  # noqa: ANN001, ANN202
+        m = np.zeros(_SEGMENT, np.uint8)
+        m[batch["s"].to_numpy()] = 1
+        return pa.table({"seg": [batch["seg"][0].as_py()], "m": [np.packbits(m).tobytes()]})
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in slots.groupBy("seg").applyInArrow(segment, "seg bigint, m binary").toLocalIterator():
+        whole[r.seg * _SEGMENT // 8 : (r.seg + 1) * _SEGMENT // 8] = np.frombuffer(r.m, np.uint8)
+    return bits, whole
 
-    Rows of words are hashed to 64 bits. Held-out rows are few and become the set that train's rows are filtered by before
-    they are counted: a Bloom filter of theirs where its size allows, then a join on the hash.
+
+def shared_ngrams(ids: DataFrame, n: int = 8, train: str = "train", held_out: tuple[str, ...] = ("val", "test")) -> DataFrame:
+    """Per split and source of the held-out records: distinct rows of n words, those that train holds too, and their
+    occurrences there. ids has key, ids (as ``numbered`` gives them), split and source.
+
+    Rows of words are hashed to 64 bits. Those of train pass a filter of the held-out ones where they are made, so only what
+    may be shared, counted in each text, is shuffled to be counted and joined.
     """
-    from granary.llm.arrowmap import map_rows
-    from granary.llm.words import words_of
-
-    def start():  # noqa: ANN202
-        def f(s, src, t):  # noqa: ANN001
-            ids = list(map(word_id, words_of(t)))
-            if len(ids) >= n:
-                a = pa.array(ids, pa.uint32()).to_numpy().astype("u4")
-                yield s, src, [xxhash.xxh3_64_intdigest(a[i : i + n].tobytes()) - (1 << 63) for i in range(len(a) - n + 1)]
-
-        return f
-
-    one = df.where(F.col(key).isNotNull()).select(key, F.col(split).alias("split"), F.col(source).alias("source"), F.col(text).cast("string").alias("text"))
-    rows = map_rows(one.where(F.col("split").isin(train, *held_out)).select("split", "source", "text"), "split string, source string, grams array<bigint>", start)
-    grams = rows.select("split", "source", F.explode("grams").alias("g"))
-    held = cut(grams.where(F.col("split") != train).distinct())
+
+    def held_rows(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            grams = [np.unique(_grams(x, n)) for x in b.column(0).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(grams)), list(map(len, grams))))
+            yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(np.concatenate([*grams, np.empty(0, np.int64)]))], ["split", "source", "g"])
+
+    rows = ids.where(F.col("split").isin(*held_out)).select("ids", "split", "source")
+    held = cut(rows.mapInArrow(held_rows, "split string, source string, g bigint").distinct())
     want = held.select("g").distinct()
-    seen = grams.where(F.col("split") == train).groupBy("g").agg(F.count("*").alias("times")).join(want, "g", "left_semi")
+    shared = ids.sparkSession.sparkContext.broadcast(_gram_filter(want))
+
+    def train_rows(batches):  # noqa: ANN001, ANN202
+        bits, whole = shared.value
+        for b in batches:
+            g = np.concatenate([*(_grams(x, n) for x in b.column(0).to_pylist()), np.empty(0, np.int64)])
+            s = g & (bits - 1)
+            g, times = np.unique(g[whole[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1 > 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(times)], ["g", "times"])
+
+    seen = ids.where(F.col("split") == train).select("ids").mapInArrow(train_rows, "g bigint, times bigint").groupBy("g").agg(F.sum("times").alias("times")).join(want, "g", "left_semi")
     return held.join(seen, "g", "left").groupBy("split", "source").agg(F.count("times").alias("unique_overlapping_ngrams"), F.coalesce(F.sum("times"), F.lit(0)).alias("overlapping_ngram_occurrences_train"), F.count("*").alias("ngrams"))

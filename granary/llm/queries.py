@@ -119,14 +119,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps per split and source, named as corpus_report.measured names them."""
     from granary.llm.budget import source_name
-    from granary.llm.overlap import cross_split_overlaps, shared_ngrams
-
-    s = table(spark, sf_dir, "split_stream").select("doc_id", "text", "split")
-    pairs = cross_split_overlaps(s)
-    of = s.where("split IN ('val', 'test')").select(F.col("doc_id").alias("held_key"), "split", source_name(F.split("doc_id", ":")[0]).alias("source")).distinct()
-    near = pairs.join(of, "held_key").groupBy("split", "source").agg(F.count("*").alias("cross_split_near_duplicate_pairs"), F.count_distinct("held_key").alias("records"))
-    grams = shared_ngrams(s.withColumn("source", source_name(F.split("doc_id", ":")[0])))
-    x = grams.join(near, ["split", "source"], "full")
+    from granary.llm.overlap import numbered, overlaps, shared_ngrams
+    from granary.session import cut
+
+    s = table(spark, sf_dir, "split_stream").where("split IN ('train', 'val', 'test')")
+    ids = cut(numbered(s.select("doc_id", "text", "split", source_name(F.split("doc_id", ":")[0]).alias("source")), "doc_id", "text", "split", "source"))
+    held = ids.where("split <> 'train'")
+    pairs = overlaps(held, ids.where("split = 'train'").select("key", "ids"))
+    near = pairs.join(held.select(F.col("key").alias("held_key"), "split", "source").distinct(), "held_key")
+    near = near.groupBy("split", "source").agg(F.count("*").alias("cross_split_near_duplicate_pairs"), F.count_distinct("held_key").alias("records"))
+    x = shared_ngrams(ids).join(near, ["split", "source"], "full")
     return x.select("split", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("unique_overlapping_ngrams", "overlapping_ngram_occurrences_train", "cross_split_near_duplicate_pairs", "records")])
 
 

@@ -490,3 +490,40 @@ def test_every_passage_of_an_item_is_removed(spark):
     d = spark.createDataFrame([("a", text), ("b", eight), ("c", " ".join(w[3:10]))], "doc_id string, text string")
     got = {r.doc_id: r.clean.split() for r in leaks.without_leaks(d, {"i": w}).collect()}
     assert got == {"a": "start middle words stay here end".split(), "b": ["first", "last"], "c": w[3:10]}
+
+
+def test_every_fifth_word_changed(spark):
+    """Evenly edited records at just four fifths are all found, beside many near-copies of one training text."""
+    rng, rows, want = random.Random(6), [], set()
+    common = [f"c{i}" for i in range(40)]
+    for i in range(120):
+        w = [rng.choice(common) if rng.random() < 0.5 else f"t{i}x{j}" for j in range(rng.randint(60, 160))]
+        edited = [x if j % 5 != 4 else f"e{i}x{j}" for j, x in enumerate(w)]
+        rows += [(f"t{i}", "train", " ".join(w)), (f"v{i}", "val", " ".join(edited))]
+        want.add((f"t{i}", f"v{i}"))
+    base = [f"b{j}" for j in range(100)]
+    rows.append(("tb", "train", " ".join(base)))
+    for i in range(40):
+        w = [x if rng.random() < 0.85 else f"n{i}x{j}" for j, x in enumerate(base)]
+        rows.append((f"w{i}", "test", " ".join(w)))
+        if sum(a == b for a, b in zip(w, base)) >= 80:
+            want.add(("tb", f"w{i}"))
+    d = spark.createDataFrame(rows, "doc_id string, split string, text string")
+    assert {(r.train_key, r.held_key) for r in overlap.cross_split_overlaps(d).collect()} == want
+    assert {(r.train_key, r.held_key) for r in overlap.cross_split_overlaps(d, shard_words=3000).collect()} == want  # several shards
+
+
+def test_shared_rows_of_words(spark):
+    rng, rows = random.Random(7), []
+    for i in range(80):
+        rows.append((f"d{i}", rng.choice(["train", "train", "val", "test"]), rng.choice("ab"), " ".join(f"w{rng.randint(0, 3)}" for _ in range(rng.randint(1, 60)))))
+    rows += [("n1", None, "a", "x " * 20), ("n2", "val", None, None), ("n3", "val", "a", " ")]
+    d = spark.createDataFrame(rows, "doc_id string, split string, source string, text string")
+    got = {(r.split, r.source): (r.unique_overlapping_ngrams, r.overlapping_ngram_occurrences_train, r.ngrams) for r in overlap.shared_ngrams(overlap.numbered(d, "doc_id", "text", "split", "source"), 4).collect()}
+    grams = lambda t: [tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)]
+    train = Counter(g for _, s, _, t in rows if s == "train" for g in grams(t))
+    want = defaultdict(set)
+    for _, s, src, t in rows:
+        if s in ("val", "test") and t:
+            want[s, src] |= set(grams(t))
+    assert got == {k: (len(v & set(train)), sum(train[g] for g in v if g in train), len(v)) for k, v in want.items() if v}
