@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.words import lines_of_words
+from granary.llm.words import LINES, plain, split_words
 from granary.session import cut
 
 #: Words of evaluation text in a shard: bounds what is broadcast (4 bytes a word) and each index.
@@ -33,8 +33,25 @@ def word_id(w: str) -> int:
     return got
 
 
+_TOKENS: dict[str, list[int]] = {}
+
+
+def _ids_of(line: str) -> list[int]:
+    """Numbers of the words of a line already plain; what stands between white space is worked on once and kept."""
+    out: list[int] = []
+    for x in line.split():
+        got = _TOKENS.get(x)
+        if got is None:
+            got = [word_id(w) for w in split_words(x)]
+            if len(_TOKENS) < 300_000 and len(x) < 60:
+                _TOKENS[x] = got
+        out += got
+    return out
+
+
 def lines_of_ids(text: str) -> list[list[int]]:
-    return [list(map(word_id, x)) for x in lines_of_words(text)]
+    """Numbers of the words of each line that has any."""
+    return [x for x in map(_ids_of, LINES.split(plain(text))) if x]
 
 
 def packed(lines: list[list[int]]) -> bytes:

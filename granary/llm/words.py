@@ -50,10 +50,11 @@ def plain(text: str) -> str:
     return fold(text)
 
 
+LINES = re.compile(r"[\r\n]+")
 _KEPT: dict[str, list[str]] = {}
 
 
-def _split(text: str) -> list[str]:
+def split_words(text: str) -> list[str]:
     """Words of text already plain; what stands between white space is worked on once and kept."""
     out: list[str] = []
     for x in text.split():
@@ -68,13 +69,9 @@ def _split(text: str) -> list[str]:
 
 def words_of(text: str | None) -> list[str]:
     """The words in order; null or blank gives none."""
-    return _split(plain(text)) if text else []
+    return split_words(plain(text)) if text else []
 
 
 def lines_of_words(text: str | None) -> list[list[str]]:
     """The words of each line that has any."""
-    return [x for x in map(_split, re.split(r"[\r\n]+", plain(text))) if x] if text else []
-
-
-def nfc(text: str) -> str:
-    return unicodedata.normalize("NFC", text)
+    return [x for x in map(split_words, LINES.split(plain(text))) if x] if text else []
