@@ -27,6 +27,11 @@ MARKUP = (
 )
 
 
+MOJIBAKE, DEVANAGARI = r"[ÂÃàáâã][\x{80}-\x{bf}]", r"[\x{900}-\x{97f}]"
+LINK = r"(?i)[^ ]*(?:http|www\.|\.com|\.org|\.gov)[^ ]*"
+STRUCTURE = r"[.!?।|:;,\"'()॥\-–—\t-\r \x{85}\p{Z}]"
+
+
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no function for it."""
@@ -37,7 +42,7 @@ def clean_text(c: Column, compose: bool = True) -> Column:
     """Composed, without zero-width and control characters and markup, white space in order. Null stays null."""
     t = nfc(c) if compose else c
     t = F.regexp_replace(t, r"[\x{200b}-\x{200f}\x{2060}\x{feff}]", "")
-    t = F.regexp_replace(t, r"\r\n|\r", "\n")
+    t = mojibake_repaired(F.regexp_replace(t, r"\r\n|\r", "\n"))
     for pattern, to in MARKUP:
         t = F.regexp_replace(t, pattern, to)
     t = F.regexp_replace(t, r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}]", "")
@@ -49,10 +54,13 @@ def clean_text(c: Column, compose: bool = True) -> Column:
 
 def mojibake_repaired(c: Column) -> Column:
     """Text whose UTF-8 was read as Latin-1 read rightly, if that gives more Devanagari letters; else the text."""
-    maybe = c.rlike("à[¤-¥]") & ~c.rlike(r"[^\x{0}-\x{ff}]")
-    read = F.try_validate_utf8(F.when(maybe, F.encode(c, "ISO-8859-1")).cast("binary").cast("string"))
-    deva = r"[\x{900}-\x{97f}]"
-    return F.when(maybe & (F.regexp_count(read, F.lit(deva)) > F.regexp_count(c, F.lit(deva))), read).otherwise(c)
+
+    def read(t: Column) -> Column:
+        maybe = t.rlike(MOJIBAKE) & ~t.rlike(r"[^\x{0}-\x{ff}]")
+        r = F.try_validate_utf8(F.when(maybe, F.encode(t, "ISO-8859-1")).cast("binary").cast("string"))
+        return F.when(maybe & (F.regexp_count(r, F.lit(DEVANAGARI)) > F.regexp_count(t, F.lit(DEVANAGARI))), r).otherwise(t)
+
+    return let(c, read)
 
 
 def reject_reasons(c: Column, **limits: float) -> Column:
@@ -61,21 +69,32 @@ def reject_reasons(c: Column, **limits: float) -> Column:
     return let(F.coalesce(c, F.lit("")), lambda t: _reasons(t, p))
 
 
+def _most_alike(lines: Column) -> Column:
+    """How often the most frequent of the lines occurs: the longest run of equal ones once they are sorted."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, line: Column) -> Column:
+        run = F.when(line.eqNullSafe(s["last"]), s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(line.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(lines), start, step, lambda s: s["best"])
+
+
 def _reasons(t: Column, p: dict) -> Column:
     n = F.length(t)
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.regexp_replace(x, r"[\t-\r \x{85}\p{Z}]", "")) > 0)
-    most = F.array_max(F.transform(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x))))
-    urls = F.regexp_count(t, F.lit(r"(?i)[^ ]*(?:http|www\.|\.com|\.org|\.gov)[^ ]*"))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\t-\r \x{85}\p{Z}]"))
+    repeated = let(lines, lambda x: (F.size(x) > 2) & (_most_alike(x) / F.size(x) > p["max_line"]))
+    urls = F.when(t.rlike(r"(?i)http|www\.|\.com|\.org|\.gov"), F.regexp_count(t, F.lit(LINK))).otherwise(F.lit(0))
     words = F.greatest(F.regexp_count(t, F.lit(r"[^\t-\r \x{85}\p{Z}]+")), F.lit(1))
     low = F.lower(t)
     tests = [
         (n < p["min_chars"], "too_short"),
         (n > p["max_chars"], "too_long"),
         ((n > 0) & (F.regexp_count(t, F.lit(r"[\p{L}\p{N}]")) / n < p["min_alnum"]), "low_alnum_ratio"),
-        ((F.size(lines) > 2) & (most / F.size(lines) > p["max_line"]), "line_repetition"),
+        (repeated, "line_repetition"),
         (urls / words > p["max_url"], "link_farm"),
         ((n > 0) & (F.regexp_count(t, F.lit(r"\p{S}")) / n > p["max_symbol"]), "symbol_soup"),
-        (~t.rlike(r"[.!?।|:;,\"'()॥\-–—\t-\r \x{85}\p{Z}]"), "no_punctuation_structure"),
+        (~t.rlike(STRUCTURE), "no_punctuation_structure"),
         (F.greatest(*[low.contains(b) for b in BOILERPLATE]), "boilerplate"),
     ]
     return F.filter(F.array(*[F.when(t, F.lit(name)) for t, name in tests]), lambda x: x.isNotNull())

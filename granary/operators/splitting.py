@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import compare_form, ngrams, sentences, tokens
+from granary.functions.text import compare_form, sentences, tokens
 from granary.operators.dedup import connected
+from granary.operators.membership import exploded, gram_hashes, key_filter
 from granary.operators.running import running_total
 from granary.session import cut
 
@@ -38,33 +39,61 @@ def assign_split(parts: DataFrame, language: str, fraction: float, seed: int) ->
     return x.select("component", "lang", "docs", F.when(before < F.greatest(F.round(F.col("total") * fraction), F.lit(1)), "val").otherwise("train").alias("split"))
 
 
-def grams_of(df: DataFrame, key: str, text: str, n: int, lower: bool = True) -> DataFrame:
-    """(key, g) of every row of n words, repeats kept."""
+def gram_rows(df: DataFrame, key: str, text: str, n: int, *rest: str, lower: bool = True) -> DataFrame:
+    """(key, rest, g): the 64-bit hashes of the rows of n words of each text, in order, repeats kept, as an array."""
     t = compare_form(F.col(text)) if lower else F.col(text)
-    return df.select(F.col(key), t.alias("_t")).select(key, tokens(F.col("_t")).alias("_w")).select(key, F.explode(ngrams(F.col("_w"), n)).alias("g"))
+    return df.select(key, *rest, t.alias("_t")).select(key, *rest, gram_hashes(tokens(F.col("_t")), n).alias("g"))
+
+
+def component_edges(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(a, b): documents that share a row of n words, each tied to the first that holds it. No pair of others is made."""
+    g = gram_rows(df, key, text, n).select(F.col(key).alias("k"), F.explode(F.array_distinct("g")).alias("g"))
+    first = g.groupBy("g").agg(F.min("k").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return g.join(first, "g").where("k > a").select("a", F.col("k").alias("b")).distinct()
 
 
 def leaking(df: DataFrame, key: str, text: str, split: str, n: int, held: Column) -> DataFrame:
-    """Held-out documents of which a row of n words occurs in train, with how many. Train's grams are reduced to distinct
-    ones before they meet the held-out ones (a semi-join)."""
-    hold = grams_of(df.where(held), key, text, n)
-    train = grams_of(df.where(F.col(split) == "train"), key, text, n).select("g").distinct()
+    """Held-out documents of which a row of n words occurs in train, with how many.
+
+    Rows of words are hashed to 64 bits. Train's are filtered by the held-out ones where they are made, then reduced to
+    distinct ones before they meet them (a semi-join).
+    """
+    hold = cut(gram_rows(df.where(held), key, text, n).select(key, F.explode("g").alias("g")))
+    only = key_filter(hold.select("g").distinct())
+    train = exploded(gram_rows(df.where(F.col(split) == "train"), key, text, n).select("g"), "g", only).distinct()
     return hold.join(train, "g", "left_semi").groupBy(key).agg(F.count("*").alias("hits"), F.count_distinct("g").alias("distinct_hits"))
 
 
-def repair_leaks(df: DataFrame, key: str, text: str, split: str, unit: str, n: int = 8, rounds: int = 8) -> DataFrame:
+def leaking_pairs(df: DataFrame, key: str, text: str, split: str, n: int, held: Column) -> DataFrame:
+    """(held_key, train_key, rows): a held-out document and the first train document that holds each of its shared rows of n
+    words, with the number of distinct rows so tied. Every held-out document with a leak has a pair; copies of a passage in
+    train aren't expanded."""
+    hold = cut(gram_rows(df.where(held), key, text, n).select(F.col(key).alias("held_key"), F.explode(F.array_distinct("g")).alias("g")))
+    only = key_filter(hold.select("g").distinct())
+    train = exploded(gram_rows(df.where(F.col(split) == "train"), key, text, n), "g", only).groupBy("g").agg(F.min(key).alias("train_key"))
+    return hold.join(train, "g").groupBy("held_key", "train_key").agg(F.count("*").alias("rows"))
+
+
+def repair_leaks(df: DataFrame, key: str, text: str, split: str, unit: str, n: int = 8, rounds: int = 50) -> DataFrame:
     """(key, split, moved_in) after held-out units with leaks are moved to train until none leaks; nothing is deleted.
 
-    unit is the column that moves as a whole (the key, or a component). Grams are computed once and cut in the shared folder;
-    each round is a semi-join on what changed.
+    unit is the column that moves as a whole (the key, or a component). Only rows of words that a held-out document holds
+    matter: train's are filtered by them, reduced to distinct ones, and cut in the shared folder with the held-out ones; in
+    each round those of the units moved last are looked up. A repair that isn't done after ``rounds`` raises.
     """
-    g = cut(grams_of(df, key, text, n).distinct())
-    state = cut(df.select(key, unit, F.col(split).alias("split"), F.lit(0).alias("moved_in")) if unit != key else df.select(key, F.col(split).alias("split"), F.lit(0).alias("moved_in")))
+    columns = [key] if unit == key else [key, unit]
+    state = cut(df.select(*columns, F.col(split).alias("split"), F.lit(0).alias("moved_in")))
+    hold = cut(gram_rows(df.where(F.col(split) != "train"), key, text, n).select(key, F.explode(F.array_distinct("g")).alias("g")))
+    only = key_filter(hold.select("g").distinct())
+    new = exploded(gram_rows(df.where(F.col(split) == "train"), key, text, n).select("g"), "g", only).distinct()
     for i in range(1, rounds + 1):
-        both = g.join(state.select(key, "split"), key)
-        bad = both.where("split <> 'train'").join(both.where("split = 'train'").select("g").distinct(), "g", "left_semi").select(key).distinct()
-        units = state.join(bad, key).where("split <> 'train'").select(unit).distinct().withColumn("_bad", F.lit(True))
-        state = cut(state.join(units, unit, "left").withColumn("_move", F.coalesce(F.col("_bad") & (F.col("split") != "train"), F.lit(False))).withColumn("moved_in", F.when(F.col("_move"), i).otherwise(F.col("moved_in"))).withColumn("split", F.when(F.col("_move"), "train").otherwise(F.col("split"))).drop("_bad", "_move"))
-        if state.where(F.col("moved_in") == i).isEmpty():
-            break
-    return state.select(key, "split", "moved_in")
+        bad = hold.join(new, "g", "left_semi").select(key).distinct()
+        units = state.where("split <> 'train'").join(bad, key).select(unit).distinct().withColumn("_bad", F.lit(True))
+        moves = F.coalesce(F.col("_bad") & (F.col("split") != "train"), F.lit(False))
+        x = state.join(units, unit, "left").withColumn("_move", moves)
+        state = cut(x.select(*columns, F.when(F.col("_move"), "train").otherwise(F.col("split")).alias("split"), F.when(F.col("_move"), i).otherwise(F.col("moved_in")).alias("moved_in")))
+        moved = state.where(F.col("moved_in") == i).select(key)
+        if moved.isEmpty():
+            return state.select(key, "split", "moved_in")
+        new = hold.join(moved, key, "left_semi").select("g").distinct()
+    raise RuntimeError(f"leaks are left after {rounds} rounds")

@@ -4,13 +4,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.text import collapse
-from granary.operators.cleaning import BOILERPLATE, LIMITS, MARKUP, clean_text, cleaned
+from granary.operators.cleaning import BOILERPLATE, DEVANAGARI, LIMITS, LINK, MARKUP, MOJIBAKE, STRUCTURE, clean_text, cleaned
 from granary.operators.blocks import HTML, blocks, html_to_text, json_to_text, packed_blocks, packed_by_language
 from granary.queries import query, table
 from granary.queries import sql as S
 
 _CLEAN = "nfc_normalize(text)"
-for _p, _to in [(r"[\x{200b}-\x{200f}\x{2060}\x{feff}]", ""), (r"\r\n|\r", "\n"), *MARKUP, (r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}]", ""), ("\t", " "), (r"[ \x{a0}]{2,}", " "), (r"\n{3,}", "\n\n"), (r"(?m)^[ \x{a0}]+|[ \x{a0}]+$", ""), (r"^\n+|\n+$", "")]:
+for _p, _to in [(r"[\x{200b}-\x{200f}\x{2060}\x{feff}]", ""), (r"\r\n|\r", "\n")]:
+    _CLEAN = f"regexp_replace({_CLEAN}, {S.q(_p)}, {S.q(_to)}, 'g')"
+_READ = "try(decode(unhex(array_to_string(list_transform(string_split(x, ''), lambda c: printf('%02x', unicode(c))), ''))))"
+_DEVA = lambda c: f"len(regexp_extract_all({c}, {S.q(DEVANAGARI)}))"
+_MAYBE = f"regexp_matches(x, {S.q(MOJIBAKE)}) AND NOT regexp_matches(x, {S.q(r'[^\x{0}-\x{ff}]')})"
+_CLEAN = f"list_transform([{_CLEAN}], lambda x: CASE WHEN {_MAYBE} AND {_DEVA(_READ)} > {_DEVA('x')} THEN {_READ} ELSE x END)[1]"
+for _p, _to in [*MARKUP, (r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}]", ""), ("\t", " "), (r"[ \x{a0}]{2,}", " "), (r"\n{3,}", "\n\n"), (r"(?m)^[ \x{a0}]+|[ \x{a0}]+$", ""), (r"^\n+|\n+$", "")]:
     _CLEAN = f"regexp_replace({_CLEAN}, {S.q(_p)}, {S.q(_to.replace('$1', chr(92) + '1'))}, 'g')"
 
 
@@ -25,9 +31,9 @@ def _reasons(c: str) -> str:
         (f"length({t}) > {p['max_chars']}", "too_long"),
         (f"length({t}) > 0 AND {count(r'[\p{L}\p{N}]')} / length({t})::DOUBLE < {p['min_alnum']}", "low_alnum_ratio"),
         (f"len({lines}) > 2 AND list_max(list_transform(list_distinct({lines}), lambda x: len(list_filter({lines}, lambda y: y = x)))) / len({lines})::DOUBLE > {p['max_line']}", "line_repetition"),
-        (f"{count(r'(?i)[^ ]*(?:http|www\.|\.com|\.org|\.gov)[^ ]*')} / greatest({count(r'[^\t-\r \x{85}\p{Z}]+')}, 1)::DOUBLE > {p['max_url']}", "link_farm"),
+        (f"{count(LINK)} / greatest({count(r'[^\t-\r \x{85}\p{Z}]+')}, 1)::DOUBLE > {p['max_url']}", "link_farm"),
         (f"length({t}) > 0 AND {count(r'\p{S}')} / length({t})::DOUBLE > {p['max_symbol']}", "symbol_soup"),
-        (f"NOT regexp_matches({t}, {S.q(r'[.!?।|:;,\"' + chr(39) + r'()॥\-–—\t-\r \x{85}\p{Z}]')})", "no_punctuation_structure"),
+        (f"NOT regexp_matches({t}, {S.q(STRUCTURE)})", "no_punctuation_structure"),
         (" OR ".join(f"contains(lower({t}), {S.q(b)})" for b in BOILERPLATE), "boilerplate"),
     ]
     return "list_filter([" + ", ".join(f"CASE WHEN {x} THEN '{n}' END" for x, n in tests) + "], lambda x: x IS NOT NULL)"

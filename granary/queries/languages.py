@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators.langid import ALLOWED, LABELS, MARKERS, ROMANISED, SCRIPTS, WORD, code_switches, identify, marker_score, romanised_score, script_agrees, script_count, script_share
+from granary.operators.langid import ALLOWED, ANY, LABELS, MARKERS, CLEANER_ROMANISED, EXPECTED, LATIN_BLOCK, ROMANISED, SCRIPTS, WORD, code_switches, guessed, identified, identify, marker_scores as marked, reconciled, romanised_score, script_agrees, script_counts, script_profile, script_share
 from granary.queries import query, table
 from granary.queries import sql as S
 
@@ -16,8 +16,8 @@ def _score(words: str, lexicon: list[str]) -> str:
     return f"coalesce(len(list_filter({words}, lambda w: list_contains({_LIST(lexicon)}, w))) / greatest(len({words}), 1)::DOUBLE, 0.0)"
 
 
-_HI, _MR, _SA = (_score(_WORDS, m.split()) for m in MARKERS.values())
-_ROM = _score("regexp_extract_all(lower(text), '[a-z'']+')", ROMANISED.split())
+_HI, _MR, _SA = (_score(_WORDS, m) for m in MARKERS.values())
+_ROM = _score("regexp_extract_all(lower(text), '[a-z'']+')", ROMANISED)
 _MEASURED = (
     "WITH c AS (SELECT doc_id, text, lang, " + ", ".join(f"{e} AS n_{s}" for s, e in _COUNT.items()) + f", {_HI} AS hi, {_MR} AS mr, {_SA} AS sa, {_ROM} AS rom FROM documents), "
     "m AS (SELECT *, " + ", ".join(f"n_{s} / greatest(" + " + ".join(f"n_{x}" for x in SCRIPTS) + f", 1)::DOUBLE AS s_{s}" for s in SCRIPTS) + " FROM c) "
@@ -34,14 +34,15 @@ _AGREES = "CASE " + " ".join(f"WHEN lang = '{k}' THEN greatest(" + ", ".join(f"s
 @query(_MEASURED + "SELECT doc_id, " + ", ".join(f"n_{s}" for s in SCRIPTS) + " FROM m")
 def script_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters of each script per document."""
-    return table(spark, sf_dir, "documents").select("doc_id", *[script_count(F.col("text"), s).cast("bigint").alias(f"n_{s}") for s in SCRIPTS])
+    x = table(spark, sf_dir, "documents").select("doc_id", script_counts(F.col("text")).alias("c"))
+    return x.select("doc_id", *[F.col("c")[i].cast("bigint").alias(f"n_{s}") for i, s in enumerate(SCRIPTS)])
 
 
 @query(_MEASURED + "SELECT doc_id, round(hi, 6) AS hi, round(mr, 6) AS mr, round(sa, 6) AS sa, round(rom, 6) AS romanised FROM m")
 def marker_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the marker lexicons per document."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", *[F.round(marker_score(t, x), 6).alias(x) for x in MARKERS], F.round(romanised_score(t), 6).alias("romanised"))
+    return table(spark, sf_dir, "documents").select("doc_id", marked(t).alias("m"), F.round(romanised_score(t), 6).alias("romanised")).select("doc_id", *[F.round(F.col("m")[i], 6).alias(x) for i, x in enumerate(MARKERS)], "romanised")
 
 
 @query(_MEASURED + f"SELECT doc_id, lang, {_IDENTIFY} AS measured, round(s_devanagari, 6) AS devanagari, round(s_latin, 6) AS latin FROM m WHERE text IS NOT NULL")
