@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.words import LINES, plain, split_words
+from granary.operators.membership import held_by, key_filter
 from granary.session import cut
 
 #: Words of evaluation text in a shard: bounds what is broadcast (4 bytes a word) and each index.
@@ -111,13 +113,22 @@ def almost_same(a: list[list[int]], b: list[list[int]], share: float) -> bool:
     return (len(a) > 1 or len(b) > 1) and (common_in_order(x, _in_order_of(a, b)) >= need or common_in_order(y, _in_order_of(b, a)) >= need)
 
 
+def _repeats(sorted_: np.ndarray) -> np.ndarray:
+    """The number of each element of a sorted array among its equals."""
+    n = np.arange(len(sorted_))
+    new = np.ones(len(sorted_), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    return (n - np.maximum.accumulate(n * new)).astype(np.uint64)
+
+
 def _tokens(words: np.ndarray) -> np.ndarray:
     """Each word with its number among the same words of the text, so that what two texts have in common is counted as sets."""
     words = np.sort(words)
-    n = np.arange(len(words))
-    new = np.empty(len(words), bool)
-    new[0], new[1:] = True, words[1:] != words[:-1]
-    return words.astype(np.uint64) << np.uint64(32) | (n - np.maximum.accumulate(n * new)).astype(np.uint64)
+    return words.astype(np.uint64) << np.uint64(32) | _repeats(words)
+
+
+#: Words of training text looked up together, and hits counted together: what a task holds beside a shard.
+TOGETHER, HITS = 100_000, 2_000_000
 
 
 class Shard:
@@ -163,31 +174,59 @@ class Shard:
     def _offered(self, n):  # noqa: ANN001, ANN202
         return n - self._need(n) + self._hits(n)
 
-    def candidates(self, text: list[int]) -> np.ndarray:
-        """Records of fitting size that offer enough of the words that the text offers."""
-        n = np.int64(len(text))
-        own = _tokens(np.array(text, np.uint32))
+    def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """(text, record): the records of fitting size that offer enough of the words that a text offers, for many texts at once."""
+        n = np.array(list(map(len, texts)), np.int64)
+        of = np.repeat(np.arange(len(texts)), n)
+        key = np.sort(of.astype(np.uint64) << np.uint64(32) | np.concatenate([*texts, np.empty(0, np.uint32)]))
+        own = key << np.uint64(32) | _repeats(key)
         at = np.minimum(np.searchsorted(self.words, own), len(self.words) - 1)
-        word = self.rank[at[self.words[at] == own]]
-        need, offered = self._need(n), self._offered(n) - (n - len(word))
-        if len(word) < need or offered < 1:
-            return np.empty(0, np.int64)
-        word = np.sort(word)[:offered] * self.span
-        low = np.searchsorted(self.at, word + min(need, self.span))
-        high = np.searchsorted(self.at, word + min(int((n + 1e-9) / self.share), self.span - 1), "right")
-        found = np.sort(self.holder[_ranges(low, high)])
-        if not len(found):
-            return found
-        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-        records, times = found[first], np.diff(first, append=len(found))
-        return records[times >= np.minimum(self.hits[records], self._hits(n))]
-
-    def find(self, lines: list[list[int]]) -> list[int]:
-        """Evaluation records that are almost the text of these lines."""
+        known = self.words[at] == own
+        of, word = of[known], self.rank[at[known]]
+        size = np.bincount(of, minlength=len(texts))
+        need, offered = self._need(n), self._offered(n) - (n - size)
+        offered = np.where(size >= need, np.maximum(offered, 0), 0)
+        key = np.sort(of * len(self.words) + word)  # by text, then by rank
+        first = np.arange(len(of)) - (np.cumsum(size) - size)[of] < offered[of]
+        of, word = of[first], (key[first] - of[first] * len(self.words)) * self.span
+        low = np.searchsorted(self.at, word + np.minimum(need, self.span)[of])
+        high = np.searchsorted(self.at, word + np.minimum(((n + 1e-9) / self.share).astype(np.int64), self.span - 1)[of], "right")
+        hits = np.maximum(high - low, 0)
+        ends = np.cumsum(hits)
+        start = 0
+        while start < len(of):  # so many hits at once, whole texts each
+            end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + HITS))
+            end = len(of) if end >= len(of) else max(int(np.searchsorted(of, of[end])), int(np.searchsorted(of, of[start], "right")))
+            part = slice(start, end)
+            pair = np.sort(np.repeat(of[part], hits[part]) * len(self.size) + self.holder[_ranges(low[part], high[part])])
+            if len(pair):
+                new = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+                text, record = np.divmod(pair[new], len(self.size))
+                enough = np.diff(new, append=len(pair)) >= np.minimum(self.hits[record], self._hits(n)[text])
+                yield from zip(text[enough].tolist(), record[enough].tolist())
+            start = end
+
+    def find(self, texts: list[bytes]) -> list[list[int]]:
+        """For each text (packed lines), the evaluation records that are almost it."""
+        out: list[list[int]] = [[] for _ in texts]
         if self.empty:
-            return []
-        rs = self.candidates([w for line in lines for w in line]).tolist()
-        return [self.records[r][0] for r in rs if almost_same(unpacked(self.records[r][1]), lines, self.share)]
+            return out
+        words = [np.frombuffer(t, np.uint32) for t in texts]
+        words = [w[w > 0] for w in words]
+        i = 0
+        while i < len(texts):
+            j, total = i, 0
+            while j < len(texts) and (j == i or total + len(words[j]) <= TOGETHER):
+                total += len(words[j])
+                j += 1
+            last, lines = -1, None
+            for t, r in self.candidates(words[i:j]):
+                if t != last:
+                    last, lines = t, unpacked(texts[i + t])
+                if almost_same(unpacked(self.records[r][1]), lines, self.share):
+                    out[i + t].append(self.records[r][0])
+            i = j
+        return out
 
 
 def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -263,20 +302,20 @@ def _scan(spark, trains: DataFrame, key: str, rows: list[tuple[int, bytes]], sha
             shard = _SHARDS[name] = Shard(shared.value, share)
         kept: dict[bytes, list[int]] = {}
         for b in batches:
-            out: list[tuple] = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k is None or not t:
-                    continue
-                whole = isinstance(t, str)
-                h = xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass") if whole else t)
-                rs = kept.get(h)  # copies are scanned once
-                if rs is None:
-                    lines = lines_of_ids(t) if whole else unpacked(t)
-                    rs = shard.find(lines) if lines else []
-                    if len(kept) < 200_000:
-                        kept[h] = rs
-                out += [(k, r) for r in rs]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], b.schema.field(0).type), pa.array([r for _, r in out], pa.int64())], ["train_key", "r"])
+            keys, texts, todo = b.column(0).to_pylist(), b.column(1).to_pylist(), {}
+            hashes: list[bytes | None] = []
+            for k, t in zip(keys, texts):
+                h = None
+                if k is not None and t:
+                    h = xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t)
+                    if h not in kept and h not in todo:  # copies are looked up once
+                        todo[h] = packed(lines_of_ids(t)) if isinstance(t, str) else t
+                hashes.append(h)
+            found = dict(zip(todo, shard.find(list(todo.values()))))
+            rows = [(k, r) for k, h in zip(keys, hashes) if h for r in (kept[h] if h in kept else found[h])]
+            if len(kept) < 200_000:
+                kept |= found
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], b.schema.field(0).type), pa.array([r for _, r in rows], pa.int64())], ["train_key", "r"])
 
     return trains.mapInArrow(run, schema)
 
@@ -287,37 +326,23 @@ FILTER_BITS = 1 << 29
 _SEGMENT = 1 << 19
 
 
-def _grams(ids: bytes, n: int) -> np.ndarray:
-    """A 64-bit hash of each row of n words of packed lines, across line ends."""
-    w = np.frombuffer(ids, np.uint32)
-    w = w[w > 0].astype(np.uint64)
+def _grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each row of n words of packed lines, across line ends, and the number of its text."""
+    words = [np.frombuffer(t, np.uint32) for t in texts]
+    of = np.repeat(np.arange(len(words)), list(map(len, words)))
+    w = np.concatenate([*words, np.empty(0, np.uint32)])
+    of, w = of[w > 0], w[w > 0].astype(np.uint64)
     if len(w) < n:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     with np.errstate(over="ignore"):
         w = (w ^ (w >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
         h = np.zeros(len(w) - n + 1, np.uint64)
         for i in range(n):
             h = h * np.uint64(0xD6E8FEB86659FD93) + w[i : i + len(h)]
             h ^= h >> np.uint64(32)
-        return (h * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-
-
-def _gram_filter(want: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits, filter as bytes) of the column g, put together from segments: the driver holds the filter, never the rows."""
-    bits = _SEGMENT
-    while bits < min(FILTER_BITS, 16 * want.count()):
-        bits *= 2
-    slots = want.select(F.pmod("g", F.lit(bits)).alias("s")).distinct().select(F.floor(F.col("s") / _SEGMENT).alias("seg"), (F.col("s") % _SEGMENT).alias("s"))
-
-    def segment(batch):  # noqa: ANN001, ANN202
-        m = np.zeros(_SEGMENT, np.uint8)
-        m[batch["s"].to_numpy()] = 1
-        return pa.table({"seg": [batch["seg"][0].as_py()], "m": [np.packbits(m).tobytes()]})
-
-    whole = np.zeros(bits // 8, np.uint8)
-    for r in slots.groupBy("seg").applyInArrow(segment, "seg bigint, m binary").toLocalIterator():
-        whole[r.seg * _SEGMENT // 8 : (r.seg + 1) * _SEGMENT // 8] = np.frombuffer(r.m, np.uint8)
-    return bits, whole
+        h = (h * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    whole = of[: len(h)] == of[n - 1 :]
+    return h[whole], of[: len(h)][whole]
 
 
 def shared_ngrams(ids: DataFrame, n: int = 8, train: str = "train", held_out: tuple[str, ...] = ("val", "test")) -> DataFrame:
@@ -325,27 +350,27 @@ def shared_ngrams(ids: DataFrame, n: int = 8, train: str = "train", held_out: tu
     occurrences there. ids has key, ids (as ``numbered`` gives them), split and source.
 
     Rows of words are hashed to 64 bits. Those of train pass a filter of the held-out ones where they are made, so only what
-    may be shared, counted in each text, is shuffled to be counted and joined.
+    may be shared is shuffled, once, together with the held-out rows. A row of words goes with the hash of its split and
+    source, whose names are joined to the counts.
     """
+    slices = ids.where(F.col("split").isin(*held_out)).select("ids", "split", "source", F.xxhash64("split", "source").alias("slice"))
 
     def held_rows(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            grams = [np.unique(_grams(x, n)) for x in b.column(0).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(grams)), list(map(len, grams))))
-            yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(np.concatenate([*grams, np.empty(0, np.int64)]))], ["split", "source", "g"])
+            g, of = _grams(b.column(0).to_pylist(), n)
+            pair = np.unique(np.stack([g, b.column(1).to_numpy()[of]]), axis=1) if len(g) else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.nulls(pair.shape[1], pa.int64())], ["g", "slice", "times"])
 
-    rows = ids.where(F.col("split").isin(*held_out)).select("ids", "split", "source")
-    held = cut(rows.mapInArrow(held_rows, "split string, source string, g bigint").distinct())
-    want = held.select("g").distinct()
-    shared = ids.sparkSession.sparkContext.broadcast(_gram_filter(want))
+    held = slices.select("ids", "slice").mapInArrow(held_rows, "g bigint, slice bigint, times bigint")
+    shared = ids.sparkSession.sparkContext.broadcast(key_filter(held.select("g"), rows=slices.agg(F.sum(F.octet_length("ids") / 4)).first()[0]))
 
     def train_rows(batches):  # noqa: ANN001, ANN202
-        bits, whole = shared.value
         for b in batches:
-            g = np.concatenate([*(_grams(x, n) for x in b.column(0).to_pylist()), np.empty(0, np.int64)])
-            s = g & (bits - 1)
-            g, times = np.unique(g[whole[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1 > 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(times)], ["g", "times"])
-
-    seen = ids.where(F.col("split") == train).select("ids").mapInArrow(train_rows, "g bigint, times bigint").groupBy("g").agg(F.sum("times").alias("times")).join(want, "g", "left_semi")
-    return held.join(seen, "g", "left").groupBy("split", "source").agg(F.count("times").alias("unique_overlapping_ngrams"), F.coalesce(F.sum("times"), F.lit(0)).alias("overlapping_ngram_occurrences_train"), F.count("*").alias("ngrams"))
+            g, _ = _grams(b.column(0).to_pylist(), n)
+            g, times = np.unique(g[held_by(shared.value, g)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.nulls(len(g), pa.int64()), pa.array(times, pa.int64())], ["g", "slice", "times"])
+
+    seen = ids.where(F.col("split") == train).select("ids").mapInArrow(train_rows, "g bigint, slice bigint, times bigint")
+    each = held.unionByName(seen).groupBy("g").agg(F.collect_set("slice").alias("slices"), F.sum("times").alias("times"))
+    counts = each.select(F.explode("slices").alias("slice"), "times").groupBy("slice").agg(F.count("times").alias("unique_overlapping_ngrams"), F.coalesce(F.sum("times"), F.lit(0)).alias("overlapping_ngram_occurrences_train"), F.count("*").alias("ngrams"))
+    return slices.groupBy("slice").agg(F.first("split").alias("split"), F.first("source").alias("source")).join(counts, "slice").drop("slice")

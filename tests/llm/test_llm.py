@@ -272,12 +272,12 @@ def test_overlaps_of_many_near_copies_equal_brute_force():
     lines = [train[j : j + 10] for j in range(0, 100, 10)]
     want = [i for i, x in enumerate(held) if overlap.almost_same(x, lines, 0.8)]
     assert 20 < len(want) < 60
-    assert overlap.Shard([(i, overlap.packed(x)) for i, x in enumerate(held)], 0.8).find(lines) == want
+    assert overlap.Shard([(i, overlap.packed(x)) for i, x in enumerate(held)], 0.8).find([overlap.packed(lines)])[0] == want
     for share in (0.5, 0.8, 1.0):
         texts = [[[rng.randrange(1, 8) for _ in range(rng.randint(1, 25))] for _ in range(rng.randint(1, 2))] for _ in range(120)]
         shard = overlap.Shard([(i, overlap.packed(x)) for i, x in enumerate(texts)], share)
         for x in texts[:60]:
-            assert sorted(shard.find(x)) == [i for i, y in enumerate(texts) if overlap.almost_same(y, x, share)]
+            assert sorted(shard.find([overlap.packed(x)])[0]) == [i for i, y in enumerate(texts) if overlap.almost_same(y, x, share)]
 
 
 def test_common_in_order():
