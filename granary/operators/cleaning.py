@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions.text import let
+from granary.operators.checks import most_alike
 
 # Phrases that mark boilerplate, limits of the quality filter, patterns of markup (in order).
 BOILERPLATE = ("all rights reserved", "click here to subscribe", "enable javascript", "404 not found", "this page requires cookies")
@@ -69,21 +70,10 @@ def reject_reasons(c: Column, **limits: float) -> Column:
     return let(F.coalesce(c, F.lit("")), lambda t: _reasons(t, p))
 
 
-def _most_alike(lines: Column) -> Column:
-    """How often the most frequent of the lines occurs: the longest run of equal ones once they are sorted."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(s: Column, line: Column) -> Column:
-        run = F.when(line.eqNullSafe(s["last"]), s["run"] + 1).otherwise(F.lit(1))
-        return F.struct(line.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
-
-    return F.aggregate(F.array_sort(lines), start, step, lambda s: s["best"])
-
-
 def _reasons(t: Column, p: dict) -> Column:
     n = F.length(t)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\t-\r \x{85}\p{Z}]"))
-    repeated = let(lines, lambda x: (F.size(x) > 2) & (_most_alike(x) / F.size(x) > p["max_line"]))
+    repeated = let(lines, lambda x: (F.size(x) > 2) & (most_alike(x) / F.size(x) > p["max_line"]))
     urls = F.when(t.rlike(r"(?i)http|www\.|\.com|\.org|\.gov"), F.regexp_count(t, F.lit(LINK))).otherwise(F.lit(0))
     words = F.greatest(F.regexp_count(t, F.lit(r"[^\t-\r \x{85}\p{Z}]+")), F.lit(1))
     low = F.lower(t)

@@ -35,7 +35,7 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, least: float = 0.8) -> Dat
     x = cut(x.select("k", shingles(F.col("t")).alias("g")).select("k", F.transform("g", lambda g: F.xxhash64(g)).alias("g")))
     one = x.select("k", F.size("g").alias("n"), F.explode("g").alias("g"))
     often = one.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = one.join(often, "g").groupBy("k", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "g"))), 1, 1_000_000).alias("r"))
+    ranked = one.join(often, "g").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"))
     offer = ranked.select("k", "n", F.explode(F.slice("r", F.lit(1), F.greatest(F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1, F.lit(1)))).alias("s")).select("k", "n", "s.g", "s.df").where("df > 1")
     a, b = (offer.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), "g") for c in "ab")
     pairs = a.join(b, "g").where(f"a < b AND least(na, nb) >= {least} * greatest(na, nb)").select("a", "b").distinct()
@@ -46,11 +46,20 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, least: float = 0.8) -> Dat
 
 
 def verified_links(df: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
-    """(a, b), a < b: the pairs of ``jaccard_pairs``, and the first of the copies of a text tied to the others."""
+    """(a, b, jaccard), a < b: the pairs of ``jaccard_pairs``, and the first of the copies of a text tied to the others."""
     x = df.select(F.col(key).alias("k"), compare_form(F.col(text)).alias("t")).where("length(t) > 0").select("k", F.sha2("t", 256).alias("t"))
     first = x.groupBy("t").agg(F.min("k").alias("a"), F.count("*").alias("n")).where("n > 1")
-    copies = x.join(first, "t").where("k > a").select("a", F.col("k").alias("b"))
-    return jaccard_pairs(df, key, text, least).select("a", "b").unionByName(copies).distinct()
+    copies = x.join(first, "t").where("k > a").select("a", F.col("k").alias("b"), F.lit(1.0).alias("jaccard"))
+    return jaccard_pairs(df, key, text, least).unionByName(copies)
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
+    """(node, root, least_similarity): every document of a cluster of verified links, the cluster's first document, which is
+    kept, and the least similarity of a link of the cluster. Documents without a link are in no cluster."""
+    links = cut(verified_links(df, key, text, least))
+    roots = cut(connected(links.select("a", "b")))
+    low = links.join(roots, F.col("a") == F.col("node")).groupBy("root").agg(F.min("jaccard").alias("least_similarity"))
+    return roots.join(low, "root").select("node", "root", "least_similarity")
 
 
 _A = np.array([1103515245 + 7919 * k for k in range(PERMUTATIONS)])[:, None]

@@ -18,7 +18,10 @@ def bucket(key: Column, seed: int, of: int = 10_000) -> Column:
 
 
 def largest_remainder(df: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """df with share: ``total`` dealt by weight, whole parts first, then the largest remainders (the least key on a tie)."""
+    """df with share: ``total`` dealt by weight, whole parts first, then the largest remainders (the least key on a tie).
+
+    df has a row for each stratum, not for each record: its rows are ranked together, in one task.
+    """
     whole = Window.partitionBy()
     exact = F.col(weight) * total / F.sum(weight).over(whole)
     x = df.withColumn("_floor", F.floor(exact)).withColumn("_rest", F.round(exact - F.floor(exact), 9))
@@ -33,6 +36,36 @@ def pick(df: DataFrame, by: list[str], key: str, count: Column | int, seed: int)
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order, key))).where(F.col("_n") <= n).drop("_n")
 
 
+def quotas_of(shares: dict[str, float], total: int) -> dict[str, int]:
+    """``total`` places dealt by share: whole parts first, then the largest remainders (the least name on a tie)."""
+    whole = sum(shares.values())
+    exact = {k: total * v / whole for k, v in shares.items()}
+    out = {k: int(v + 1e-9) for k, v in exact.items()}
+    for k in sorted(exact, key=lambda k: (round(out[k] - exact[k], 9), k))[: total - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
+def bucketed_sample(df: DataFrame, bucket: str, key: str, shares: dict[str, float], total: int, seed: int, preference: tuple[str, ...]) -> DataFrame:
+    """(key, bucket, how) of ``total`` rows: of each bucket its quota in the order of a seeded hash, then, for what some bucket
+    lacks, further rows of the others in order of preference (how: quota or redistributed). Fewer rows come out only where df
+    has fewer. Rows of other buckets are left out.
+
+    No more than a quota and ``total`` rows of a bucket can be chosen, so each task passes on that many of its own first ones
+    and a bucket may hold most of all rows. Only the number of rows chosen of each bucket reaches the driver.
+    """
+    quotas = quotas_of(shares, total)
+    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    x = df.where(F.col(bucket).isin(*quotas)).select(key, bucket, order.alias("_o"))
+    x = x.withColumn("_n", F.row_number().over(Window.partitionBy(bucket).orderBy("_o", key))).where(F.col("_n") <= max(quotas.values(), default=0) + total)
+    lookup = lambda values: F.element_at(F.create_map(*[F.lit(v) for kv in values.items() for v in kv]), F.col(bucket))
+    x = x.withColumn("_q", lookup(quotas)).withColumn("_p", lookup({k: preference.index(k) if k in preference else len(preference) for k in quotas}))
+    chosen = x.where("_n <= _q")
+    missing = total - sum(r["count"] for r in chosen.groupBy(bucket).count().collect())
+    more = x.where("_n > _q").orderBy("_p", "_o", key).limit(missing)
+    return chosen.select(key, bucket, F.lit("quota").alias("how")).unionByName(more.select(key, bucket, F.lit("redistributed").alias("how")))
+
+
 def review_state(events: DataFrame, key: str, day: str, performance: str) -> DataFrame:
     """(key, stage, due_day, reviews): each key's reviews folded in order of day. From 0.8 on a stage up, under 0.5 two down.
 

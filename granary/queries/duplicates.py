@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.text import fingerprint
-from granary.operators.dedup import band_keys, band_links, connected, exact_winners, jaccard_pairs, verified_links
+from granary.functions.text import compare_form, fingerprint
+from granary.operators.dedup import band_keys, band_links, exact_winners, jaccard_pairs, near_duplicates
 from granary.queries import query, table
 from granary.queries import sql as S
 
@@ -43,7 +43,7 @@ def exact_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _JACCARD = f"""WITH t AS (SELECT {S.compare_form('text')} AS t, min(doc_id) AS k FROM split_stream WHERE length({S.compare_form('text')}) > 0 GROUP BY 1),
- g AS (SELECT k, {S.shingles('t')} AS g FROM t), u AS (SELECT k, len(g) AS n, unnest(g) AS s FROM g), o AS (SELECT s FROM u GROUP BY s HAVING count(*) BETWEEN 2 AND 100000),
+ g AS (SELECT k, {S.shingles('t')} AS g FROM t), u AS (SELECT k, len(g) AS n, unnest(g) AS s FROM g), o AS (SELECT s FROM u GROUP BY s HAVING count(*) > 1),
  v AS (SELECT u.* FROM u JOIN o USING (s)),
  p AS (SELECT a.k AS a, b.k AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS m FROM v a JOIN v b USING (s) WHERE a.k < b.k GROUP BY 1, 2)
  SELECT a, b, round(m / (na + nb - m)::DOUBLE, 6) AS jaccard FROM p WHERE m / (na + nb - m)::DOUBLE >= 0.8"""
@@ -71,18 +71,45 @@ _CC = """, e AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
  r(node, label) AS (SELECT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node WHERE r.label < e.b), c AS (SELECT node, min(label) AS root FROM r GROUP BY node) """
 
 
-@query(_BANDS.replace("WITH t", "WITH RECURSIVE t", 1) + f", edges AS (SELECT DISTINCT a, b FROM {_LINKS})" + _CC + "SELECT root, count(*) AS members, max(node) AS last_doc FROM c GROUP BY root")
+_CLUSTERS = f"""WITH RECURSIVE d AS (SELECT doc_id, source, {S.compare_form('text')} AS t FROM documents), t AS (SELECT t, min(doc_id) AS k FROM d WHERE length(t) > 0 GROUP BY 1),
+ g AS (SELECT k, {S.shingles('t')} AS g FROM t), u AS (SELECT k, len(g) AS n, unnest(g) AS s FROM g), o AS (SELECT s FROM u GROUP BY s HAVING count(*) > 1), v AS (SELECT u.* FROM u JOIN o USING (s)),
+ p AS (SELECT a.k AS a, b.k AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS m FROM v a JOIN v b USING (s) WHERE a.k < b.k GROUP BY 1, 2),
+ edges AS MATERIALIZED (SELECT a, b, m / (na + nb - m)::DOUBLE AS jaccard FROM p WHERE m / (na + nb - m)::DOUBLE >= 0.8 UNION ALL SELECT t.k, d.doc_id, 1.0 FROM d JOIN t USING (t) WHERE d.doc_id > t.k)""" + _CC.replace("e AS", "e AS MATERIALIZED", 1)
+_LEAST = ", m AS (SELECT root, min(jaccard) AS least FROM edges JOIN c ON c.node = edges.a GROUP BY root) "
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(_CLUSTERS + _LEAST + "SELECT root, count(*) AS members, max(node) AS last_doc, round(any_value(least), 6) AS least_similarity FROM c JOIN m USING (root) GROUP BY root")
 def near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of documents tied by bands, each under its first document."""
-    x = connected(band_links(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return x.groupBy("root").agg(F.count("*").alias("members"), F.max("node").alias("last_doc"))
+    """Clusters of documents tied by verified links, complete without banding, each under its first document."""
+    return _near(spark, sf_dir).groupBy("root").agg(F.count("*").alias("members"), F.max("node").alias("last_doc"), F.round(F.first("least_similarity"), 6).alias("least_similarity"))
+
+
+@query(_CLUSTERS + "SELECT node AS doc_id, root AS kept_doc_id, d.source, k.source AS kept_source, CASE WHEN d.t = k.t THEN 'exact_duplicate' ELSE 'near_duplicate' END AS reason FROM c JOIN d ON d.doc_id = node JOIN d k ON k.doc_id = root WHERE node <> root")
+def near_duplicate_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of documents removed, and in favour of which: the first of their cluster."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(compare_form(F.col("text")), 256).alias("t"))
+    x = _near(spark, sf_dir).where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id")).join(d, "doc_id")
+    x = x.join(d.select(F.col("doc_id").alias("kept_doc_id"), F.col("source").alias("kept_source"), F.col("t").alias("kept_t")), "kept_doc_id")
+    return x.select("doc_id", "kept_doc_id", "source", "kept_source", F.when(F.col("t") == F.col("kept_t"), "exact_duplicate").otherwise("near_duplicate").alias("reason"))
+
+
+@query(_CLUSTERS + _LEAST + "SELECT (SELECT count(*) FROM documents) AS read, (SELECT count(*) FROM documents) - count(*) FILTER (node <> root) AS kept, count(*) FILTER (node <> root) AS removed, count(DISTINCT root) AS clusters, round(min(least), 6) AS least_similarity FROM c JOIN m USING (root)")
+def near_duplicate_removal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read, kept and removed as near duplicates, clusters, and the least similarity of a link."""
+    read = table(spark, sf_dir, "documents").agg(F.count("*").alias("read"))
+    x = _near(spark, sf_dir).agg(F.count_if(F.col("node") != F.col("root")).alias("removed"), F.count_distinct("root").alias("clusters"), F.round(F.min("least_similarity"), 6).alias("least_similarity"))
+    return read.join(x).select("read", (F.col("read") - F.col("removed")).alias("kept"), "removed", "clusters", "least_similarity")
 
 
-@query()
-def verified_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of documents tied by every verified pair, complete without banding, each under its first document."""
-    x = connected(verified_links(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return x.groupBy("root").agg(F.count("*").alias("members"), F.max("node").alias("last_doc"))
+@query(_FP + "SELECT source, kept_source, count(*) AS removed FROM (SELECT w.source, k.source AS kept_source FROM w JOIN documents k ON k.doc_id = winner WHERE fp IS NOT NULL AND winner <> w.doc_id) WHERE source IS DISTINCT FROM kept_source GROUP BY 1, 2")
+def exact_dedup_across_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents removed in favour of one of another source."""
+    x = exact_dedup_removed(spark, sf_dir).where("reason = 'exact_duplicate' AND NOT source <=> kept_source")
+    return x.groupBy("source", "kept_source").agg(F.count("*").alias("removed"))
 
 
 @query(_JACCARD.replace("SELECT a, b, round", "SELECT count(*) AS pairs, round(min(j), 6) AS least, round(max(j), 6) AS most FROM (SELECT a, b, round").replace(">= 0.8", ">= 0.8)").replace("AS jaccard FROM p", "AS j FROM p"))

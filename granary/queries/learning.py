@@ -3,10 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.operators.graphs import ancestors, ladder_gaps, levels
-from granary.operators.learning import answer_form, answer_matches, arithmetic_claims, bucket, forgetting_risk, largest_remainder, pick, review_state
+from granary.operators.graphs import ancestors, children, descendants, graph_issues, ladder_gaps, levels, ready
+from granary.operators.learning import answer_form, answer_matches, bucket, forgetting_risk, largest_remainder, pick, review_state
 from granary.queries import query, table
-from granary.queries import sql as S
 
 _B = "('0x' || substr(sha256('20261005:' || doc_id), 1, 8))::BIGINT % 10000"
 
@@ -64,41 +63,82 @@ def forgetting_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.join(F.broadcast(today)).select("user_id", "last", F.round(forgetting_risk(F.col("today"), F.col("last"), F.lit(7)), 6).alias("risk"))
 
 
-_EDGES = [("fractions", "division"), ("division", "multiplication"), ("multiplication", "addition"), ("algebra", "fractions"), ("algebra", "negatives"), ("negatives", "addition"), ("geometry", "multiplication"), ("loop_a", "loop_b"), ("loop_b", "loop_a"), ("after_loop", "loop_a")]
-_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in _EDGES)
-_E = f"e(node, needs) AS (VALUES {_VALUES})"
+_N = "n AS MATERIALIZED (SELECT node, split_part(node, '.', 1) AS subject, substr(split_part(node, '.', 2), 2)::INT AS grade FROM (SELECT DISTINCT curriculum_node AS node FROM dev_smoke_suite WHERE regexp_matches(curriculum_node, '^[a-z]+[.]g[0-9]+$')))"
+_E = f"""{_N}, e AS MATERIALIZED (SELECT node, lag(node) OVER (PARTITION BY subject ORDER BY grade) AS needs FROM n UNION SELECT a.node, b.node FROM n a JOIN n b ON b.grade = a.grade - 1 AND a.subject = 'reas' AND b.subject = 'math'
+ UNION SELECT a.node, b.node FROM n a JOIN n b ON b.grade = a.grade + 6 AND a.subject = 'hind' AND b.subject = 'lang' UNION SELECT node, 'math.g00' FROM n WHERE grade = 9)"""
+_R = "r(node, ancestor) AS (SELECT node, needs FROM e WHERE needs IS NOT NULL UNION SELECT r.node, e.needs FROM r JOIN e ON e.node = r.ancestor WHERE e.needs IS NOT NULL)"
 
 
-def _edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_EDGES, "node string, needs string")
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the suite's cases: a subject and a grade each."""
+    x = table(spark, sf_dir, "dev_smoke_suite").select(F.col("curriculum_node").alias("node")).where(F.col("node").rlike("^[a-z]+[.]g[0-9]+$")).distinct()
+    return x.select("node", F.split("node", "[.]")[0].alias("subject"), F.substring(F.split("node", "[.]")[1], 2, 9).cast("int").alias("grade"))
 
 
-@query(f"WITH RECURSIVE {_E}, r(node, ancestor) AS (SELECT node, needs FROM e UNION SELECT r.node, e.needs FROM r JOIN e ON e.node = r.ancestor) SELECT node, ancestor FROM r")
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node needs the one before it in its subject; some need nodes of other subjects, of higher grades, or none that is known."""
+    n = _nodes(spark, sf_dir)
+    before = n.select("node", F.lag("node").over(Window.partitionBy("subject").orderBy("grade")).alias("needs"))
+    pair = lambda a, b, by: n.where(F.col("subject") == a).select("node", (F.col("grade") + by).alias("grade")).join(n.where(F.col("subject") == b).select(F.col("node").alias("needs"), "grade"), "grade").select("node", "needs")
+    return before.union(pair("reas", "math", -1)).union(pair("hind", "lang", 6)).union(n.where("grade = 9").select("node", F.lit("math.g00"))).distinct()
+
+
+@query(f"WITH RECURSIVE {_E}, {_R} SELECT node, ancestor FROM r")
 def graph_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that each node depends on, in a graph with a cycle."""
-    return ancestors(_edges(spark))
+    """All that each node depends on."""
+    return ancestors(_edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_E}, {_R} SELECT ancestor AS node, node AS descendant FROM r")
+def graph_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that depends on each node."""
+    return descendants(_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_E}, r(node, ancestor) AS (SELECT node, needs FROM e UNION SELECT r.node, e.needs FROM r JOIN e ON e.node = r.ancestor), bad AS (SELECT DISTINCT node FROM r WHERE node = ancestor UNION SELECT r.node FROM r WHERE ancestor IN (SELECT node FROM r WHERE node = ancestor)), n AS (SELECT node FROM e UNION SELECT needs FROM e), l(node, level) AS (SELECT node, 0 FROM n WHERE node NOT IN (SELECT node FROM e) UNION SELECT e.node, l.level + 1 FROM l JOIN e ON e.needs = l.node WHERE e.node NOT IN (SELECT node FROM bad)) SELECT n.node, max(l.level)::INT AS level FROM n LEFT JOIN l ON l.node = n.node GROUP BY 1")
+@query(f"WITH {_E} SELECT needs AS node, count(*) AS children, min(node) AS first_child FROM e WHERE needs IS NOT NULL GROUP BY 1")
+def graph_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes need a node at once, and the first of them."""
+    return children(_edges(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("children"), F.min("child").alias("first_child"))
+
+
+@query(f"WITH RECURSIVE {_E}, k AS (SELECT e.node, e.needs FROM e JOIN n ON n.node = e.needs), l(node, level) AS (SELECT node, 0 FROM n WHERE node NOT IN (SELECT node FROM k) UNION SELECT k.node, l.level + 1 FROM l JOIN k ON k.needs = l.node) SELECT node, max(level) AS level FROM l GROUP BY 1")
 def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The level of each node; none for nodes on a cycle or above one."""
-    e = _edges(spark)
-    return levels(e.select("node").union(e.select("needs")).distinct(), e)
+    """The level of each node: the longest way from one without needs."""
+    return levels(_nodes(spark, sf_dir), _edges(spark, sf_dir))
 
 
-@query("SELECT * FROM (SELECT subject, grade, lag(grade) OVER (PARTITION BY subject ORDER BY grade) AS before FROM (VALUES ('maths', 1), ('maths', 2), ('maths', 4), ('art', 1), ('art', 2), ('music', 3), ('music', 6)) t(subject, grade)) WHERE before IS NOT NULL AND grade > before + 1")
-def ladder_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades that a ladder leaves out."""
-    return ladder_gaps(spark.createDataFrame([("maths", 1), ("maths", 2), ("maths", 4), ("art", 1), ("art", 2), ("music", 3), ("music", 6)], "subject string, grade int"), "subject", "grade")
+@query(f"""WITH RECURSIVE {_E}, {_R} SELECT DISTINCT e.node, 'unknown_dependency' AS code, needs AS other FROM e WHERE needs IS NOT NULL AND needs NOT IN (SELECT node FROM n)
+ UNION ALL SELECT DISTINCT e.node, 'forward_dependency', needs FROM e JOIN n a ON a.node = e.node JOIN n b ON b.node = e.needs WHERE b.grade > a.grade
+ UNION ALL SELECT node, 'orphan', NULL FROM n WHERE node NOT IN (SELECT node FROM e WHERE needs IS NOT NULL) AND node NOT IN (SELECT needs FROM e WHERE needs IS NOT NULL)
+ UNION ALL SELECT DISTINCT node, 'cycle', NULL FROM r WHERE node = ancestor""")
+def graph_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown needs, needs of a higher grade, nodes by themselves, nodes on a cycle."""
+    return graph_issues(_nodes(spark, sf_dir), _edges(spark, sf_dir), "grade")
 
 
-_CLAIMS = [(1, "2 + 2 = 4 and 3 * 3 = 10, but 10 / 4 = 2.5"), (2, "7 - 9 = -2; 1 / 0 = 0"), (3, "20% of 50 = 10 and 15 % of 20 is 4"), (4, "nothing to check"), (5, "1.5 × 4 = 6 and 9 ÷ 3 = 3")]
+_STARTED = "s AS (SELECT curriculum_node AS node FROM dev_smoke_suite GROUP BY 1 HAVING count(*) > 1)"
 
 
-@query("SELECT * FROM (VALUES (1, '2 + 2 = 4', true), (1, '3 * 3 = 10', false), (1, '10 / 4 = 2.5', true), (2, '7 - 9 = -2', true), (2, '1 / 0 = 0', NULL), (3, '20% of 50 = 10', true), (3, '15 % of 20 is 4', false), (5, '1.5 × 4 = 6', true), (5, '9 ÷ 3 = 3', true)) t(id, claim, holds)")
-def arithmetic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arithmetic claims of a text and whether they hold, exactly."""
-    return arithmetic_claims(spark.createDataFrame(_CLAIMS, "id int, text string"), "id", "text")
+@query(f"WITH {_E}, {_STARTED} SELECT node FROM n WHERE node NOT IN (SELECT node FROM s WHERE node IS NOT NULL) AND node NOT IN (SELECT node FROM e WHERE needs IS NOT NULL AND needs NOT IN (SELECT node FROM s WHERE node IS NOT NULL))")
+def ready_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes not yet started of which all needs are started (more than one case)."""
+    started = table(spark, sf_dir, "dev_smoke_suite").where("curriculum_node IS NOT NULL").groupBy(F.col("curriculum_node").alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("node")
+    return ready(_nodes(spark, sf_dir), _edges(spark, sf_dir), started)
+
+
+@query(f"WITH {_N} SELECT * FROM (SELECT subject, grade, lag(grade) OVER (PARTITION BY subject ORDER BY grade) AS before FROM n) WHERE before IS NOT NULL AND grade > before + 1")
+def ladder_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades that a subject's ladder leaves out."""
+    return ladder_gaps(_nodes(spark, sf_dir).select("subject", "grade"), "subject", "grade")
+
+
+@query(f"WITH {_E}, c AS (SELECT node, subject, lag(node) OVER (PARTITION BY subject ORDER BY grade DESC) AS after FROM n) SELECT c.after AS node, c.node AS before, EXISTS (SELECT 1 FROM e WHERE e.node = c.after AND e.needs = c.node) AS tied FROM c WHERE c.after IS NOT NULL")
+def chain_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each step of a subject's chain needs the step before it."""
+    n = _nodes(spark, sf_dir)
+    steps = n.select("node", F.lag("node").over(Window.partitionBy("subject").orderBy("grade")).alias("before")).where("before IS NOT NULL")
+    tied = _edges(spark, sf_dir).select("node", F.col("needs").alias("before"), F.lit(True).alias("t"))
+    return steps.join(tied, ["node", "before"], "left").select("node", "before", F.coalesce("t", F.lit(False)).alias("tied"))
 
 
 @query("SELECT case_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(expected), '[\\t-\\r \\x{85}\\x{200b}\\p{Z}]+', ' ', 'g'), '^ +| +$', '', 'g'), '[।.,;:!?\"''`]+$', ''), '^ +| +$', '', 'g') AS form, len(accepted) AS accepted FROM dev_smoke_suite WHERE expected IS NOT NULL")
@@ -183,5 +223,3 @@ def suite_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three cases of each axis in the order of a seeded hash."""
     return pick(table(spark, sf_dir, "dev_smoke_suite"), ["axis"], "case_id", 3, 11).select("axis", "subject", "case_id")
 
-
-_ = (S, Window)
