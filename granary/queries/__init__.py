@@ -27,5 +27,5 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
-for _name in ("cleaning", "languages", "duplicates", "splits", "ledgers", "tokens", "learning", "checks", "streams"):
+for _name in ("cleaning", "languages", "duplicates", "splits", "ledgers", "tokens", "learning", "checks", "storage", "streams"):
     importlib.import_module(f"granary.queries.{_name}")

@@ -83,12 +83,48 @@ def slice_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT source, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents WHERE lang IN ('hi', 'en')) SELECT a.n AS place, md5(a.text || chr(10) || b.text) AS digest FROM r a JOIN r b ON a.n = b.n AND a.lang = 'hi' AND b.lang = 'en' WHERE a.text IS NOT NULL AND b.text IS NOT NULL")
 def interleaved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The n-th Hindi document beside the n-th English one."""
-    r = table(spark, sf_dir, "documents").where("lang IN ('hi', 'en')").select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("place"))
-    x = r.where("lang = 'hi'").join(r.where("lang = 'en'").select("place", F.col("text").alias("other")), "place").where("text IS NOT NULL AND other IS NOT NULL")
+    """The n-th Hindi document beside the n-th English one: places are numbered by ids alone, texts joined to them after."""
+    d = table(spark, sf_dir, "documents").where("lang IN ('hi', 'en')").select("doc_id", "lang", "text")
+    r = running_total(d.select("doc_id", "lang", F.lit(1).cast("bigint").alias("one")), "lang", "doc_id", "one", "place")
+    places = r.groupBy("place").agg(F.max(F.when(F.col("lang") == "hi", F.col("doc_id"))).alias("a"), F.max(F.when(F.col("lang") == "en", F.col("doc_id"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    x = places.join(d.select(F.col("doc_id").alias("a"), "text"), "a").join(d.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b").where("text IS NOT NULL AND other IS NOT NULL")
     return x.select("place", F.md5(F.encode(F.concat("text", F.lit("\n"), "other"), "UTF-8")).alias("digest"))
 
 
+@query(f"SELECT source, count(*) FILTER (n + 1 < 65) AS short, count(*) AS documents, coalesce(sum(CASE WHEN n + 1 >= 65 THEN (n + 1 - 65) // 32 + CASE WHEN (n + 1 - 65) % 32 > 0 THEN 1 ELSE 0 END END), 0)::BIGINT AS windows, coalesce(sum(CASE WHEN n + 1 >= 65 THEN (n + 1 - 65) // 32 + CASE WHEN (n + 1 - 65) % 32 > 0 THEN 1 ELSE 0 END END), 0) < 8 AS starved FROM ({_OFF}) GROUP BY source")
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 64 words per source, documents too short for one, and whether a batch of eight can't be filled."""
+    n = _count() + 1
+    w = F.when(n >= 65, F.ceil((n - 65) / 32)).otherwise(0)
+    x = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(n < 65).alias("short"), F.count("*").alias("documents"), F.sum(w).cast("bigint").alias("windows"))
+    return x.withColumn("starved", F.col("windows") < 8)
+
+
+@query("SELECT path, n_tokens, ceil(n_tokens / (seq_len * 8.0))::BIGINT AS steps FROM (SELECT DISTINCT path, n_tokens, seq_len FROM dataset) WHERE n_tokens IS NOT NULL AND seq_len > 0")
+def steps_per_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of eight sequences that each shard's tokens fill."""
+    x = table(spark, sf_dir, "dataset").where("n_tokens IS NOT NULL AND seq_len > 0").select("path", "n_tokens", "seq_len").distinct()
+    return x.select("path", "n_tokens", F.ceil(F.col("n_tokens") / (F.col("seq_len") * 8.0)).alias("steps"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('3:' || doc_id), doc_id) AS place FROM documents")
+def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in a seeded shuffle of all of them: ids are ordered by hash in ranges, not in one task."""
+    x = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.lit("3:"), F.col("doc_id").cast("string"))).alias("h"), F.lit(1).cast("bigint").alias("one"), F.lit("all").alias("all"))
+    return running_total(x.withColumn("o", F.concat_ws(":", "h", F.format_string("%020d", F.col("doc_id")))), "all", "o", "one", "place").select("doc_id", "place")
+
+
+_MARGIN = "SELECT lang, sum(strlen(text))::DOUBLE AS bytes, sum(length(text))::DOUBLE AS chars FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY 1"
+
+
+@query(f"SELECT lang, round(1 - chars / bytes, 6) AS fewer, CASE WHEN 1 - chars / bytes >= CASE WHEN lang = 'hi' THEN 0.15 ELSE 0.10 END THEN 'pass' ELSE 'fail' END AS verdict, rank() OVER (ORDER BY round(1 - chars / bytes, 6) DESC) AS rank FROM ({_MARGIN})")
+def tokenizer_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many fewer tokens one unit of text needs than another (characters and bytes), by label, against a share asked for, ranked."""
+    x = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL").groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), F.sum(F.length("text")).alias("c")).withColumn("f", 1 - F.col("c") / F.col("b"))
+    ok = F.col("f") >= F.when(F.col("lang") == "hi", 0.15).otherwise(0.10)
+    return x.select("lang", F.round("f", 6).alias("fewer"), F.when(ok, "pass").otherwise("fail").alias("verdict")).withColumn("rank", F.rank().over(Window.orderBy(F.col("fewer").desc())))
+
+
 _W = f"string_split({S.collapse('text')}, ' ')"
 
 

@@ -17,6 +17,10 @@ def windowed_counts(stream: DataFrame, time: str, by: list[str], width: str = "1
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over what is there now, into Parquet."""
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there now, into Parquet. In the mode complete each batch's result replaces the one before."""
+    w = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        q = w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+    else:
+        q = w.format("parquet").option("path", out).start()
     q.awaitTermination()
