@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.text import compare_form, tokens
-from granary.operators.checks import DEGENERATE, PLACEHOLDERS, critics, degeneracy, evaluated, glob_pattern, language_by_path, path_matches, violations, worst
+from granary.functions.text import compare_form, let, ngrams, tokens
+from granary.operators.checks import DEGENERATE, PLACEHOLDERS, critics, degeneracy, evaluated, glob_pattern, language_by_path, most_alike, path_matches, violations, worst
 from granary.operators.dedup import jaccard_pairs
 from granary.operators.langid import EXPECTED
 from granary.operators.learning import arithmetic_claims, bucketed_sample
@@ -334,3 +334,125 @@ def corpus_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("passes"), F.struct("ord", "gate")))), lambda x: x["gate"]), ",")
     verdict = F.when(F.max((F.col("ord") <= 2) & ~F.col("passes")), "BLOCKED").when(F.max(~F.col("passes")), "FAIL").otherwise("PASS")
     return g.agg(verdict.alias("verdict"), F.count_if("passes").alias("passed"), failed.alias("failed"))
+
+
+# The kind of mistake that a finding's code stands for.
+CATEGORIES = {
+    "CALCULATION_ERROR": "calculation_error", "ANSWER_MISMATCH": "factual_error", "FACT_FORMAT_ERROR": "factual_error", "LANGUAGE_SCRIPT_MISMATCH": "language_error",
+    "FORMAT_MISMATCH": "misinterpretation", "MISSING_FIELD": "incomplete_reasoning", "TOO_SHORT": "incomplete_reasoning", "DEGENERATE_REPETITION": "incomplete_reasoning",
+    "ANSWER_ECHOES_PROMPT": "misinterpretation", "PLACEHOLDER_TEXT": "hallucination", "MISSING_CITATION": "source_error", "CONTRADICTS_SOURCE": "source_error",
+    "UNSUPPORTED_GENERALISATION": "overgeneralization", "CODE_TEST_FAILURE": "code_error", "MISSING_ASSUMPTION": "bad_assumption", "MISSING_CONTEXT": "missing_context",
+    "LOGICAL_INVALIDITY": "logical_error",
+}
+_CATEGORY = "CASE code " + " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in CATEGORIES.items()) + " END"
+
+
+def categories_of(codes: Column) -> Column:
+    """The kinds of mistake of an array of codes, each once, in order; codes that are no mistakes have none."""
+    kinds = F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv])
+    return F.array_distinct(F.filter(F.transform(codes, lambda c: F.element_at(kinds, c)), lambda c: c.isNotNull()))
+
+
+@query(_DRAFTS + f"SELECT category, count(DISTINCT doc_id) AS drafts FROM (SELECT doc_id, {_CATEGORY} AS category FROM f) WHERE category IS NOT NULL GROUP BY 1")
+def mistake_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts by the kinds of mistake that their findings stand for."""
+    codes = F.transform(_findings(), lambda f: f["code"])
+    return table(spark, sf_dir, "documents").select(F.explode(categories_of(codes)).alias("category")).groupBy("category").agg(F.count("*").alias("drafts"))
+
+
+@query(_DRAFTS + f"""SELECT doc_id || ':' || k.kind AS record_id, k.kind, e.category FROM (SELECT DISTINCT doc_id, {_CATEGORY} AS category FROM f WHERE verdict = 'reject') e
+ CROSS JOIN (VALUES ('error_diagnosis'), ('correction'), ('transfer')) k(kind) WHERE e.category IS NOT NULL""")
+def mistake_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three records of each rejected draft and kind of mistake: what is wrong, how it is put right, where else it matters."""
+    rejected = F.transform(F.filter(_findings(), lambda f: f["verdict"] == "reject"), lambda f: f["code"])
+    x = table(spark, sf_dir, "documents").select("doc_id", F.explode(categories_of(rejected)).alias("category"))
+    x = x.select("doc_id", "category", F.explode(F.array(*map(F.lit, ("error_diagnosis", "correction", "transfer")))).alias("kind"))
+    return x.select(F.concat_ws(":", F.col("doc_id").cast("string"), "kind").alias("record_id"), "kind", "category")
+
+
+_GRADE = f"""WITH t AS (SELECT doc_id, text, {S.tokens('text')} AS w FROM documents WHERE text IS NOT NULL), m AS (SELECT *, {S.ngrams('w', 4)} AS g, regexp_replace(text, '[ \\n]', '', 'g') AS b FROM t)
+ SELECT doc_id, len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')) AS control_chars, round(len(list_distinct(w)) / greatest(1, len(w))::DOUBLE, 4) AS unique_token_ratio,
+ CASE WHEN len(g) > 0 THEN round(len(list_distinct(g)) / len(g)::DOUBLE, 4) END AS distinct_4gram_ratio, round(coalesce({_MOST("regexp_extract_all(b, '(?s).')")}, 0) / greatest(1, length(b))::DOUBLE, 4) AS top_char_share FROM m"""
+
+
+@query(_GRADE)
+def text_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mechanical grades of each text: control characters, distinct tokens and rows of four, share of the most frequent character."""
+    body = F.regexp_replace("text", "[ \n]", "")
+    top = let(body, lambda b: F.when(F.length(b) > 0, most_alike(F.split(b, "")) / F.length(b)).otherwise(0.0))
+    x = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", tokens(F.col("text")).alias("w"))
+    rows = let(ngrams(F.col("w"), 4), lambda g: F.round(F.try_divide(F.size(F.array_distinct(g)), F.size(g)), 4))
+    control = F.regexp_count("text", F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"))
+    return x.select("doc_id", control.alias("control_chars"), F.round(F.size(F.array_distinct("w")) / F.greatest(F.size("w"), F.lit(1)), 4).alias("unique_token_ratio"), rows.alias("distinct_4gram_ratio"), F.round(top, 4).alias("top_char_share"))
+
+
+@query("SELECT event_type, round((max(s) - min(s)) / avg(s), 6) AS spread, max(s) - min(s) <= 0.02 * avg(s) AS reproducible FROM (SELECT event_type, event_id % 4 AS run, avg(value) AS s FROM events WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+def run_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of a score over four runs, in parts of its mean, and whether it stays within two in a hundred."""
+    runs = table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("event_type", (F.col("event_id") % 4).alias("run")).agg(F.avg("value").alias("s"))
+    return runs.groupBy("event_type").agg(F.round((F.max("s") - F.min("s")) / F.avg("s"), 6).alias("spread"), (F.max("s") - F.min("s") <= 0.02 * F.avg("s")).alias("reproducible"))
+
+
+_TRACE = "SELECT event_type, event_id // 400 AS step, avg(value) FILTER (event_id % 2 = 0) AS a, avg(value) FILTER (event_id % 2 = 1) AS b FROM events WHERE value IS NOT NULL GROUP BY 1, 2"
+
+
+@query(f"SELECT event_type, count(*) AS steps, round(max(abs(a - b)), 6) AS max_abs, round(avg(abs(a - b)), 6) AS mean_abs FROM ({_TRACE}) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1")
+def trace_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far two runs' traces lie apart, step by step."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    side = lambda k: F.avg(F.when(F.col("event_id") % 2 == k, F.col("value")))
+    x = e.groupBy("event_type", F.floor(F.col("event_id") / 400).alias("step")).agg(side(0).alias("a"), side(1).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return x.groupBy("event_type").agg(F.count("*").alias("steps"), F.round(F.max(F.abs(F.col("a") - F.col("b"))), 6).alias("max_abs"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("mean_abs"))
+
+
+def content_words(c: Column) -> Column:
+    """Distinct words of three letters or more in small letters, common ones left out."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*COMMON)))
+
+
+COMMON = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "has", "have", "not", "but", "you", "your", "all", "can", "will", "its")
+_CONTENT = f"list_distinct(list_filter(regexp_extract_all(lower(prompt), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(map(S.q, COMMON))})))"
+_IDEAS = f"SELECT axis, row_number() OVER (PARTITION BY axis ORDER BY case_id) AS i, {_CONTENT} AS w FROM dev_smoke_suite WHERE prompt IS NOT NULL"
+_ALIKE = "len(list_intersect(x.w, q.w)) >= 0.6 * len(list_distinct(list_concat(x.w, q.w))) AND len(x.w) > 0 AND len(q.w) > 0"
+
+
+@query(f"""WITH RECURSIVE x AS MATERIALIZED ({_IDEAS}), r(axis, i, kept) AS (SELECT axis, 1, [1] FROM x WHERE i = 1
+ UNION ALL SELECT q.axis, q.i, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.axis = q.axis AND list_contains(r.kept, x.i) AND {_ALIKE}) THEN r.kept ELSE list_append(r.kept, q.i) END FROM r JOIN x q ON q.axis = r.axis AND q.i = r.i + 1)
+ SELECT axis, max(i) AS ideas, max(len(kept)) AS distinct_ideas FROM r GROUP BY axis""")
+def distinct_ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of each axis that are like no earlier one that was kept (three fifths of their content words in common): a fold over the
+    fixed, small suite, in order."""
+    x = table(spark, sf_dir, "dev_smoke_suite").where("prompt IS NOT NULL").select("axis", F.struct("case_id", content_words(F.col("prompt")).alias("w")).alias("c"))
+    each = x.groupBy("axis").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["w"]).alias("ideas"))
+
+    def add(kept: Column, w: Column) -> Column:
+        like = F.exists(kept, lambda k: (F.size(k) > 0) & (F.size(w) > 0) & (F.size(F.array_intersect(k, w)) >= 0.6 * F.size(F.array_union(k, w))))
+        return F.when(like, kept).otherwise(F.concat(kept, F.array(w)))
+
+    kept = F.aggregate("ideas", F.array().cast("array<array<string>>"), add)
+    return each.select("axis", F.size("ideas").alias("ideas"), F.size(kept).alias("distinct_ideas"))
+
+
+@query("SELECT event_type, coalesce(lead(event_type) OVER (ORDER BY n DESC, event_type), '(last)') AS next, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of event in order of their number, each with the one after it."""
+    from pyspark.sql import Window
+
+    x = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return x.select("event_type", F.coalesce(F.lead("event_type").over(Window.orderBy(F.col("n").desc(), "event_type")), F.lit("(last)")).alias("next"), "n")
+
+
+@query("SELECT source, documents FROM (SELECT source, count(*) AS documents FROM documents GROUP BY 1) ORDER BY documents DESC, source NULLS LAST LIMIT 10")
+def largest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten sources of most documents (a top-ten report)."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents")).orderBy(F.col("documents").desc(), F.col("source").asc_nulls_last()).limit(10)
+
+
+@query("SELECT sha256(string_agg(h, chr(10) ORDER BY source)) AS tree, count(*) AS leaves FROM (SELECT coalesce(source, '') AS source, sha256(coalesce(source, '') || ':' || count(*) || ':' || sum(coalesce(length(text), 0)) || ':' || min(doc_id) || ':' || max(doc_id)) AS h FROM documents GROUP BY 1)")
+def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash over a leaf a source (its documents, characters and ids), so that a change shows where it is."""
+    each = table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    leaf = each.select("source", F.sha2(F.concat_ws(":", "source", *[F.col(c).cast("string") for c in ("n", "c", "lo", "hi")]), 256).alias("h"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "h"))), lambda x: x["h"]), "\n")
+    return leaf.agg(F.sha2(joined, 256).alias("tree"), F.count("*").alias("leaves"))

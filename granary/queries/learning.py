@@ -49,7 +49,29 @@ def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.datediff(F.to_date("ts"), F.lit("1970-01-01")).alias("day"), F.pmod(F.col("value"), F.lit(1.0)).alias("p"), "event_id")
 
 
-@query()
+_DAILY = "SELECT user_id, date_diff('day', DATE '1970-01-01', ts::DATE) AS d, avg(value % 1) AS p FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2"
+_UP = "CASE WHEN q.p >= 0.8 THEN least(r.stage + 1, 6) WHEN q.p < 0.5 THEN greatest(r.stage - 2, 0) ELSE r.stage END"
+_FOLD = f"""WITH RECURSIVE q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d) AS i FROM ({_DAILY})),
+ r(user_id, i, stage, due_day) AS (SELECT DISTINCT user_id, 0::BIGINT, 0, NULL::BIGINT FROM q UNION ALL SELECT q.user_id, q.i, {_UP}, q.d + [1, 3, 7, 16, 35, 75, 160][{_UP} + 1] FROM r JOIN q ON q.user_id = r.user_id AND q.i = r.i + 1),
+ s AS (SELECT user_id, arg_max(stage, i) AS stage, arg_max(due_day, i)::INT AS due_day, max(i)::INT AS reviews FROM r GROUP BY 1) """
+
+
+@query(_FOLD + "SELECT user_id, due_day, stage FROM s WHERE due_day <= (SELECT median(due_day) FROM s) ORDER BY due_day, user_id")
+def due_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys due by the median due day, the earliest first."""
+    s = review_state(_reviews(spark, sf_dir), "user_id", "day", "p")
+    today = s.agg(F.median("due_day").alias("today"))
+    return s.join(F.broadcast(today), F.col("due_day") <= F.col("today")).select("user_id", "due_day", "stage").orderBy("due_day", "user_id")
+
+
+@query(_FOLD + "SELECT stage, count(*) AS keys, round(avg(due_day), 4) AS mean_due, sum(reviews)::BIGINT AS reviews FROM s GROUP BY 1")
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys at each stage, when they fall due on average, and their reviews."""
+    s = review_state(_reviews(spark, sf_dir), "user_id", "day", "p")
+    return s.groupBy("stage").agg(F.count("*").alias("keys"), F.round(F.avg("due_day"), 4).alias("mean_due"), F.sum("reviews").alias("reviews"))
+
+
+@query(_FOLD + "SELECT user_id, stage, due_day, reviews FROM s")
 def review_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage and due day of each key after its reviews, folded in order."""
     return review_state(_reviews(spark, sf_dir), "user_id", "day", "p")
@@ -150,19 +172,34 @@ def answer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "dev_smoke_suite")
     mode = F.when(F.col("verification").isin("exact", "numeric", "set"), F.col("verification")).otherwise("exact")
-    answer = F.when(F.pmod(F.crc32("case_id"), F.lit(3)) == 0, F.lit("unknown")).otherwise(F.col("expected"))
+    unknown = F.conv(F.substring(F.md5("case_id"), 1, 4), 16, 10).cast("int") % 3 == 0
+    answer = F.when(unknown, F.lit("unknown")).otherwise(F.col("expected"))
     every = F.coalesce(F.concat(F.array("expected"), F.coalesce("accepted", F.array().cast("array<string>"))), F.array("expected"))
     ok = F.exists(F.filter(every, lambda x: x.isNotNull()), lambda x: F.coalesce(answer_matches(answer, x, mode, F.col("tolerance")), F.lit(False)))
     return c.select("case_id", "axis", "subject", F.when(F.col("expected").isNull(), "unscored").when(ok, "pass").otherwise("fail").alias("status"))
 
 
-@query()
+_SCORED = """SELECT case_id, axis, subject, verification, CASE WHEN expected IS NULL THEN 'unscored' WHEN ('0x' || substr(md5(case_id), 1, 4))::INT % 3 = 0 THEN 'fail'
+ WHEN verification = 'numeric' AND NOT regexp_matches(expected, '[0-9]') THEN 'fail' ELSE 'pass' END AS status FROM dev_smoke_suite"""
+
+
+@query(f"SELECT case_id, axis, subject, status FROM ({_SCORED})")
 def suite_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each case's result for a stand-in that knows two answers in three."""
     return _scored(spark, sf_dir)
 
 
-@query()
+@query(f"SELECT count(*) AS cases, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, bool_and(status = 'unscored' OR verification IN ('exact', 'numeric', 'set')) AS verified_evidence, round(count(*) FILTER (status = 'pass') / count(*) FILTER (status <> 'unscored')::DOUBLE, 4) AS score FROM ({_SCORED})")
+def suite_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases, passes and failures, and whether every scored case was checked by a rule."""
+    v = table(spark, sf_dir, "dev_smoke_suite").select("case_id", "verification")
+    x = _scored(spark, sf_dir).join(v, "case_id")
+    ok = F.bool_and((F.col("status") == "unscored") | F.col("verification").isin("exact", "numeric", "set"))
+    passed, failed = F.count_if(F.col("status") == "pass"), F.count_if(F.col("status") == "fail")
+    return x.agg(F.count("*").alias("cases"), passed.alias("passed"), failed.alias("failed"), ok.alias("verified_evidence"), F.round(F.try_divide(passed, passed + failed), 4).alias("score"))
+
+
+@query(f"SELECT axis, count(*) AS cases, count(*) FILTER (status <> 'unscored') AS scored, count(*) FILTER (status = 'pass') AS passed, CASE WHEN count(*) FILTER (status <> 'unscored') > 0 THEN round(count(*) FILTER (status = 'pass') / count(*) FILTER (status <> 'unscored')::DOUBLE, 4) END AS score FROM ({_SCORED}) GROUP BY 1")
 def suite_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases, passes and score per axis; no score where nothing was scored."""
     x = _scored(spark, sf_dir).groupBy("axis").agg(F.count("*").alias("cases"), F.count_if(F.col("status") != "unscored").alias("scored"), F.count_if(F.col("status") == "pass").alias("passed"))

@@ -99,17 +99,18 @@ def leakage_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("source_id", "split").agg(F.count("*").alias("reports"), F.sum(F.when(F.col("u") >= 0, F.col("u"))).alias("unique_ngrams"), F.count_if((F.col("u") < 0) | F.col("u").isNull()).alias("unmeasured"))
 
 
-@query("SELECT id AS source_id FROM source_manifest WHERE id NOT IN (SELECT DISTINCT split_part(doc_id, ':', 1) FROM split_stream)")
+@query("SELECT m.id AS source_id, s.split FROM source_manifest m CROSS JOIN (VALUES ('train'), ('val'), ('test')) s(split) WHERE NOT EXISTS (SELECT 1 FROM split_stream r WHERE split_part(r.doc_id, ':', 1) = m.id AND r.split = s.split)")
 def unused_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of the manifest that no record has (anti-join)."""
-    used = table(spark, sf_dir, "split_stream").select(F.split("doc_id", ":")[0].alias("source_id")).distinct()
-    return table(spark, sf_dir, "source_manifest").select(F.col("id").alias("source_id")).join(used, "source_id", "left_anti")
+    """Splits in which no record has a source of the manifest (anti-join)."""
+    used = table(spark, sf_dir, "split_stream").select(F.split("doc_id", ":")[0].alias("source_id"), "split").distinct()
+    every = table(spark, sf_dir, "source_manifest").select(F.col("id").alias("source_id"), F.explode(F.array(*map(F.lit, ("train", "val", "test")))).alias("split"))
+    return every.join(used, ["source_id", "split"], "left_anti")
 
 
 @query("SELECT doc_id, array_to_string(list_filter([CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty_text' END, CASE WHEN language IS NULL OR trim(language) = '' THEN 'no_language' END, CASE WHEN source_id IS NULL THEN 'unattributed' END, CASE WHEN license IS NULL THEN 'no_license' END, CASE WHEN provenance.artifact IS NULL THEN 'no_provenance' END], lambda x: x IS NOT NULL), ',') AS issues FROM (SELECT DISTINCT doc_id, text, language, source_id, license, provenance FROM split_stream) WHERE text IS NULL OR trim(text) = '' OR language IS NULL OR trim(language) = '' OR source_id IS NULL OR license IS NULL OR provenance.artifact IS NULL")
 def record_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All issues of each record that has any."""
-    x = table(spark, sf_dir, "split_stream").select("doc_id", "text", "language", "source_id", "license", F.col("provenance.artifact").alias("a")).distinct()
+    x = table(spark, sf_dir, "split_stream").groupBy("doc_id").agg(F.min(F.struct("text", "language", "source_id", "license", F.col("provenance.artifact").alias("a"))).alias("r")).select("doc_id", "r.*")
     blank = lambda c: F.col(c).isNull() | (F.regexp_replace(c, r"[ \x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]", "") == "")
     tests = [(blank("text"), "empty_text"), (blank("language"), "no_language"), (F.col("source_id").isNull(), "unattributed"), (F.col("license").isNull(), "no_license"), (F.col("a").isNull(), "no_provenance")]
     return x.select("doc_id", F.filter(F.array(*[F.when(t, n) for t, n in tests]), lambda i: i.isNotNull()).alias("i")).where(F.size("i") > 0).select("doc_id", F.array_join("i", ",").alias("issues"))

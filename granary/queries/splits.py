@@ -122,17 +122,22 @@ def probe_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(p, "g").groupBy("item").agg(F.count_distinct("doc_id").alias("records"), F.count_distinct("g").alias("ngrams"))
 
 
-@query("SELECT doc_id FROM (SELECT DISTINCT doc_id, split FROM split_stream WHERE split IS NOT NULL) GROUP BY 1 HAVING count(*) > 1")
+_WORK = "split_part(doc_id, ':', 2)"
+
+
+@query(f"SELECT {_WORK} AS work, count(DISTINCT split) AS splits, count(DISTINCT doc_id) AS records FROM split_stream WHERE split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def split_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids that occur in more than one split."""
-    return table(spark, sf_dir, "split_stream").where("split IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("split").alias("n")).where("n > 1").select("doc_id")
+    """Works that lie in more than one split."""
+    x = table(spark, sf_dir, "split_stream").where("split IS NOT NULL").groupBy(F.split("doc_id", ":")[1].alias("work"))
+    return x.agg(F.count_distinct("split").alias("splits"), F.count_distinct("doc_id").alias("records")).where("splits > 1")
 
 
-@query("SELECT component_id, count(DISTINCT doc_id) AS records, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM split_stream WHERE split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@query(_SENT.replace("documents", "(SELECT DISTINCT doc_id, text, language AS lang FROM split_stream WHERE split IS NOT NULL)") + "SELECT component, count(DISTINCT s.doc_id) AS records, string_agg(DISTINCT s.split, ',' ORDER BY s.split) AS splits FROM p JOIN (SELECT DISTINCT doc_id, split FROM split_stream WHERE split IS NOT NULL) s ON s.doc_id = p.doc_id GROUP BY 1 HAVING count(DISTINCT s.split) > 1")
 def straddling_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the older split that lie in more than one split."""
-    x = table(spark, sf_dir, "split_stream").where("split IS NOT NULL").groupBy("component_id").agg(F.count_distinct("doc_id").alias("records"), F.array_sort(F.collect_set("split")).alias("s"))
-    return x.where(F.size("s") > 1).select("component_id", "records", F.array_join("s", ",").alias("splits"))
+    """Components of records that share sentences and that the older split put into more than one split."""
+    s = table(spark, sf_dir, "split_stream").where("split IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("split", "text")).alias("r")).select("doc_id", "r.*")
+    x = content_components(s, "doc_id", "text").join(s.select("doc_id", "split"), "doc_id").groupBy("component").agg(F.count("*").alias("records"), F.array_sort(F.collect_set("split")).alias("s"))
+    return x.where(F.size("s") > 1).select("component", "records", F.array_join("s", ",").alias("splits"))
 
 
 @query("SELECT language FROM (SELECT DISTINCT language FROM split_stream WHERE split = 'train' AND language IS NOT NULL) WHERE language NOT IN (SELECT language FROM split_stream WHERE split = 'val' AND language IS NOT NULL)")
