@@ -193,7 +193,7 @@ def glob_pattern(glob: str) -> str:
 
 
 def path_matches(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
-    """Whether a path is meant: no exclude pattern matches it, and some include pattern does (any path where there is none)."""
+    """Whether a path is meant: no exclude pattern matches it, and some include pattern does (any path where there is none). A null path isn't."""
     some = lambda globs: F.greatest(*[path.rlike(glob_pattern(g)) for g in globs], F.lit(False))
     return (some(include) if include else F.lit(True)) & ~some(exclude)
 
