@@ -71,6 +71,7 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str = PATTERN):
         self.ranks: dict[bytes, int] = {}
+        self.pieces_of: dict[int, bytes] | None = None
         with open(path, "rb") as f:
             for line in f:
                 token, _, rank = line.rpartition(b" ")
@@ -134,6 +135,13 @@ class Encoder:
         return n
 
 
+    def decode(self, ids: list[int] | None) -> str:
+        """The text of ids; bytes that are no UTF-8 (an id alone may be part of a character) become U+FFFD."""
+        if self.pieces_of is None:
+            self.pieces_of = {i: b for b, i in self.ranks.items()}
+        return b"".join(map(self.pieces_of.__getitem__, ids or ())).decode("utf-8", "replace")
+
+
 _KEPT: dict[str, Encoder] = {}
 
 
@@ -165,6 +173,21 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def decode_corpus(df: DataFrame, ids: str = "ids", out: str = "text", tokenizer: str = "byte_bpe_50k") -> DataFrame:
+    """df with ids replaced by their text; null and empty ids give an empty text, an unknown id is an error. A column named like
+    out is replaced."""
+    rest = [c for c in df.columns if c not in (ids, out)]
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.StringType(), False)])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        enc = encoder(tokenizer)
+        for b in batches:
+            texts = pa.array([enc.decode(x) for x in b.column(b.num_columns - 1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], schema.names)
+
+    return df.select(*rest, F.col(ids)).mapInArrow(run, schema)
+
+
 def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", tokenizer: str = "byte_bpe_50k") -> DataFrame:
     """df without text, with the number of tokens of text; null and empty texts have 0. A column named like out is replaced."""
     rest = [c for c in df.columns if c not in (text, out)]

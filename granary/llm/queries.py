@@ -43,6 +43,15 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k")
 
 
+@query
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every document's token ids, as a digest: the same as the document's, but for null, which has none."""
+    from granary.llm.bpe import decode_corpus, encode_corpus
+
+    x = decode_corpus(encode_corpus(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k"), tokenizer="byte_bpe_50k")
+    return x.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 @query
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every record, with its source, language and domain."""

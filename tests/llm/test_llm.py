@@ -527,3 +527,13 @@ def test_shared_rows_of_words(spark):
         if s in ("val", "test") and t:
             want[s, src] |= set(grams(t))
     assert got == {k: (len(v & set(train)), sum(train[g] for g in v if g in train), len(v)) for k, v in want.items() if v}
+
+
+def test_decoding_undoes_encoding(spark):
+    texts = ["", None, "plain words  here", "हिन्दी और English", "<|endoftext|>", "\n\n  x\t", "😀 e\u0301", "a" * 5000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("ids_of", F.lit(1))
+    ids = bpe.encode_corpus(d)
+    got = {r.doc_id: r.text for r in bpe.decode_corpus(ids).collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
+    assert bpe.decode_corpus(ids.limit(0)).count() == 0
+    assert bpe.decode_corpus(spark.createDataFrame([(1, None), (2, [])], "k int, ids array<int>")).select("text").distinct().count() == 1
