@@ -96,13 +96,72 @@ def band_links(df: DataFrame, key: str, text: str) -> DataFrame:
     return k.join(first, "band").where("k > a").select("a", F.col("k").alias("b")).distinct()
 
 
+#: Nodes of a local forest.
+LOCAL = 1_000_000
+
+
+def forest(edges: DataFrame, local: int = LOCAL) -> DataFrame:
+    """Union-find within each partition, as it lies: its edges (a, b) become stars (a: node, b: the least node of its tree).
+
+    A task holds at most ``local`` nodes and one batch more: a full forest is given out and a new one begun, which leaves the
+    components as they are.
+    """
+    kind = edges.schema["a"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        up: dict = {}
+
+        def root(x):  # noqa: ANN001, ANN202
+            while (y := up.get(x, x)) != x:
+                up[x] = y = up.get(y, y)
+                x = y
+            return x
+
+        def stars(t: pa.DataType):  # noqa: ANN202
+            nodes = list(up)
+            for i in range(0, len(nodes), 50_000):
+                part = [(x, r) for x in nodes[i : i + 50_000] if (r := root(x)) != x]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], t), pa.array([r for _, r in part], t)], ["a", "b"])
+            up.clear()
+
+        t = None
+        for batch in batches:
+            t = batch.schema.field(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ra, rb = root(a), root(b)
+                up.setdefault(a, a), up.setdefault(b, b)
+                if ra < rb:
+                    up[rb] = ra
+                elif rb < ra:
+                    up[ra] = rb
+            if len(up) > local:
+                yield from stars(t)
+        if up:
+            yield from stars(t)
+
+    return edges.select("a", "b").mapInArrow(run, schema)
+
+
+def merge_components(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of components known so far (node, root) after further links (a, b) have come: only the ends of the links and
+    the roots are worked on again, other members follow their root."""
+    of = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    at = lambda x, c: x.join(of, x[c] == of["_n"], "left").withColumn(c, F.coalesce("_r", c)).drop("_n", "_r")
+    ends = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    moved = cut(connected(at(at(links.select("a", "b"), "a"), "b")))
+    every = roots.select("node", "root").unionByName(ends.join(roots.select("node"), "node", "left_anti").select("node", F.col("node").alias("root")))
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return every.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+
+
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of each node of edges (a, b), root being the least node: large and small stars in turn.
 
-    Each round passes a node's larger neighbours to its least one, so a hub's work is one aggregation; rounds are cut in the
+    Each task first turns its edges into a local forest, so that short ways are gone before the first shuffle. Each round passes a node's larger neighbours to its least one, so a hub's work is one aggregation; rounds are cut in the
     shared folder. The number of rounds grows with the logarithm of the longest path.
     """
-    x = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    x = cut(forest(edges.select("a", "b").where("a <> b")).distinct())
     last = None
     for _ in range(rounds):
         both = x.unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -3,10 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.text import compare_form, fingerprint
-from granary.operators.dedup import band_keys, band_links, exact_winners, jaccard_pairs, near_duplicates
+from granary.functions.text import compare_form, fingerprint, tokens
+from granary.operators.dedup import band_keys, band_links, connected, exact_winners, jaccard_pairs, merge_components, near_duplicates
+from granary.operators.membership import gram_hashes
 from granary.queries import query, table
 from granary.queries import sql as S
+from granary.session import cut
 
 _FP = f"WITH f AS (SELECT doc_id, source, CASE WHEN length({S.collapse('text')}) > 0 THEN sha256({S.collapse('text')}) END AS fp FROM documents), w AS (SELECT *, min(doc_id) OVER (PARTITION BY fp) AS winner, count(*) OVER (PARTITION BY fp) AS copies FROM f) "
 _LINKS = "(SELECT k.doc_id AS b, f.a FROM k JOIN (SELECT band, min(doc_id) AS a FROM k GROUP BY band) f USING (band) WHERE k.doc_id > f.a)"
@@ -116,3 +118,31 @@ def exact_dedup_across_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified pairs and the range of their similarity."""
     return jaccard_pairs(table(spark, sf_dir, "split_stream"), "doc_id", "text").agg(F.count("*").alias("pairs"), F.round(F.min("jaccard"), 6).alias("least"), F.round(F.max("jaccard"), 6).alias("most"))
+
+
+_B = "CASE WHEN n > 200 THEN 'over_200' WHEN n > 20 THEN 'over_20' WHEN n > 1 THEN 'shared' ELSE 'single' END"
+
+
+@query(_BANDS + f"SELECT size, count(*) AS bands, sum(n)::BIGINT AS documents, max(n) AS largest FROM (SELECT *, {_B} AS size FROM (SELECT band, count(*) AS n FROM k GROUP BY 1)) GROUP BY 1")
+def band_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents share a band: large bands are reported, never cut."""
+    each = band_keys(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("band").agg(F.count("*").alias("n"))
+    return each.groupBy(F.expr(_B).alias("size")).agg(F.count("*").alias("bands"), F.sum("n").alias("documents"), F.max("n").alias("largest"))
+
+
+@query(_BANDS.replace("WITH t", "WITH RECURSIVE t", 1) + f", edges AS (SELECT DISTINCT a, b FROM {_LINKS})" + _CC + "SELECT node, root FROM c")
+def merged_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of band links that come in two deliveries: those of the first, then merged with the links of the second."""
+    links = cut(band_links(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    first = connected(links.where("b % 2 = 0"))
+    return merge_components(first, links.where("b % 2 = 1"))
+
+
+_HASHED = f"WITH d AS (SELECT doc_id, {S.tokens(S.compare_form('text'))} AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, unnest({S.ngrams('w', 5)}) AS g FROM d)"
+
+
+@query(_HASHED + " SELECT doc_id, count(*) AS grams, count(DISTINCT g) AS distinct_grams FROM g GROUP BY 1")
+def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of five words of each document, repeats kept and not, by their hashes."""
+    x = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", gram_hashes(tokens(compare_form(F.col("text"))), 5).alias("g")).where(F.size("g") > 0)
+    return x.select("doc_id", F.size("g").cast("bigint").alias("grams"), F.size(F.array_distinct("g")).cast("bigint").alias("distinct_grams"))

@@ -148,6 +148,24 @@ def ready_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready(_nodes(spark, sf_dir), _edges(spark, sf_dir), started)
 
 
+@query(f"WITH {_E}, {_STARTED} SELECT node, 'started' AS state FROM s WHERE node IN (SELECT node FROM n) UNION ALL SELECT node, 'ready' FROM n WHERE node NOT IN (SELECT node FROM s WHERE node IS NOT NULL) AND node NOT IN (SELECT node FROM e WHERE needs IS NOT NULL AND needs NOT IN (SELECT node FROM s WHERE node IS NOT NULL))")
+def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in play: those started, and those ready."""
+    n = _nodes(spark, sf_dir)
+    started = table(spark, sf_dir, "dev_smoke_suite").where("curriculum_node IS NOT NULL").groupBy(F.col("curriculum_node").alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("node")
+    both = started.join(n.select("node"), "node", "left_semi").select("node", F.lit("started").alias("state"))
+    return both.unionByName(ready(n, _edges(spark, sf_dir), started).select("node", F.lit("ready").alias("state")))
+
+
+@query(f"WITH {_N} SELECT n.subject, count(DISTINCT n.node) AS nodes, min(grade) AS lowest, max(grade) AS highest, array_to_string(list_sort(list_distinct(flatten(list(coalesce(tags, []))))), ',') AS topics FROM n JOIN dev_smoke_suite d ON d.curriculum_node = n.node GROUP BY 1")
+def subject_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, grades and topics (tags of cases) of each subject."""
+    tags = table(spark, sf_dir, "dev_smoke_suite").select(F.col("curriculum_node").alias("node"), "tags")
+    x = _nodes(spark, sf_dir).join(tags, "node").groupBy("subject")
+    topics = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array().cast("array<string>")))))), ",")
+    return x.agg(F.count_distinct("node").alias("nodes"), F.min("grade").alias("lowest"), F.max("grade").alias("highest"), topics.alias("topics"))
+
+
 @query(f"WITH {_N} SELECT * FROM (SELECT subject, grade, lag(grade) OVER (PARTITION BY subject ORDER BY grade) AS before FROM n) WHERE before IS NOT NULL AND grade > before + 1")
 def ladder_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades that a subject's ladder leaves out."""

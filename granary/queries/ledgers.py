@@ -120,3 +120,15 @@ def record_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shard_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per shard and source, from the maps of dataset."""
     return table(spark, sf_dir, "dataset").select("path", F.explode("source_id_counts").alias("source_id", "documents"))
+
+
+_FREE = ("", "unknown", "none", "proprietary")
+_LICENSED = f"coalesce(lower(trim(license)), '') NOT IN ({', '.join(chr(39) + x + chr(39) for x in _FREE)})"
+
+
+@query(f"SELECT id, {_LICENSED} AS license_ok, coalesce({_LICENSED} AND license_verified AND model_training_allowed, false) AS usable, coalesce({_LICENSED} AND redistribution_allowed, false) AS redistributable, coalesce(m.\"natural\" AND NOT synthetic, false) AS is_natural FROM source_manifest m")
+def source_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source may be used for."""
+    ok = ~F.coalesce(F.lower(F.trim("license")), F.lit("")).isin(*_FREE)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return table(spark, sf_dir, "source_manifest").select("id", ok.alias("license_ok"), yes(ok & F.col("license_verified") & F.col("model_training_allowed")).alias("usable"), yes(ok & F.col("redistribution_allowed")).alias("redistributable"), yes(F.col("natural") & ~F.col("synthetic")).alias("is_natural"))
