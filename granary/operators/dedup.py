@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions.text import MERSENNE, PERMUTATIONS, ROWS, collapse, compare_form, fingerprint, hash28, shingles
+from granary.operators.membership import key_filter, may_hold
 from granary.session import cut
 
 
@@ -25,21 +26,72 @@ def exact_winners(df: DataFrame, key: str, text: str) -> DataFrame:
     return x.join(won, "fp", "left")
 
 
+def first_copies(df: DataFrame, key: str, content: str) -> DataFrame:
+    """The rows of df that are the first, by key, of those with their content (a hash); one row where that key is there again.
+
+    Only hashes are shuffled to be counted. A filter of those that occur again, of bounded size, parts the rows: what it does
+    not hold is single and stays where it is; the few others are joined to the first of their content.
+    """
+    twice = cut(df.groupBy(content).agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col(content).alias("_c"), "_first"))
+    x = df.withColumn("_h", F.xxhash64(content))
+    again = may_hold(x, "_h", key_filter(twice.select(F.xxhash64("_c").alias("g"))))
+    single = again.where("NOT _held").select(*df.columns)
+    copies = again.where("_held").join(twice, F.col(content) == F.col("_c"), "left").where(F.col("_first").isNull() | (F.col("_first") == F.col(key))).select(*df.columns).dropDuplicates([key, content])
+    return single.unionByName(copies)
+
+
+#: Counters of the sketch by which shingles are ordered: 2 MB, whatever the corpus.
+COUNTERS = 1 << 20
+
+
+def frequency_sketch(arrays: DataFrame) -> np.ndarray:
+    """How often the elements of the only column, arrays of longs, occur, each counter standing for all that fall on it; counts
+    stop at 65,535. Every task counts its own rows; what is brought together is a counter for each bucket."""
+
+    def count(batches):  # noqa: ANN001, ANN202
+        n = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False) & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(n[at[i : i + 100_000]])], ["bucket", "n"])
+
+    counts = arrays.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(65_535)).alias("n"))
+    out = np.zeros(COUNTERS, np.uint16)
+    for r in counts.groupBy(F.floor(F.col("bucket") / 65_536).alias("part")).agg(F.collect_list(F.struct("bucket", "n")).alias("c")).toLocalIterator():
+        out[[c.bucket for c in r.c]] = [c.n for c in r.c]
+    return out
+
+
 def jaccard_pairs(df: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
     """(a, b, jaccard) of distinct texts, a < b, whose character shingles agree in ``least``: complete, without banding.
 
-    Shingles are ordered by how many texts hold them, and each text offers only as many of its rarest as it must for a
-    pair of this similarity to meet (prefix filter); sizes must fit too. Copies of a text share one row beforehand.
+    Shingles are ordered by how often they occur, as a sketch of bounded size tells it, then by hash: any one order will do.
+    Each text offers only as many of its first ones as it must for a pair of this similarity to meet (prefix filter), and sizes
+    must fit too. Only offers are shuffled, and the shingles of texts that meet. Of the copies of a text the first takes part.
     """
-    x = df.select(F.col(key).alias("k"), compare_form(F.col(text)).alias("t")).where("length(t) > 0").groupBy("t").agg(F.min("k").alias("k"))
-    x = cut(x.select("k", shingles(F.col("t")).alias("g")).select("k", F.transform("g", lambda g: F.xxhash64(g)).alias("g")))
-    one = x.select("k", F.size("g").alias("n"), F.explode("g").alias("g"))
-    often = one.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = one.join(often, "g").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"))
-    offer = ranked.select("k", "n", F.explode(F.slice("r", F.lit(1), F.greatest(F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1, F.lit(1)))).alias("s")).select("k", "n", "s.g", "s.df").where("df > 1")
+    x = df.select(F.col(key).alias("k"), compare_form(F.col(text)).alias("t")).where("length(t) > 0 AND k IS NOT NULL")
+    x = first_copies(x.select("k", F.md5(F.encode("t", "UTF-8")).alias("h"), "t"), "k", "h")
+    x = cut(x.select("k", F.transform(shingles(F.col("t")), lambda g: F.xxhash64(g)).alias("g")))
+    shared = df.sparkSession.sparkContext.broadcast(frequency_sketch(x.select("g")))
+    kind = x.schema["k"].dataType
+
+    def offered(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            arrays = b.column(1)
+            g = arrays.flatten().to_numpy(zero_copy_only=False)
+            size = arrays.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((g, shared.value[g & (COUNTERS - 1)], of))
+            place = np.arange(len(of)) - (np.cumsum(size) - size)[of]
+            first = place < (size - np.ceil(size * least - 1e-9).astype(np.int64) + 1)[of]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[first])), pa.array(size[of[first]]), pa.array(g[order][first])], ["k", "n", "g"])
+
+    offer = x.mapInArrow(offered, T.StructType([T.StructField("k", kind), T.StructField("n", T.LongType()), T.StructField("g", T.LongType())]))
     a, b = (offer.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), "g") for c in "ab")
-    pairs = a.join(b, "g").where(f"a < b AND least(na, nb) >= {least} * greatest(na, nb)").select("a", "b").distinct()
-    ga, gb = (x.select(F.col("k").alias(c), F.col("g").alias(f"g{c}")) for c in "ab")
+    pairs = cut(a.join(b, "g").where(f"a < b AND least(na, nb) >= {least} * greatest(na, nb)").select("a", "b").distinct())
+    met = may_hold(x.withColumn("_h", F.xxhash64("k")), "_h", key_filter(pairs.select(F.explode(F.array("a", "b")).alias("g")).select(F.xxhash64("g").alias("g")))).where("_held")
+    ga, gb = (met.select(F.col("k").alias(c), F.col("g").alias(f"g{c}")) for c in "ab")
     both = F.size(F.array_intersect("ga", "gb"))
     out = pairs.join(ga, "a").join(gb, "b").select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("jaccard"))
     return out.where(F.col("jaccard") >= least)

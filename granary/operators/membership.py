@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,17 @@ def held_by(held: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return (whole[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def may_hold(df: DataFrame, key: str, held: tuple[int, np.ndarray]) -> DataFrame:
+    """df with _held: whether a filter may hold the long in its column key (false for null), in place of that column."""
+    shared = df.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def test(s: pd.Series) -> pd.Series:
+        return pd.Series(held_by(shared.value, s.fillna(0).to_numpy(np.int64))) & s.notna()
+
+    return df.withColumn("_held", test(F.col(key))).drop(key)
+
+
 def exploded(df: DataFrame, column: str, only: tuple[int, np.ndarray] | None = None) -> DataFrame:
     """df with a row for each element of its column of arrays of longs; those that the filter ``only`` cannot hold left out.
 
