@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import gcd
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,10 +52,14 @@ def ngrams(words: Column, n: int) -> Column:
 def shingles(text: Column, size: int = 24, step: int = 8) -> Column:
     """Distinct rows of ``size`` characters at every ``step``; a text not longer than that is one, an empty one has none."""
 
+    part = gcd(size, step)  # the text is cut into parts once: a substring would be looked for from its beginning each time
+
     def cuts(t: Column) -> Column:
         n = F.length(t)
-        many = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(step)), lambda i: F.substring(t, i + 1, F.lit(size)))
-        return F.when(n.isNull() | (n == 0), F.array().cast("array<string>")).when(n <= size, F.array(t)).otherwise(F.array_distinct(many))
+        starts = F.sequence(F.lit(0), F.greatest(F.floor((n - size) / step).cast("int"), F.lit(0)))
+        many = lambda p: F.transform(starts, lambda i: F.array_join(F.slice(p, i * (step // part) + 1, size // part), ""))
+        rows = let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{part}}}"), F.lit(0)), many)
+        return F.when(n.isNull() | (n == 0), F.array().cast("array<string>")).when(n <= size, F.array(t)).otherwise(F.array_distinct(rows))
 
     return let(text, cuts)
 
