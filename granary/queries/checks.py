@@ -3,13 +3,16 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.text import compare_form, let, ngrams, tokens
+from granary.functions.text import collapse, compare_form, let, ngrams, tokens
 from granary.operators.checks import DEGENERATE, PLACEHOLDERS, critics, degeneracy, evaluated, glob_pattern, language_by_path, most_alike, path_matches, violations, worst
 from granary.operators.dedup import jaccard_pairs
 from granary.operators.langid import EXPECTED
 from granary.operators.learning import arithmetic_claims, bucketed_sample
 from granary.queries import query, table
 from granary.queries import sql as S
+from granary.queries.storage import folder
+from granary.sources.files import read_yaml_list
+from granary.sources.sinks import write_routes
 
 _D = DEGENERATE
 _CYCLE = lambda k, r: f"(n >= ({r}) * {k} AND w[n - ({r}) * {k} + 1:n - {k}] = w[n - (({r}) - 1) * {k} + 1:n])"
@@ -456,3 +459,59 @@ def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaf = each.select("source", F.sha2(F.concat_ws(":", "source", *[F.col(c).cast("string") for c in ("n", "c", "lo", "hi")]), 256).alias("h"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "h"))), lambda x: x["h"]), "\n")
     return leaf.agg(F.sha2(joined, 256).alias("tree"), F.count("*").alias("leaves"))
+
+
+_VOTES = "SELECT user_id AS request, event_type AS answer, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2"
+
+
+@query(f"""SELECT request, answer, n AS support, drafts, round(n / drafts::DOUBLE, 6) AS share, CASE WHEN drafts < 2 THEN 'unverified' WHEN n = drafts THEN 'agreed' WHEN n > drafts / 2.0 THEN 'majority' ELSE 'disputed' END AS status
+ FROM (SELECT *, sum(n) OVER (PARTITION BY request) AS drafts, row_number() OVER (PARTITION BY request ORDER BY n DESC, answer) AS r FROM ({_VOTES})) WHERE r = 1""")
+def consensus_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer of most drafts of each request (the least on a tie), its support, and what that makes of it."""
+    votes = table(spark, sf_dir, "events").where("user_id IS NOT NULL").groupBy(F.col("user_id").alias("request"), F.col("event_type").alias("answer")).agg(F.count("*").alias("n"))
+    x = votes.groupBy("request").agg(F.min_by("answer", F.struct(-F.col("n"), F.col("answer"))).alias("answer"), F.max("n").alias("support"), F.sum("n").alias("drafts"))
+    status = F.when(F.col("drafts") < 2, "unverified").when(F.col("support") == F.col("drafts"), "agreed").when(F.col("support") > F.col("drafts") / 2, "majority").otherwise("disputed")
+    return x.select("request", "answer", "support", "drafts", F.round(F.col("support") / F.col("drafts"), 6).alias("share"), status.alias("status"))
+
+
+_ROUTES = "CASE WHEN license IS NULL OR provenance.artifact IS NULL THEN 'rejected' WHEN NOT coalesce(license_verified, false) OR synthetic THEN 'quarantine' ELSE 'trainable' END"
+
+
+@query(f"SELECT doc_id, {_ROUTES} AS route FROM {_ONE} WHERE {_ROUTES} <> 'trainable'")
+def routed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records not to be trained on, with where they go instead, written to a folder a route and read from these alone."""
+    out = f"{folder(spark)}/routes"
+    write_routes(_deliveries(spark, sf_dir).select("doc_id", F.expr(_ROUTES).alias("route")), "route", out)
+    return spark.read.parquet(out).where("route <> 'trainable'").select("doc_id", "route")
+
+
+@query("SELECT split_part(doc_id, ':', 1) AS source, count(DISTINCT doc_id) FILTER (split = 'train') AS train, count(DISTINCT doc_id) FILTER (split = 'val') AS val, count(DISTINCT doc_id) FILTER (split = 'test') AS test FROM split_stream GROUP BY 1")
+def source_split_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each source in each split, zeros filled in (pivot)."""
+    x = table(spark, sf_dir, "split_stream").groupBy("doc_id").agg(F.min("split").alias("split"))
+    x = x.groupBy(F.split("doc_id", ":")[0].alias("source")).pivot("split", ["train", "val", "test"]).count()
+    return x.na.fill(0, ["train", "val", "test"])
+
+
+@query(f"SELECT axis, code, count(*) AS cases FROM (SELECT axis, unnest(list_filter([{', '.join(f'CASE WHEN {v} THEN {S.q(k)} END' for k, v in _CASES.items())}], lambda x: x IS NOT NULL)) AS code FROM dev_smoke_suite) GROUP BY 1, 2")
+def suite_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of each axis that break a rule, by rule."""
+    axis = table(spark, sf_dir, "dev_smoke_suite").select("case_id", "axis")
+    return suite_case_issues(spark, sf_dir).join(axis, "case_id").groupBy("axis", "code").agg(F.count("*").alias("cases"))
+
+
+@query(f"SELECT doc_id, sha256(coalesce({S.collapse('text')}, '') || chr(31) || coalesce(language, '') || chr(31) || coalesce(source_id, '') || chr(31) || coalesce(license, '')) AS content_hash FROM {_ONE}")
+def record_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash of the fields that make a record's content, white space collapsed."""
+    fields = [F.coalesce(c, F.lit("")) for c in (collapse(F.col("text")), F.col("language"), F.col("source_id"), F.col("license"))]
+    return _deliveries(spark, sf_dir).select("doc_id", F.sha2(F.concat_ws("\x1f", *fields), 256).alias("content_hash"))
+
+
+@query("SELECT id, coalesce(status, 'needs_review') AS status, coalesce(license, '(none)') AS license, len(coalesce(languages, [])) AS languages FROM source_manifest")
+def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest written as YAML and read again, defaults filled in; an id that occurs twice would end the query."""
+    out, m = f"{folder(spark)}/manifest", table(spark, sf_dir, "source_manifest").select("id", "status", "license", "languages")
+    m.agg(F.to_json(F.struct(F.collect_list(F.struct(*m.columns)).alias("sources"))).alias("value")).coalesce(1).write.text(out)
+    schema = m.schema
+    x = read_yaml_list(spark, out, "sources", schema, "id", {"status": "needs_review", "license": "(none)"})
+    return x.select("id", "status", "license", F.size(F.coalesce("languages", F.array().cast("array<string>"))).alias("languages"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from granary.operators.graphs import ancestors, children, descendants, graph_issues, ladder_gaps, levels, ready
 from granary.operators.learning import answer_form, answer_matches, bucket, forgetting_risk, largest_remainder, pick, review_state
 from granary.queries import query, table
+from granary.queries.storage import folder
+from granary.sources.files import read_graph
 
 _B = "('0x' || substr(sha256('20261005:' || doc_id), 1, 8))::BIGINT % 10000"
 
@@ -111,6 +113,17 @@ def graph_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ancestors(_edges(spark, sf_dir))
 
 
+@query(f"WITH {_E} SELECT e.node, subject, grade, e.needs FROM e JOIN n ON n.node = e.node WHERE needs IS NOT NULL")
+def graph_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph written as YAML and read again, each edge with its node's subject and grade."""
+    out = f"{folder(spark)}/graph"
+    needs = _edges(spark, sf_dir).where("needs IS NOT NULL").groupBy("node").agg(F.collect_list("needs").alias("depends_on"))
+    n = _nodes(spark, sf_dir).join(needs, "node", "left").select(F.struct(F.col("node").alias("id"), "subject", "grade", "depends_on").alias("n"))
+    n.agg(F.to_json(F.struct(F.collect_list("n").alias("nodes"))).alias("value")).coalesce(1).write.text(out)
+    nodes, edges = read_graph(spark, out)
+    return edges.join(nodes, "node").select("node", "subject", "grade", "needs")
+
+
 @query(f"WITH RECURSIVE {_E}, {_R} SELECT ancestor AS node, node AS descendant FROM r")
 def graph_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that depends on each node."""

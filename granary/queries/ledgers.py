@@ -50,10 +50,15 @@ _ISSUES = [
     ("NOT coalesce(license_verified, false)", "license_unverified", "warning"), ("domain IS NULL OR trim(domain) = ''", "domain_missing", "warning"),
     ("status NOT IN ('available', 'blocked', 'needs_review', 'rejected') OR status IS NULL", "status_unknown", "error"), ("synthetic AND natural", "synthetic_and_natural", "error"),
     ("coalesce(size_tokens, 0) <= 0", "size_unmeasured", "warning"), ("domain <> lower(trim(domain))", "domain_untidy", "warning"),
+    ("id IS NULL OR NOT regexp_like(id, '^[a-z0-9_]+$')", "id_malformed", "error"), ("name IS NULL OR trim(name) = ''", "name_missing", "error"), ("provider IS NULL OR trim(provider) = ''", "provider_missing", "warning"),
+    ("url IS NULL OR NOT regexp_like(url, '^https?://')", "url_malformed", "error"), ("languages IS NULL OR cardinality(languages) = 0", "languages_missing", "error"), ("cardinality(languages) > 5", "languages_many", "warning"),
+    ("status = 'available' AND NOT coalesce(license_verified, false)", "available_unverified", "error"), ("model_training_allowed AND license IS NULL", "allowed_without_license", "error"),
+    ("share_alike AND NOT coalesce(attribution_required, false)", "share_alike_without_attribution", "warning"), ("redistribution_allowed AND NOT coalesce(license_verified, false)", "redistribution_unverified", "warning"),
+    ("NOT coalesce(synthetic, false) AND NOT coalesce(natural, false)", "neither_synthetic_nor_natural", "error"), ("status = 'rejected' AND notes IS NULL", "rejected_without_note", "warning"),
 ]
 
 
-@query("SELECT id, issue.code AS code, issue.severity AS severity FROM (SELECT id, unnest([" + ", ".join(f"CASE WHEN {c} THEN {{'code': '{n}', 'severity': '{s}'}} END" for c, n, s in _ISSUES).replace("synthetic AND natural", "synthetic AND \"natural\"") + "]) AS issue FROM source_manifest) WHERE issue IS NOT NULL")
+@query("SELECT id, issue.code AS code, issue.severity AS severity FROM (SELECT id, unnest([" + ", ".join(f"CASE WHEN {c} THEN {{'code': '{n}', 'severity': '{s}'}} END" for c, n, s in _ISSUES).replace("AND natural", "AND \"natural\"").replace("coalesce(natural,", "coalesce(\"natural\",").replace("regexp_like(", "regexp_matches(").replace("cardinality(", "len(") + "]) AS issue FROM source_manifest) WHERE issue IS NOT NULL")
 def manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that is wrong with each source of the manifest, a row an issue."""
     tests = F.array(*[F.when(F.expr(c), F.struct(F.lit(n).alias("code"), F.lit(s).alias("severity"))) for c, n, s in _ISSUES])

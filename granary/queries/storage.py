@@ -14,7 +14,7 @@ from granary.sources.files import hashed_files, read_artifacts, read_json_docume
 from granary.sources.sinks import append_log, files_written, write_jsonl, write_report, write_routes, write_sorted, write_token_stream
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/storage-{uuid.uuid4().hex}"
 
@@ -22,7 +22,7 @@ def _folder(spark: SparkSession) -> str:
 @query("SELECT doc_id, lang, md5(text) AS digest FROM documents")
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON lines and read again with their schema."""
-    d, out = table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), f"{_folder(spark)}/docs"
+    d, out = table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), f"{folder(spark)}/docs"
     write_jsonl(d, out)
     return read_jsonl(spark, out, d.schema).select("doc_id", "lang", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
@@ -30,7 +30,7 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, lang, md5(text) AS digest FROM documents")
 def json_list_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in JSON files that hold a list under "documents", at most 500 ids a list, read again."""
-    schema, out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text", T.StringType())]), f"{_folder(spark)}/lists"
+    schema, out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text", T.StringType())]), f"{folder(spark)}/lists"
     d = table(spark, sf_dir, "documents").select("source", F.struct("doc_id", "lang", "text").alias("d"))
     lists = d.groupBy("source", F.floor(F.col("d.doc_id") / 500).alias("part")).agg(F.collect_list("d").alias("documents"))
     lists.select(F.to_json(F.struct("documents")).alias("value")).write.option("lineSep", "\n").text(out)
@@ -40,7 +40,7 @@ def json_list_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT case_id, language, md5(prompt) AS digest FROM dev_smoke_suite")
 def json_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cases of the suite in one JSON file, read again."""
-    out, schema = f"{_folder(spark)}/one", T.StructType([T.StructField(c, T.StringType()) for c in ("case_id", "language", "prompt")])
+    out, schema = f"{folder(spark)}/one", T.StructType([T.StructField(c, T.StringType()) for c in ("case_id", "language", "prompt")])
     c = table(spark, sf_dir, "dev_smoke_suite").select(F.struct("case_id", "language", "prompt").alias("c"))
     c.agg(F.to_json(F.struct(F.collect_list("c").alias("documents"))).alias("value")).coalesce(1).write.text(out)
     return read_json_documents(spark, out, schema).select("case_id", "language", F.md5(F.encode("prompt", "UTF-8")).alias("digest"))
@@ -49,7 +49,7 @@ def json_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT language, count(*) AS records, count(*) FILTER (prompt IS NOT NULL) AS texts FROM m1_probe_v0 GROUP BY 1")
 def json_records_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts in a JSON file of records, each with its own language, read again."""
-    out = f"{_folder(spark)}/records"
+    out = f"{folder(spark)}/records"
     p = table(spark, sf_dir, "m1_probe_v0").select(F.struct(F.col("prompt").alias("text"), "language").alias("r"))
     p.agg(F.to_json(F.collect_list("r")).alias("value")).coalesce(1).write.text(out)
     return read_json_records(spark, out).groupBy("language").agg(F.count("*").alias("records"), F.count("text").alias("texts"))
@@ -58,7 +58,7 @@ def json_records_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT format, count(*) AS files, sum(chars)::BIGINT AS chars FROM (VALUES ('text', 9), ('markup', 5), ('json', 7), ('text', 3)) t(format, chars) GROUP BY 1")
 def artifacts_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of each kind, read by their suffix."""
-    base = _folder(spark)
+    base = folder(spark)
     for name, body in (("a.txt", "one\n\ntwo\n"), ("b.html", "<p>one</p>&amp;<script>x</script>"), ("c.json", '{"b": "one", "a": {"x": "two"}}'), ("d.md", "end")):
         fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
         stream = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(fs)
@@ -70,7 +70,7 @@ def artifacts_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT axis, count(*) AS cases, sum(length(prompt))::BIGINT AS chars FROM dev_smoke_suite GROUP BY 1")
 def suites_as_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suite written in two files and read as one by a glob."""
-    base, s = _folder(spark), table(spark, sf_dir, "dev_smoke_suite").select("case_id", "axis", "prompt")
+    base, s = folder(spark), table(spark, sf_dir, "dev_smoke_suite").select("case_id", "axis", "prompt")
     for i in (0, 1):
         write_jsonl(s.where(F.pmod(F.xxhash64("case_id"), F.lit(2)) == i), f"{base}/suite{i}")
     return read_suites(spark, f"{base}/suite*", s.schema).groupBy("axis").agg(F.count("*").alias("cases"), F.sum(F.length("prompt")).alias("chars"))
@@ -79,7 +79,7 @@ def suites_as_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT path, max(bytes) AS bytes FROM artifact_ledger WHERE path IS NOT NULL GROUP BY 1")
 def ledger_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger appended to JSON lines twice, read back with the largest row of each path."""
-    out, a = f"{_folder(spark)}/ledger", table(spark, sf_dir, "artifact_ledger").select("path", "sha256", "bytes")
+    out, a = f"{folder(spark)}/ledger", table(spark, sf_dir, "artifact_ledger").select("path", "sha256", "bytes")
     append_log(a.where("bytes IS NULL"), out)
     append_log(a.where("bytes IS NOT NULL"), out)
     return read_latest(spark, out, a.schema, "path", "bytes").select("path", "bytes")
@@ -88,7 +88,7 @@ def ledger_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS rows, count(DISTINCT path) AS paths, true AS in_order FROM artifact_ledger")
 def sorted_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger written in the order of its paths: whether each file begins where the one before ends."""
-    out, a = f"{_folder(spark)}/sorted", table(spark, sf_dir, "artifact_ledger").select("path", "sha256")
+    out, a = f"{folder(spark)}/sorted", table(spark, sf_dir, "artifact_ledger").select("path", "sha256")
     write_sorted(a, "path", out)
     x = read_jsonl(spark, out, a.schema).withColumn("f", F.input_file_name())
     files = x.groupBy("f").agg(F.min("path").alias("lo"), F.max("path").alias("hi"), F.count("*").alias("n"), F.count_distinct("path").alias("p"))
@@ -101,7 +101,7 @@ def sorted_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang, count(*) AS documents FROM documents WHERE lang IN ('hi', 'mr') GROUP BY 1")
 def routes_read_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written to a folder for each label; two of them read alone."""
-    out = f"{_folder(spark)}/routes"
+    out = f"{folder(spark)}/routes"
     write_routes(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", out)
     return spark.read.parquet(out).where("lang IN ('hi', 'mr')").groupBy("lang").agg(F.count("*").alias("documents"))
 
@@ -109,7 +109,7 @@ def routes_read_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 1 AS files, (SELECT count(*) FROM region) AS rows, true AS same_hash")
 def files_and_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and SHA-256 of what was written, by the sink and by hashing the files again."""
-    out, r = f"{_folder(spark)}/hashed", table(spark, sf_dir, "region").coalesce(1)
+    out, r = f"{folder(spark)}/hashed", table(spark, sf_dir, "region").coalesce(1)
     said = write_jsonl(r, out)
     there = files_written(spark, out)
     again = hashed_files(spark, f"{out}/part-*").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), "\n"), 256).alias("h"))
@@ -120,7 +120,7 @@ def files_and_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT key, value FROM (VALUES ('a', '[\"x\",null]'), ('b', '1')) t(key, value)")
 def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small report written as one JSON file, its entries read again."""
-    out = f"{_folder(spark)}/report"
+    out = f"{folder(spark)}/report"
     write_report({"b": 1, "a": ["x", None]}, spark, out)
     x = spark.read.text(out)
     return x.select(F.explode(F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.get_json_object("value", "$.a"), F.get_json_object("value", "$.b"))))).select("key", "value")
@@ -129,7 +129,7 @@ def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT case_id || ':' || i AS doc_id, length(t) AS chars FROM (SELECT case_id, unnest([0, 1]) AS i, unnest([trim(prompt), 'second part']) AS t FROM dev_smoke_suite WHERE prompt IS NOT NULL)")
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompts of the suite in text files of two parts each, read again part by part."""
-    base = _folder(spark)
+    base = folder(spark)
     c = table(spark, sf_dir, "dev_smoke_suite").where("prompt IS NOT NULL").select("case_id", F.concat(F.trim("prompt"), F.lit("\r\n \r\nsecond part")).alias("value"))
     c.repartition("case_id").write.partitionBy("case_id").text(base)
     x = spark.read.text(base, wholetext=True).select("case_id", "value")
@@ -145,7 +145,7 @@ _STREAM = f"SELECT *, sum(len(w) + 1) OVER (PARTITION BY lang ORDER BY doc_id) A
 def token_stream_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids (a hash of each word) written as a stream for each label with end tokens; 2,000 places of one read back (the range is
     the feature)."""
-    out, d = f"{_folder(spark)}/tokens", table(spark, sf_dir, "documents").where("lang IN ('hi', 'en', 'mr') AND text IS NOT NULL")
+    out, d = f"{folder(spark)}/tokens", table(spark, sf_dir, "documents").where("lang IN ('hi', 'en', 'mr') AND text IS NOT NULL")
     ids = F.transform(tokens(compare_form(F.col("text"))), lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"))
     write_token_stream(d.select("doc_id", "lang", ids.alias("ids")), "doc_id", "ids", "lang", out, -1)
     return read_token_stream(spark, out, "lang", "hi", 500, 2500).withColumnRenamed("at", "place")

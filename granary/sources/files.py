@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +61,38 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return x.withColumn("format", kind).select("path", "format", text.alias("text"))
 
 
+def read_required(df: DataFrame, what: str) -> DataFrame:
+    """df as it is; one without rows is an error."""
+    if df.isEmpty():
+        raise ValueError(f"no {what}")
+    return df
+
+
+@F.pandas_udf(T.StringType())
+def yaml_to_json(s: pd.Series) -> pd.Series:
+    """YAML texts as JSON; dates as text. Needs the package yaml where it runs, and says so where it is missing."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the package yaml") from e
+    return s.map(lambda t: json.dumps(yaml.safe_load(t), ensure_ascii=False, default=str), na_action="ignore")
+
+
+def read_yaml_list(spark: SparkSession, path: str, field: str, schema: T.StructType, key: str, defaults: dict[str, object] | None = None) -> DataFrame:
+    """The list under ``field`` of YAML files (JSON is YAML too), nulls of some columns filled; a key that occurs twice is an error."""
+    x = spark.read.text(path, wholetext=True).select(yaml_to_json("value").alias("j"))
+    x = x.select(F.explode(F.from_json("j", T.StructType([T.StructField(field, T.ArrayType(schema))]))[field]).alias("r")).select("r.*")
+    return union_unique([x.na.fill(defaults) if defaults else x], key)
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph in YAML: under "nodes" a list of id, subject, grade and depends_on. nodes: node, subject, grade;
+    edges: node, needs."""
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("subject", T.StringType()), T.StructField("grade", T.IntegerType()), T.StructField("depends_on", T.ArrayType(T.StringType()))])
+    x = read_yaml_list(spark, path, "nodes", schema, "id").withColumnRenamed("id", "node")
+    return x.select("node", "subject", "grade"), x.select("node", F.explode("depends_on").alias("needs"))
+
+
 def read_suites(spark: SparkSession, glob: str, schema: T.StructType, key: str = "case_id") -> DataFrame:
     """The cases of all suites that a glob of JSON lines files names; a case that occurs twice ends the query with an error."""
     return union_unique([read_jsonl(spark, glob, schema)], key)
