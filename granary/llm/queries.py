@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -141,11 +142,24 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("split", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("unique_overlapping_ngrams", "overlapping_ngram_occurrences_train", "cross_split_near_duplicate_pairs", "records")])
 
 
+_MODELS: dict[bytes, object] = {}
+
+
+def _fitted(kind: str, fit: Callable, *samples: list) -> object:
+    """fit(*samples), kept for queries on the same samples; the last four models are."""
+    at = hashlib.sha256(repr((kind, samples)).encode("utf-8", "surrogatepass")).digest()
+    if at not in _MODELS:
+        while len(_MODELS) >= 4:
+            _MODELS.pop(next(iter(_MODELS)))
+        _MODELS[at] = fit(*samples)
+    return _MODELS[at]
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.language import fit, labelled_sample, record_languages
 
     s = table(spark, sf_dir, "split_stream")
-    return record_languages(s, fit(*labelled_sample(s, "language", "text", "doc_id")))
+    return record_languages(s, _fitted("language", fit, *labelled_sample(s, "language", "text", "doc_id")))
 
 
 @query
@@ -166,7 +180,7 @@ def _severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = table(spark, sf_dir, "documents")
     reviewed = table(spark, sf_dir, "moderation_samples").where("text IS NOT NULL AND label IS NOT NULL").orderBy("sample_id").select("text", "label").limit(REVIEWED).collect()
-    model = fit([r.text for r in reviewed], [r.label for r in reviewed], background_sample(d, "text", "lang"))
+    model = _fitted("severity", fit, [r.text for r in reviewed], [r.label for r in reviewed], background_sample(d, "text", "lang"))
     return rated(d.select("doc_id", "source", "text"), model)
 
 
