@@ -18,9 +18,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Runs of white space that aren't one blank; the many single blanks of a text needn't be written anew.
+_RUNS = r" [\t-\r \x{85}\p{Z}]+|[[\t-\r\x{85}\p{Z}]&&[^ ]][\t-\r \x{85}\p{Z}]*"
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends; case kept."""
-    return F.regexp_replace(F.regexp_replace(c, WS, " "), "^ +| +$", "")
+    return F.trim(F.regexp_replace(c, _RUNS, " "))
 
 
 def compare_form(c: Column) -> Column:

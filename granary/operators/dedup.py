@@ -26,13 +26,14 @@ def exact_winners(df: DataFrame, key: str, text: str) -> DataFrame:
     return x.join(won, "fp", "left")
 
 
-def first_copies(df: DataFrame, key: str, content: str) -> DataFrame:
+def first_copies(df: DataFrame, key: str, content: str, hashes: DataFrame | None = None) -> DataFrame:
     """The rows of df that are the first, by key, of those with their content (a hash); one row where that key is there again.
 
     Only hashes are shuffled to be counted. A filter of those that occur again, of bounded size, parts the rows: what it does
-    not hold is single and stays where it is; the few others are joined to the first of their content.
+    not hold is single and stays where it is; the few others are joined to the first of their content. hashes: key and content
+    of df, where they are at hand.
     """
-    twice = cut(df.groupBy(content).agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col(content).alias("_c"), "_first"))
+    twice = cut((df if hashes is None else hashes).groupBy(content).agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col(content).alias("_c"), "_first"))
     x = df.withColumn("_h", F.xxhash64(content))
     again = may_hold(x, "_h", key_filter(twice.select(F.xxhash64("_c").alias("g"))))
     single = again.where("NOT _held").select(*df.columns)
@@ -63,15 +64,20 @@ def frequency_sketch(arrays: DataFrame) -> np.ndarray:
     return out
 
 
-def jaccard_pairs(df: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
+def _hashed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """k, h (hash of the text in comparable form) and t of each row that has a key and a text."""
+    x = df.select(F.col(key).alias("k"), compare_form(F.col(text)).alias("t")).where("length(t) > 0 AND k IS NOT NULL")
+    return x.select("k", F.md5(F.encode("t", "UTF-8")).alias("h"), "t")
+
+
+def jaccard_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, hashes: DataFrame | None = None) -> DataFrame:
     """(a, b, jaccard) of distinct texts, a < b, whose character shingles agree in ``least``: complete, without banding.
 
     Shingles are ordered by how often they occur, as a sketch of bounded size tells it, then by hash: any one order will do.
     Each text offers only as many of its first ones as it must for a pair of this similarity to meet (prefix filter), and sizes
     must fit too. Only offers are shuffled, and the shingles of texts that meet. Of the copies of a text the first takes part.
     """
-    x = df.select(F.col(key).alias("k"), compare_form(F.col(text)).alias("t")).where("length(t) > 0 AND k IS NOT NULL")
-    x = first_copies(x.select("k", F.md5(F.encode("t", "UTF-8")).alias("h"), "t"), "k", "h")
+    x = first_copies(_hashed(df, key, text), "k", "h", hashes)
     x = cut(x.select("k", F.transform(shingles(F.col("t")), lambda g: F.xxhash64(g)).alias("g")))
     shared = df.sparkSession.sparkContext.broadcast(frequency_sketch(x.select("g")))
     kind = x.schema["k"].dataType
@@ -99,10 +105,10 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, least: float = 0.8) -> Dat
 
 def verified_links(df: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
     """(a, b, jaccard), a < b: the pairs of ``jaccard_pairs``, and the first of the copies of a text tied to the others."""
-    x = df.select(F.col(key).alias("k"), compare_form(F.col(text)).alias("t")).where("length(t) > 0").select("k", F.sha2("t", 256).alias("t"))
-    first = x.groupBy("t").agg(F.min("k").alias("a"), F.count("*").alias("n")).where("n > 1")
-    copies = x.join(first, "t").where("k > a").select("a", F.col("k").alias("b"), F.lit(1.0).alias("jaccard"))
-    return jaccard_pairs(df, key, text, least).unionByName(copies)
+    hashes = cut(_hashed(df, key, text).select("k", "h"))
+    first = hashes.groupBy("h").agg(F.min("k").alias("a"), F.count("*").alias("n")).where("n > 1")
+    copies = hashes.join(first, "h").where("k > a").select("a", F.col("k").alias("b"), F.lit(1.0).alias("jaccard"))
+    return jaccard_pairs(df, key, text, least, hashes).unionByName(copies)
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
