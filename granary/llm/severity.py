@@ -24,6 +24,8 @@ from granary.llm.words import TAG, WORD
 GRADES = {"none": 0, "abusive": 1, "sexual": 1, "hateful": 2}
 #: About so many of a corpus's passages join the reviewed ones as presumably harmless, and so many of each label.
 BACKGROUND, BACKGROUND_LEAST = 4000, 100
+#: So many of the most frequent labels (by their first two letters) are drawn from apart; labels beyond them as one.
+STRATA = 200
 #: How much a background passage and a seed passage count at least beside a reviewed one, chosen by the recall of reviewed
 #: wordings that were left out of the fit whole. The background of a label counts as STRATUM passages at least, up to 1 each,
 #: so that languages the reviewers did not see are learned too.
@@ -258,10 +260,11 @@ def background_sample(df: DataFrame, text: str, language: str | None = None, mos
     """
     stratum = F.lower(F.substring(F.trim(language), 1, 2)) if language else F.lit("")
     x = df.where(F.length(F.trim(F.col(text))) > 0).select(F.col(text).alias("t"), F.coalesce(stratum, F.lit("")).alias("l"))
-    sizes = {r.l: r.n for r in x.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    n = max(1, sum(sizes.values()))
+    n = max(1, x.count())
+    sizes = {r.l: r.n for r in x.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "l").limit(STRATA).collect()}
     each = -(-most // n)
-    share = F.element_at(F.create_map(*[F.lit(v) for k, c in sorted(sizes.items()) for v in (k, min(1.0, max(most / n, least / c)))]), F.col("l")) if sizes else F.lit(1.0)
+    of_label = F.element_at(F.create_map(*[F.lit(v) for k, c in sorted(sizes.items()) for v in (k, min(1.0, max(most / n, least / c)))]), F.col("l")) if sizes else F.lit(None)
+    share = F.coalesce(of_label, F.lit(min(1.0, most / n)))
     part = F.pmod(F.xxhash64("t", F.lit(5)), F.lit(1_000_003)) / 1_000_003.0
     lines = F.filter(F.split("t", r"(?<=[.!?।॥])\s+|[\r\n]+"), lambda s: F.length(F.trim(s)) > 0)
     drawn = x.where(part < share).select("l", F.explode(F.slice(F.array_sort(F.transform(lines, lambda s: F.struct(F.xxhash64(s, F.lit(7)).alias("h"), s.alias("s")))), 1, each)).alias("s"))
