@@ -128,3 +128,36 @@ def answer_matches(answer: Column, expected: Column, mode: Column, tolerance: Co
         .when(mode == "numeric", F.abs(first(answer) - first(expected)) <= F.coalesce(tolerance, F.lit(0.0)) + 1e-9)
         .when(mode == "set", parts(answer) == parts(expected))
     )
+
+
+# The ladder of difficulties, from the lowest.
+DIFFICULTIES = ("beginner", "elementary", "intermediate", "advanced", "expert", "olympiad")
+
+
+def rank_of(difficulty: Column) -> Column:
+    """The place of a difficulty on the ladder, from 0; -1 for others and null."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, DIFFICULTIES)), difficulty).cast("int") - 1, F.lit(-1))
+
+
+def node_coverage(df: DataFrame, node: str, kind: str, correct: str, total: str, difficulty: str, verified: str, practice: int = 3, mastery: int = 8, accuracy: float = 0.8, floor: str = "intermediate") -> DataFrame:
+    """What the assessments of each node show: attempts, total, correct, accuracy (null where nothing was asked), the highest
+    difficulty reached, verified attempts, what stands against mastery (codes, in order) and the state.
+
+    learning: too few attempts to judge, which is then the only blocker; mastered: nothing against it; assessed: attempts and
+    accuracy suffice, something else doesn't; practice: the rest. Attempts are summed up in each task before they are shuffled.
+    """
+    has = lambda k: F.coalesce(F.bool_or(F.col(kind) == k), F.lit(False))
+    x = df.groupBy(node).agg(
+        F.count("*").alias("attempts"), F.sum(F.coalesce(total, F.lit(0))).alias("total"), F.sum(F.coalesce(correct, F.lit(0))).alias("correct"), F.max(rank_of(F.col(difficulty))).alias("_d"),
+        F.count_if(F.coalesce(verified, F.lit(False))).alias("verified"), has("transfer").alias("_t"), has("verification").alias("_v"),
+    ).withColumn("accuracy", F.try_divide("correct", "total"))
+    acc = F.coalesce("accuracy", F.lit(0.0))
+    against = [
+        (F.col("attempts") < mastery, "few_attempts"), (acc < accuracy, "low_accuracy"), (F.col("_d") < DIFFICULTIES.index(floor), "low_difficulty"),
+        (~F.col("_t"), "no_transfer"), (~F.col("_v"), "no_verification"), (F.col("verified") == 0, "nothing_verified"),
+    ]
+    blockers = F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in against]), lambda b: b.isNotNull())
+    x = x.withColumn("blockers", F.when(F.col("attempts") < practice, F.array(F.lit("too_little_evidence"))).otherwise(blockers))
+    state = F.when(F.col("attempts") < practice, "learning").when(F.size("blockers") == 0, "mastered").when((F.col("attempts") >= mastery) & (acc >= accuracy), "assessed").otherwise("practice")
+    reached = F.coalesce(F.get(F.array(*map(F.lit, DIFFICULTIES)), F.col("_d")), F.lit("none"))
+    return x.select(node, "attempts", "total", "correct", "accuracy", F.when(F.col("_d") < 0, "none").otherwise(reached).alias("difficulty"), "verified", "blockers", state.alias("state"))

@@ -4,8 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.langid import ALLOWED, ANY, LABELS, MARKERS, CLEANER_ROMANISED, EXPECTED, LATIN_BLOCK, ROMANISED, SCRIPTS, WORD, code_switches, guessed, identified, identify, marker_scores as marked, reconciled, romanised_score, script_agrees, script_counts, script_profile, script_share
+from granary.operators.cleaning import clean_text
 from granary.queries import query, table
 from granary.queries import sql as S
+from granary.queries.cleaning import _CLEAN
 
 _COUNT = {s: f"coalesce(len(regexp_extract_all(text, {S.q(p)})), 0)" for s, p in SCRIPTS.items()}
 _WORDS = f"list_filter(regexp_extract_all(text, {S.q(WORD)}), lambda w: length(w) > 1)"
@@ -144,3 +146,14 @@ def script_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = F.element_at(F.create_map(*[F.lit(x) for kv in EXPECTED.items() for x in kv]), F.col("lang"))
     x = table(spark, sf_dir, "documents").select("doc_id", script_profile(F.coalesce("text", F.lit(""))).alias("p"), expected.alias("expected"))
     return x.select("doc_id", "p.devanagari", "p.latin", "expected")
+
+
+_CLEANED = _MEASURED.replace("FROM documents", f"FROM (SELECT doc_id, lang, {_CLEAN} AS text FROM documents)", 1)
+
+
+@query(_CLEANED + f"SELECT lang, {_IDENTIFY} AS measured, count(*) AS documents, sum(length(text))::BIGINT AS chars FROM m WHERE length(text) > 0 GROUP BY 1, 2")
+def clean_language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters after cleaning, by label and measured language."""
+    x = table(spark, sf_dir, "documents").select("lang", clean_text(F.col("text")).alias("text")).where("length(text) > 0")
+    x = x.select("lang", identify(F.col("text"), F.col("lang")).alias("measured"), F.length("text").alias("c"))
+    return x.groupBy("lang", "measured").agg(F.count("*").alias("documents"), F.sum("c").alias("chars"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.operators.graphs import ancestors, children, descendants, graph_issues, ladder_gaps, levels, ready
-from granary.operators.learning import answer_form, answer_matches, bucket, forgetting_risk, largest_remainder, pick, review_state
+from granary.operators.learning import answer_form, answer_matches, bucket, forgetting_risk, largest_remainder, node_coverage, pick, review_state
 from granary.queries import query, table
 from granary.queries.storage import folder
 from granary.sources.files import read_graph
@@ -291,3 +291,57 @@ def suite_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three cases of each axis in the order of a seeded hash."""
     return pick(table(spark, sf_dir, "dev_smoke_suite"), ["axis"], "case_id", 3, 11).select("axis", "subject", "case_id")
 
+
+
+_ASSESSED = """SELECT user_id AS node, CASE event_type WHEN 'purchase' THEN 'transfer' WHEN 'error' THEN 'verification' ELSE 'quiz' END AS kind, (value >= 8)::INT AS correct, 1 AS total,
+ CASE WHEN value < 5 THEN 'beginner' WHEN value < 20 THEN 'elementary' WHEN value < 40 THEN 'intermediate' WHEN value < 60 THEN 'advanced' END AS difficulty, event_id % 40 = 0 AS verified FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND event_id % 9 = user_id % 9"""
+_COVERED = f"""WITH a AS ({_ASSESSED}), g AS (SELECT node, count(*) AS attempts, sum(total)::BIGINT AS total, sum(correct)::BIGINT AS correct, sum(correct) / sum(total)::DOUBLE AS accuracy,
+ max(CASE difficulty WHEN 'beginner' THEN 0 WHEN 'elementary' THEN 1 WHEN 'intermediate' THEN 2 WHEN 'advanced' THEN 3 WHEN 'expert' THEN 4 WHEN 'olympiad' THEN 5 ELSE -1 END) AS d, count(*) FILTER (verified) AS verified,
+ bool_or(kind = 'transfer') AS t, bool_or(kind = 'verification') AS v FROM a GROUP BY 1),
+ b AS (SELECT *, CASE WHEN attempts < 3 THEN ['too_little_evidence'] ELSE list_filter([CASE WHEN attempts < 8 THEN 'few_attempts' END, CASE WHEN accuracy < 0.8 THEN 'low_accuracy' END, CASE WHEN d < 2 THEN 'low_difficulty' END, CASE WHEN NOT t THEN 'no_transfer' END, CASE WHEN NOT v THEN 'no_verification' END, CASE WHEN verified = 0 THEN 'nothing_verified' END], lambda x: x IS NOT NULL) END AS blockers FROM g),
+ s AS (SELECT *, CASE WHEN attempts < 3 THEN 'learning' WHEN len(blockers) = 0 THEN 'mastered' WHEN attempts >= 8 AND accuracy >= 0.8 THEN 'assessed' ELSE 'practice' END AS state FROM b) """
+
+
+def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL AND value IS NOT NULL AND event_id % 9 = user_id % 9")
+    kind = F.when(F.col("event_type") == "purchase", "transfer").when(F.col("event_type") == "error", "verification").otherwise("quiz")
+    difficulty = F.when(F.col("value") < 5, "beginner").when(F.col("value") < 20, "elementary").when(F.col("value") < 40, "intermediate").when(F.col("value") < 60, "advanced")
+    x = e.select(F.col("user_id").alias("node"), kind.alias("kind"), (F.col("value") >= 8).cast("int").alias("correct"), F.lit(1).alias("total"), difficulty.alias("difficulty"), (F.col("event_id") % 40 == 0).alias("verified"))
+    return node_coverage(x, "node", "kind", "correct", "total", "difficulty", "verified")
+
+
+@query(_COVERED + "SELECT node, attempts, total, correct, round(accuracy, 6) AS accuracy, CASE d WHEN 0 THEN 'beginner' WHEN 1 THEN 'elementary' WHEN 2 THEN 'intermediate' WHEN 3 THEN 'advanced' WHEN 4 THEN 'expert' WHEN 5 THEN 'olympiad' ELSE 'none' END AS difficulty, verified, array_to_string(blockers, ',') AS blockers, state FROM s")
+def node_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the assessments of each node show, what stands against mastery, and its state."""
+    return _covered(spark, sf_dir).withColumn("accuracy", F.round("accuracy", 6)).withColumn("blockers", F.array_join("blockers", ","))
+
+
+@query(_COVERED + "SELECT node % 5 AS subject, count(*) FILTER (state = 'learning') AS learning, count(*) FILTER (state = 'practice') AS practice, count(*) FILTER (state = 'assessed') AS assessed, count(*) FILTER (state = 'mastered') AS mastered FROM s GROUP BY 1")
+def states_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in each state per subject, zeros filled in (pivot)."""
+    states = ["learning", "practice", "assessed", "mastered"]
+    return _covered(spark, sf_dir).groupBy((F.col("node") % 5).alias("subject")).pivot("state", states).count().na.fill(0, states)
+
+
+@query(f"WITH RECURSIVE {_E}, k AS (SELECT e.node, e.needs FROM e JOIN n ON n.node = e.needs), l(node, level) AS (SELECT node, 0 FROM n WHERE node NOT IN (SELECT node FROM k) UNION SELECT k.node, l.level + 1 FROM l JOIN k ON k.needs = l.node) SELECT node, row_number() OVER (ORDER BY level, node) AS place FROM (SELECT node, max(level) AS level FROM l GROUP BY 1)")
+def graph_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order of the nodes in which each comes after all that it needs; nodes of a level by name."""
+    x = levels(_nodes(spark, sf_dir), _edges(spark, sf_dir)).where("level IS NOT NULL")
+    return x.select("node", F.row_number().over(Window.orderBy("level", "node")).cast("bigint").alias("place"))
+
+
+@query("SELECT case_id, CASE WHEN answered AND expected IS NOT NULL THEN 'answered' WHEN expected IS NULL THEN 'unscored' ELSE 'missing' END AS state, coalesce(len(accepted), 0) + CASE WHEN expected IS NULL THEN 0 ELSE 1 END AS tries FROM (SELECT *, ('0x' || substr(md5(case_id), 1, 2))::INT % 2 = 0 AS answered FROM dev_smoke_suite)")
+def answer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with an answer, without one (which counts as empty), and those that nothing is expected of; and how many answers are tried."""
+    c = table(spark, sf_dir, "dev_smoke_suite")
+    answers = c.where(F.conv(F.substring(F.md5("case_id"), 1, 2), 16, 10).cast("int") % 2 == 0).select("case_id", F.lit(True).alias("a"))
+    x = c.join(answers, "case_id", "left")
+    state = F.when(F.col("a") & F.col("expected").isNotNull(), "answered").when(F.col("expected").isNull(), "unscored").otherwise("missing")
+    return x.select("case_id", state.alias("state"), (F.coalesce(F.size("accepted"), F.lit(0)) + F.col("expected").isNotNull().cast("int")).cast("bigint").alias("tries"))
+
+
+@query(f"WITH b AS ({_RUN.format('event_id % 2 = 0')}), c AS ({_RUN.format('event_id % 2 = 1')}) SELECT CASE WHEN c.score < b.score - 0.02 THEN 'regressed' WHEN c.score > b.score + 0.02 THEN 'improved' ELSE 'stable' END AS verdict, count(*) AS axes, string_agg(b.axis, ',' ORDER BY b.axis) AS names FROM b JOIN c USING (axis) GROUP BY 1")
+def axes_by_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axes of two runs by how they changed."""
+    x = run_comparison(spark, sf_dir).where("verdict IN ('regressed', 'improved', 'stable')")
+    return x.groupBy("verdict").agg(F.count("*").alias("axes"), F.array_join(F.array_sort(F.collect_list("axis")), ",").alias("names"))

@@ -149,3 +149,27 @@ def token_stream_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.transform(tokens(compare_form(F.col("text"))), lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"))
     write_token_stream(d.select("doc_id", "lang", ids.alias("ids")), "doc_id", "ids", "lang", out, -1)
     return read_token_stream(spark, out, "lang", "hi", 500, 2500).withColumnRenamed("at", "place")
+
+
+@query("SELECT * FROM (VALUES ('region', 'ok'), ('nation', 'mismatch'), ('nowhere', 'missing'), ('extra', 'unlisted')) t(name, status)")
+def ledger_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files hashed again and set against a ledger: the same, another hash, not there, not listed."""
+    out = folder(spark)
+    for name, source in (("region", "region"), ("nation", "nation"), ("extra", "region")):
+        table(spark, sf_dir, source).coalesce(1).write.json(f"{out}/{name}")
+    there = hashed_files(spark, f"{out}/*/part-*").select(F.regexp_extract("path", "/([a-z]+)/part-", 1).alias("name"), "sha256")
+    ledger = there.where("name = 'region'").select("name", F.col("sha256").alias("listed")).union(spark.createDataFrame([("nation", "0" * 64), ("nowhere", "1" * 64)], "name string, listed string"))
+    x = ledger.join(there, "name", "full")
+    return x.select("name", F.when(F.col("listed").isNull(), "unlisted").when(F.col("sha256").isNull(), "missing").when(F.col("sha256") == F.col("listed"), "ok").otherwise("mismatch").alias("status"))
+
+
+@query("SELECT route, count(*) AS records FROM (SELECT CASE WHEN license IS NULL THEN 'rejected' ELSE 'trainable' END AS route FROM documents) GROUP BY 1")
+def route_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to a folder a route with a report of how many went where, the report read again."""
+    out = folder(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("license").isNull(), "rejected").otherwise("trainable").alias("route"))
+    write_routes(d, "route", f"{out}/routes")
+    counts = {r.route: r.n for r in spark.read.parquet(f"{out}/routes").groupBy("route").agg(F.count("*").alias("n")).collect()}
+    write_report(counts, spark, f"{out}/report")
+    x = spark.read.text(f"{out}/report").select(F.explode(F.from_json("value", "map<string, bigint>")).alias("route", "records"))
+    return x.select("route", "records")

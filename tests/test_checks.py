@@ -192,3 +192,16 @@ def test_windowed_counts(spark, tmp_path):
     s = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
     run_to_end(windowed_counts(s, "ts", ["k"]), str(tmp_path / "out"), str(tmp_path / "state"), "complete")
     assert sorted((r.window.start.day, r.k, r.events) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a", 2), (2, "b", 1)]
+
+
+def test_node_coverage(spark):
+    from granary.operators.learning import node_coverage
+
+    full = [("m", "quiz", 1, 1, "advanced", True)] * 6 + [("m", "transfer", 1, 1, None, None), ("m", "verification", 1, 1, "expert", False)]
+    rows = [*full, ("few", "quiz", 1, 1, "expert", True), *[("low", "quiz", 0, 2, "nothing", None)] * 4, *[("half", "quiz", 1, 1, "expert", True)] * 9, ("zero", "quiz", None, None, None, None), ("zero", "quiz", 0, 0, None, None), ("zero", None, 0, 0, None, None)]
+    d = spark.createDataFrame(rows, "n string, kind string, correct int, total int, difficulty string, verified boolean")
+    got = {r.n: (r.state, list(r.blockers), r.difficulty) for r in node_coverage(d, "n", "kind", "correct", "total", "difficulty", "verified").collect()}
+    assert got["m"] == ("mastered", [], "expert") and got["few"] == ("learning", ["too_little_evidence"], "expert")
+    assert got["low"] == ("practice", ["few_attempts", "low_accuracy", "low_difficulty", "no_transfer", "no_verification", "nothing_verified"], "none")
+    assert got["half"] == ("assessed", ["no_transfer", "no_verification"], "expert") and got["zero"][0] == "practice"
+    assert node_coverage(d.limit(0), "n", "kind", "correct", "total", "difficulty", "verified").count() == 0
