@@ -39,7 +39,7 @@ MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 #: Letters that a joiner shapes where it stands between two of them (Arabic, Syriac, Thaana, N'Ko, Mongolian), and signs that a
 #: joiner makes one picture of.
 SHAPED = re.compile("[\u0600-\u08ff\u1800-\u18af\ufb50-\ufdff\ufe70-\ufefc]")
-PICTURES = re.compile("[\u00a9\u00ae\u203c-\u3299\ufe0f\U0001f000-\U0001faff\U000e0020-\U000e007f]")
+PICTURES = re.compile("[\u00a9\u00ae\u203c\u2049\u2122\u2139\u2194-\u21aa\u231a-\u23ff\u24c2\u25aa-\u25fe\u2600-\u27bf\u2934\u2935\u2b05-\u2b55\u3030\u303d\u3297\u3299\ufe0f\U0001f000-\U0001faff\U000e0020-\U000e007f]")
 
 
 def default_rules(look_alike: dict[str, str] = LOOK_ALIKE) -> dict[str, str]:
