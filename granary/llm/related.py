@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from granary.llm.arrowmap import map_rows
 from granary.llm.fold import fold
 from granary.llm.words import DIGITS, TAG, plain
+from granary.operators.dedup import LOCAL, forest
 from granary.session import cut
 
 # Devanagari letters in Latin; the other Indic scripts lie at the same places of their blocks.
@@ -221,50 +222,6 @@ def keyed_records(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return x.groupBy("doc_id").agg(F.min("work").alias("work"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
 
 
-#: Nodes of a local forest.
-LOCAL = 1_000_000
-
-
-def _forest(edges: DataFrame, local: int = LOCAL) -> DataFrame:
-    """Union-find within each partition: its edges (a, b) become stars, each node to the least of its local tree.
-
-    A task holds at most ``local`` nodes and one batch more: a full forest is given out and a new one begun, which leaves the
-    components as they are.
-    """
-
-    def run(batches):  # noqa: ANN001, ANN202
-        import pyarrow as pa
-
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                up[x] = y = up.get(y, y)
-                x = y
-            return x
-
-        def stars():  # noqa: ANN202
-            nodes = list(up)
-            for i in range(0, len(nodes), 50_000):
-                part = [(x, r) for x in nodes[i : i + 50_000] if (r := root(x)) != x]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["a", "b"])
-            up.clear()
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ra, rb = root(a), root(b)
-                up.setdefault(a, a), up.setdefault(b, b)
-                if ra < rb:
-                    up[rb] = ra
-                elif rb < ra:
-                    up[ra] = rb
-            if len(up) > local:
-                yield from stars()
-        yield from stars()
-
-    return edges.mapInArrow(run, "a bigint, b bigint")
-
-
 def components(edges: DataFrame, rounds: int = 60, local: int = LOCAL) -> DataFrame:
     """(node, root) of each node of edges (a, b: bigint) that isn't its component's least node.
 
@@ -274,7 +231,7 @@ def components(edges: DataFrame, rounds: int = 60, local: int = LOCAL) -> DataFr
     hold most of all nodes, a task holds its part of them. A level ends in the shared folder. A hub's edges are halved by
     map-side aggregation, since only the least counts, and its joins are split by adaptive skew joins.
     """
-    x = cut(_forest(edges.select("a", "b").where("a <> b"), local).distinct())
+    x = cut(forest(edges.select("a", "b").where("a <> b"), local).distinct())
     last = None
     for _ in range(rounds):
         both = x.unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -283,7 +240,7 @@ def components(edges: DataFrame, rounds: int = 60, local: int = LOCAL) -> DataFr
         large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        merged = _forest(low.select("a", F.col("m").alias("b")).unionByName(small), local)
+        merged = forest(low.select("a", F.col("m").alias("b")).unionByName(small), local)
         x = cut(merged.distinct())
         state = x.agg(F.count("*").alias("n"), F.count_distinct("a").alias("nodes"), F.sum(F.col("b").cast("decimal(38,0)")).alias("s")).first()
         if state == last and state.n == state.nodes:
