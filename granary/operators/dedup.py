@@ -41,13 +41,13 @@ def first_copies(df: DataFrame, key: str, content: str, hashes: DataFrame | None
     return single.unionByName(copies)
 
 
-#: Counters of the sketch by which shingles are ordered: 2 MB, whatever the corpus.
-COUNTERS = 1 << 20
+#: Counters of the sketch by which shingles are ordered: 1 MB, whatever the corpus.
+COUNTERS = 1 << 17
 
 
 def frequency_sketch(arrays: DataFrame) -> np.ndarray:
-    """How often the elements of the only column, arrays of longs, occur, each counter standing for all that fall on it; counts
-    stop at 65,535. Every task counts its own rows; what is brought together is a counter for each bucket."""
+    """How often the elements of the only column, arrays of longs, occur, each counter standing for all that fall on it. Every
+    task counts its own rows; what is brought together is a counter for each bucket."""
 
     def count(batches):  # noqa: ANN001, ANN202
         n = np.zeros(COUNTERS, np.int64)
@@ -57,9 +57,9 @@ def frequency_sketch(arrays: DataFrame) -> np.ndarray:
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(n[at[i : i + 100_000]])], ["bucket", "n"])
 
-    counts = arrays.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(65_535)).alias("n"))
-    out = np.zeros(COUNTERS, np.uint16)
-    for r in counts.groupBy(F.floor(F.col("bucket") / 65_536).alias("part")).agg(F.collect_list(F.struct("bucket", "n")).alias("c")).toLocalIterator():
+    counts = arrays.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(COUNTERS, np.int64)
+    for r in counts.groupBy(F.floor(F.col("bucket") / 8192).alias("part")).agg(F.collect_list(F.struct("bucket", "n")).alias("c")).toLocalIterator():
         out[[c.bucket for c in r.c]] = [c.n for c in r.c]
     return out
 

@@ -205,3 +205,46 @@ def test_node_coverage(spark):
     assert got["low"] == ("practice", ["few_attempts", "low_accuracy", "low_difficulty", "no_transfer", "no_verification", "nothing_verified"], "none")
     assert got["half"] == ("assessed", ["no_transfer", "no_verification"], "expert") and got["zero"][0] == "practice"
     assert node_coverage(d.limit(0), "n", "kind", "correct", "total", "difficulty", "verified").count() == 0
+
+
+def test_yaml_lists(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from granary.sources.files import read_graph, read_required, read_yaml_list
+
+    (tmp_path / "m.yaml").write_text("sources:\n- {id: a, status: null}\n- id: b\n  status: ready\n")
+    (tmp_path / "twice.yaml").write_text("sources: [{id: a}, {id: a}]")
+    (tmp_path / "g.yaml").write_text("nodes:\n- {id: n1, subject: s, grade: 1}\n- {id: n2, subject: s, grade: 2, depends_on: [n1, gone]}\n")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("status", T.StringType())])
+    read = lambda name: read_yaml_list(spark, str(tmp_path / name), "sources", schema, "id", {"status": "new"})
+    assert {(r.id, r.status) for r in read("m.yaml").collect()} == {("a", "new"), ("b", "ready")}
+    with pytest.raises(Exception):
+        read("twice.yaml").collect()
+    nodes, edges = read_graph(spark, str(tmp_path / "g.yaml"))
+    assert {tuple(r) for r in nodes.collect()} == {("n1", "s", 1), ("n2", "s", 2)} and {tuple(r) for r in edges.collect()} == {("n2", "n1"), ("n2", "gone")}
+    assert read_required(nodes, "nodes").count() == 2
+    with pytest.raises(ValueError):
+        read_required(nodes.limit(0), "nodes")
+
+
+def test_components_in_two_deliveries(spark):
+    from granary.operators.dedup import connected, first_copies, forest, merge_components
+
+    rng = random.Random(9)
+    links = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(70)]
+    whole = {r.node: r.root for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    first, second = (spark.createDataFrame(x, "a long, b long") for x in (links[:40], links[40:]))
+    got = {r.node: r.root for r in merge_components(connected(first), second).collect()}
+    assert {k: v for k, v in got.items() if k in whole} == whole and all(k == v for k, v in got.items() if k not in whole)
+    names = spark.createDataFrame([("c", "b"), ("b", "a"), ("y", "x"), ("z", "z")], "a string, b string").coalesce(1)
+    assert {tuple(r) for r in forest(names, 1).collect()} >= {("b", "a"), ("y", "x")} and forest(names.limit(0)).count() == 0
+    d = spark.createDataFrame([(3, "h"), (1, "h"), (1, "h"), (2, "g"), (4, None)], "k int, h string")
+    assert sorted(tuple(r) for r in first_copies(d.where("h IS NOT NULL"), "k", "h").collect()) == [(1, "h"), (2, "g")]
+
+
+def test_sketch_counts_all(spark):
+    from granary.operators.dedup import COUNTERS, frequency_sketch
+
+    d = spark.createDataFrame([([1, 2, 3],), ([1, 1 + COUNTERS],), ([],), ([-5],)], "g array<bigint>").repartition(3)
+    s = frequency_sketch(d)
+    assert s[1] == 3 and s[2] == 1 and s[-5 & (COUNTERS - 1)] == 1 and s.sum() == 6 and frequency_sketch(d.limit(0)).sum() == 0
