@@ -41,8 +41,9 @@ def first_copies(df: DataFrame, key: str, content: str, hashes: DataFrame | None
     return single.unionByName(copies)
 
 
-#: Counters of the sketch by which shingles are ordered: 1 MB, whatever the corpus.
-COUNTERS = 1 << 17
+#: Counters of the sketch by which shingles are ordered: 8 MB, whatever the corpus. Fewer tell frequent shingles from rare ones less well,
+#: so more texts meet (with 2^17, disk rose from 4.89 to 7.81 times the input).
+COUNTERS = 1 << 20
 
 
 def frequency_sketch(arrays: DataFrame) -> np.ndarray:
