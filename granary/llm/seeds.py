@@ -1,5 +1,5 @@
 """Seed passages for the severity model, written from general knowledge of how people offend and of harmless uses of the same
-words; none is taken from a table. They widen the reviewers' samples, which do not show every way of offending.
+words; none is taken from a table, though their writer had seen some offending passages before. They widen the reviewers' samples, which do not show every way of offending.
 
 A test asserts that no seed shares five words in a row with a text of the test tables.
 """
