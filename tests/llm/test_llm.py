@@ -280,6 +280,48 @@ def test_overlaps_of_many_near_copies_equal_brute_force():
             assert sorted(shard.find([overlap.packed(x)])[0]) == [i for i, y in enumerate(texts) if overlap.almost_same(y, x, share)]
 
 
+def test_overlaps_scan_train_once_for_many_shards(spark):
+    """Train is scanned once for several shards, not for each; what sketches let pass is compared, copies and long texts included."""
+    rng, rows = random.Random(12), []
+    tongues = [[f"{x}{i}" for i in range(150)] for x in "abc"]
+    for i in range(120):
+        vocabulary = rng.choice(tongues)
+        ws = [rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 5, 20, 60, 140, 300, 900]))]
+        lines = [ws[j : j + 12] for j in range(0, len(ws), 12)]
+        rows += [(f"v{i}", "\n".join(map(" ".join, lines)), rng.choice(["val", "test"])) for _ in range(1 + (i % 9 == 0))]
+        rows.append((f"t{i}", " ".join(_edited(ws, rng, rng.choice([0, 0.1, 0.2, 0.3]))), "train"))
+        rng.shuffle(lines)
+        rows.append((f"u{i}", "\n\n".join(map(" ".join, lines)), "train"))
+    rows += [(f"x{i}", *rows[1][1:]) for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, split string").repartition(3)
+    ids = {k: overlap.lines_of_ids(t) for k, t, _ in rows}
+    want = {(a, b) for a, _, s in rows if s == "train" for b, _, h in rows if h != "train" and overlap.almost_same(ids[b], ids[a], 0.8)}
+    assert len(want) > 100
+    words = sum(len(x) // 4 for x in {overlap.packed(ids[k]) for k, _, s in rows if s != "train"})
+    got = overlap.cross_split_overlaps(d, shard_words=words // 70)
+    assert {tuple(r) for r in got.collect()} == want
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("MapInArrow") <= 4  # 3 scans and the comparison
+
+
+def test_sketches_let_pass_all_that_can_be_the_same():
+    rng = random.Random(8)
+    tongues = [[rng.randrange(1, 1 << 32) for _ in range(250)] for _ in range(4)]
+    held = [[rng.choice(rng.choice(tongues) if i % 7 == 0 else tongues[i % 4]) for _ in range(rng.choice([1, 4, 30, 100, 150, 330, 1300]))] for i in range(400)]
+    texts = []
+    for x in held[::2]:  # as many words changed as may be, or one more; some longer or shorter
+        n = len(x)
+        x = [w if j >= round(n * 0.2) + rng.randint(-1, 1) else rng.randrange(1, 1 << 32) for j, w in enumerate(rng.sample(x, n))]
+        texts.append(x[: rng.choice([n, n, n - n // 5])] + rng.choices(x, k=rng.choice([0, 0, n // 5])))
+    for share in (0.5, 0.8, 1.0):
+        shard = overlap.Shard([(i, overlap.packed([x])) for i, x in enumerate(held)], share)
+        got = list(shard.sketches.candidates([overlap.packed([x]) for x in texts]))
+        assert len(got) == len(set(got))
+        bags = [Counter(x) for x in held]
+        can = {(t, r) for t, x in enumerate(texts) for c in [Counter(x)] for r, y in enumerate(held) if (c & bags[r]).total() >= share * max(len(x), len(y)) - 1e-9}
+        assert can <= set(got) and len(can) > 20
+        assert share < 0.8 or len(got) < len(can) + 0.001 * len(texts) * len(held)  # at 0.5 sketches tell less
+
+
 def test_common_in_order():
     rng = random.Random(1)
     for _ in range(200):
